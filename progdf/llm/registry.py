@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import licences, minhash, mixing, substring
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op6_substring_dedup": substring.op6_substring_dedup,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_licence_scan": licences.op10_licence_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": substring.OP6_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
+    "op10_licence_scan": licences.OP10_SQL,
+}
