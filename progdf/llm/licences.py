@@ -58,19 +58,23 @@ def licence_matches(df: DataFrame, templates: dict[str, str] | None = None, perc
     texts and units of fewer than two words match nothing; a null doc_id is kept as null; repeated rows give repeated matches.
     """
     spark = df.sparkSession
-    rows = [(name, b, n) for name, t in (templates or TEMPLATES).items() for b in [bigrams(t)] for n in _accepted(len(b), percent)]
-    known = spark.createDataFrame(rows, "licence string, wanted array<string>, n_unit int")
-    sizes = {n for _, _, n in rows}
+    sets = {name: bigrams(t) for name, t in (templates or TEMPLATES).items()}
+    counts = {name: _accepted(len(b), percent) for name, b in sets.items()}
+    hashes = F.array_distinct(F.transform("wanted", lambda x: F.xxhash64(x)))
+    known = spark.createDataFrame([(k, sets[k], n) for k in sets for n in counts[k]], "licence string, wanted array<string>, n_unit int").select("licence", "n_unit", hashes.alias("wanted"))
+    low, high = min((n for c in counts.values() for n in c), default=1), max((n for c in counts.values() for n in c), default=0)
     lines = F.split("text", "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    parts = df.where("text IS NOT NULL").select("doc_id", F.explode(F.concat(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit"))), F.transform(whole, lambda x: F.struct(F.lit(0).alias("line"), x.alias("unit"))))).alias("p"))
-    least = min(sizes, default=0)
-    # a unit of fewer than least + 1 words has too few bigrams for any template, and so has one of fewer characters
-    words = parts.where(F.length("p.unit") >= 2 * least + 1).select("doc_id", "p.line", _words(F.col("p.unit")).alias("w")).where(F.size("w") > F.lit(max(least, 1)))
-    pairs = F.array_distinct(F.transform(F.slice("w", 2, F.size("w") - 1), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x)))
-    units = words.select("doc_id", "line", pairs.alias("own")).withColumn("n_unit", F.size("own")).where(F.col("n_unit").between(least, max(sizes, default=0)))
+    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit"))))
+    each = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
+    # a unit of fewer than low + 1 words has too few bigrams for any template, and so has one of fewer characters
+    long_enough = F.filter(F.concat(each, F.coalesce(whole, F.array().cast("array<struct<line:int,unit:string>>"))), lambda x: F.length(x["unit"]) >= 2 * low + 1)
+    parts = df.where("text IS NOT NULL").select("doc_id", F.explode(long_enough).alias("p"))
+    words = parts.select("doc_id", "p.line", F.explode(F.array(_words(F.col("p.unit")))).alias("w")).where(F.size("w") > low)
+    # bigrams are compared as 64-bit hashes: sets of numbers are made in linear time
+    pairs = F.array_distinct(F.transform(F.slice("w", 2, F.size("w") - 1), lambda x, i: F.xxhash64(F.concat(F.get("w", i), F.lit(" "), x))))
+    units = words.select("doc_id", "line", F.explode(F.array(pairs)).alias("own")).where(F.size("own").between(low, high))
     shared = F.size(F.array_intersect("own", "wanted"))
-    joined = units.join(F.broadcast(known), "n_unit").withColumn("shared", shared).withColumn("n_template", F.size("wanted"))
+    joined = units.withColumn("n_unit", F.size("own")).join(F.broadcast(known), "n_unit").withColumn("shared", shared).withColumn("n_template", F.size("wanted"))
     return joined.where(200 * F.col("shared") >= percent * (F.col("n_unit") + F.col("n_template"))).select("doc_id", "line", "licence", "shared", "n_unit", "n_template")
 
 
