@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import licences, minhash, mixing, substring
+from . import audio, bpe, html, licences, minhash, mixing, quality, substring
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op2_quality": quality.op2_quality,
+    "op4_media_audio": audio.op4_media_audio,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_main_text": html.op7_main_text,
+    "op8_bpe": bpe.op8_bpe,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_licence_scan": licences.op10_licence_scan,
 }
