@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, html, licences, minhash, mixing, quality, substring
+from . import audio, bpe, html, language, licences, minhash, mixing, neighbours, quality, substring
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op2_quality": quality.op2_quality,
+    "op3_nearest": neighbours.op3_nearest,
     "op4_media_audio": audio.op4_media_audio,
+    "op5_language": language.op5_language,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_main_text": html.op7_main_text,
     "op8_bpe": bpe.op8_bpe,
