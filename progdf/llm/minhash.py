@@ -244,9 +244,23 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """df with one document of each group of near duplicates, that of least doc_id; rows without doc_id stay.
+
+    Only the ids of what goes are gathered; of rows that repeat a doc_id one stays.
+    """
+    found = saved(near_duplicates(df, words, percent), "groups")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    out = saved(gone.withColumn("gone", F.lit(True)).unionByName(again.join(gone, "doc_id", "left_anti").withColumn("gone", F.lit(False))), "gone")
+    ids = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+    stay = df.join(ids.select("doc_id"), "doc_id", "left_anti")
+    return stay.unionByName(df.join(ids.where("NOT gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 2-word shingles with a similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-__all__ = ["near_duplicates", "op1_minhash_dedup"]
+__all__ = ["near_duplicates", "one_of_each", "op1_minhash_dedup"]

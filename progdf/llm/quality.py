@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Words, arrow_rows, held_out, saved, shingles, slices, table
 
@@ -210,37 +211,44 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     return model
 
 
-def train(x: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
-    """Fit on the rows of measured features x that have a label and are not held out, at most `rows` of them, by hash."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    data = x.where(~held_out(F.col("doc_id"))).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(rows).select(*FEATURES, "quality").toPandas()
-    return fit(data[list(FEATURES)].to_numpy(float), (data["quality"] == 1).to_numpy(float))
+def train(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
+    """Fit on the documents of df that have a label and are not held out, at most `rows` labels, those of least hash."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    sample = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")  # at most `rows` rows
+    some = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi")
+    data = measured(some).join(F.broadcast(sample), "doc_id").orderBy("doc_id", *FEATURES).select(*FEATURES, "quality").limit(2 * rows).toPandas()
+    order = np.random.default_rng(5).permutation(len(data))
+    return fit(data[list(FEATURES)].to_numpy(float)[order], (data["quality"] == 1).to_numpy(float)[order])
 
 
-def scored(x: DataFrame, model: Gam, least: float = LEAST) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of measured features."""
+def scored(df: DataFrame, model: Gam) -> DataFrame:
+    """df with a column score; every other column passes through."""
+    df = df.drop("score").withColumn("text", F.col("text").cast("string"))
+    names = df.columns
+    held = df.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
+    arrow_rows(df.sparkSession, 1000)
 
     def run(batches):
         for batch in batches:
-            values = np.stack([batch.column(j + 1).to_numpy() for j in range(len(FEATURES))], axis=1) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            s = model.score(values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= least).astype(np.int32))], ["doc_id", "score", "predicted"])
+            text = batch.column(names.index("text"))
+            for a, b in slices(text):
+                s = held.value.score(features(text.slice(a, b - a)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s)], [*names, "score"])
 
-    out = x.select("doc_id", *FEATURES).mapInArrow(run, "doc_id long, score double, predicted int")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of df.
+    """df with score, from 0 to 1, and predicted, 1 if score >= least.
 
-    df: doc_id, text, other columns ignored. labels: doc_id, quality (0 or 1), others ignored; null labels teach nothing, and of
-    several labels of a document the greatest counts. Null and empty texts are scored as texts without words; a null doc_id
-    stays null and is not held out; repeated rows stay. Without labels every score is 0.5.
+    df: doc_id, text and any other columns, which pass through; columns of the names added here are replaced. labels: doc_id,
+    quality (0 or 1), others ignored; null labels teach nothing, and of several labels of a document the greatest counts. Null
+    and empty texts are scored as texts without words; repeated rows stay. Without labels every score is 0.5.
     """
-    x = saved(measured(df), "features")
-    return scored(x, train(x, labels, rows), least)
+    return scored(df.drop("predicted"), train(df, labels, rows)).withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
