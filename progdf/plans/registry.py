@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import flow_queries
+
+QUERIES = {**flow_queries.QUERIES}
+ORACLES = {**flow_queries.ORACLES}
