@@ -9,12 +9,15 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, saved, table
 
 MIN_WORDS = 20
+#: So many removed units are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_UNITS = 1_000_000
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SPACES = {c: 32 for c in (9, 10, 11, 12, 13)}
@@ -55,26 +58,36 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     document that keeps the unit. A null text stays null and an empty one empty. A row without doc_id is left as it is and
     removes nothing elsewhere. Rows that repeat both doc_id and text count as one document and change alike.
     """
-    arrow_rows(df.sparkSession, 2000)
+    arrow_rows(df.sparkSession, 1000)
     df = df.drop("n_units", "n_removed", "removed", "_version", "_drop").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     found = saved(units(df, unit, min_words), "units")
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "version", "pos") != F.col("first")).select("doc_id", "version", "pos", "start", "end", F.col("first.doc_id").alias("keeper")).distinct()
-    drop = saved(later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "keeper"))).alias("_drop")), "repeats")
-    joined = df.withColumn("_version", F.xxhash64("text")).join(drop.withColumnRenamed("version", "_version"), ["doc_id", "_version"], "left").drop("_version")
+    drop = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "keeper"))).alias("_drop"))
+    drop = saved(drop.withColumnRenamed("version", "_version"), "repeats")
+    # where few units go, the texts stay where they are; otherwise texts and units meet by a shuffle
+    few = (drop.agg(F.sum(F.size("_drop") + 1)).first()[0] or 0) <= BROADCAST_UNITS
+    joined = df.withColumn("_version", F.xxhash64("text")).join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left").drop("_version")
     sep = SEPARATOR[unit]
-
-    @F.pandas_udf("string")
-    def rest(texts, drops):
-        def one(t, d):
-            gone = {x["pos"] for x in d}
-            return sep.join(x for i, x in enumerate(t.split(sep)) if i not in gone)
-
-        return texts.combine(drops, lambda t, d: t if t is None or d is None or not len(d) else one(t, d))
-
-    kept = rest("text", "_drop")
     pick = F.transform(F.coalesce("_drop", F.array().cast(drop.schema["_drop"].dataType)), lambda x: F.struct(x["start"], x["end"], x["keeper"]))
-    return joined.withColumns({"n_units": F.coalesce(F.size(F.split("text", sep)).cast("long"), F.lit(0)), "n_removed": F.size(pick).cast("long"), "removed": pick, "_kept": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)}).withColumn("text", F.col("_kept")).drop("_kept", "_drop")
+    added = {"n_units": F.coalesce(F.size(F.split("text", sep)).cast("long"), F.lit(0)), "n_removed": F.size(pick).cast("long"), "removed": pick, "_gone": F.transform("_drop", lambda x: x["pos"])}
+    joined = joined.withColumns(added).drop("_drop")
+    names = [c for c in joined.columns if c != "_gone"]
+
+    def run(batches):
+        for batch in batches:
+            gone = batch.column(batch.schema.get_field_index("_gone"))
+            mask = gone.is_valid()
+            text = batch.column(batch.schema.get_field_index("text"))
+            if pc.any(mask).as_py():
+                rest = []
+                for t, g in zip(text.filter(mask).to_pylist(), gone.filter(mask).to_pylist(), strict=True):
+                    out = set(g)
+                    rest.append(sep.join([x for i, x in enumerate(t.split(sep)) if i not in out]))
+                text = pc.replace_with_mask(text, mask, pa.array(rest, text.type))
+            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names], names)
+
+    return joined.mapInArrow(run, joined.select(*names).schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
