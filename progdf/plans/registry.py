@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import flow_queries
+from . import evaluation_queries, flow_queries
 
-QUERIES = {**flow_queries.QUERIES}
-ORACLES = {**flow_queries.ORACLES}
+_PARTS = (flow_queries, evaluation_queries)
+QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
+ORACLES = {k: q for p in _PARTS for k, q in p.ORACLES.items()}
