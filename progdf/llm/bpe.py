@@ -15,10 +15,10 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_rows, table
+from .common import arrow_rows, table, tidy
 
 #: Runs of text kept by a worker, twice over, and pairs of tokens.
-WORDS, PAIRS = 150_000, 500_000
+WORDS, PAIRS = 60_000, 300_000
 END = "\x00"
 #: str.split() parts words at these, which are no white space.
 NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
@@ -220,8 +220,9 @@ def _mapped(df: DataFrame, path: str | None, row: Callable, schema: str, kinds:
             rows = [row(enc, x) for x in batch.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+        enc.runs, enc.older = {}, {}
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encoded(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,25 @@ def arrow_rows(spark: SparkSession, n: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A mapInArrow function that gives memory back to the system when its partition ends: Python workers live on."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def held_out(doc_id) -> F.Column:
     """True on rows that no model learns from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
@@ -87,9 +109,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
-def slices(column, most: int = 1 << 21):
-    """(from, to) of runs of rows with about `most` bytes of text; a longer text is a run of its own."""
-    offsets = text_offsets(column)
+def slices(*columns, most: int = 1 << 19):
+    """(from, to) of runs of rows with about `most` bytes of text in all columns; a longer row is a run of its own."""
+    offsets = sum(text_offsets(c) for c in columns)
     start, n = 0, len(offsets) - 1
     while start < n:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, arrow_rows, held_out, saved, shingles, slices, table
+from .common import arrow_rows, held_out, saved, shingles, slices, table, tidy, Words
 
 #: Most labelled rows that a model is fitted on: those of least hash.
 TRAIN_ROWS = 20_000
@@ -93,7 +93,7 @@ def measured(df: DataFrame) -> DataFrame:
                 x = features(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(FEATURES)))], ["doc_id", *FEATURES])
 
-    return df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def _tree(g: np.ndarray, h: np.ndarray, leaves: int, reg: float = 1.0) -> np.ndarray:
@@ -235,7 +235,7 @@ def scored(df: DataFrame, model: Gam) -> DataFrame:
                 s = held.value.score(features(text.slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s)], [*names, "score"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+    return df.mapInArrow(tidy(run), StructType([*df.schema.fields, StructField("score", DoubleType())]))
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, saved, table
+from .common import arrow_rows, saved, table, tidy
 
 MIN_WORDS = 20
 #: So many removed units are broadcast to the texts; more are joined by a shuffle.
@@ -47,7 +47,7 @@ def units(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Data
             yield pa.RecordBatch.from_pydict(out, pa.schema([(k, pa.int64()) for k in out]))
 
     rows = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(run, "doc_id long, version long, pos long, start long, end long, d1 long, d2 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, version long, pos long, start long, end long, d1 long, d2 long")
 
 
 def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
@@ -87,7 +87,7 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
                 text = pc.replace_with_mask(text, mask, pa.array(rest, text.type))
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names], names)
 
-    return joined.mapInArrow(run, joined.select(*names).schema)
+    return joined.mapInArrow(tidy(run), joined.select(*names).schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
