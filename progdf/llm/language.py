@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_rows, held_out, slices, table
+from .common import arrow_rows, give_back, held_out, slices, table, tidy, Words
 
 #: Documents that a model is learned from, those of least hash; a longer text is used whole.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 BITS, CHUNK = 16, 64
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.05, 1e-6
 #: A word is in a language's lexicon if it was seen so often, in so large a share in that language.
@@ -58,10 +58,10 @@ class Features:
 
         def add(kind: int, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
             h = w.spans(a, b) + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))
-            numbers.append(((h ^ (h >> np.uint64(29))) & mask).astype(np.int64))
-            owners.append(of)
+            numbers.append(((h ^ (h >> np.uint64(29))) & mask).astype(np.int32))
+            owners.append(of.astype(np.int32))
 
-        every = np.arange(len(start))
+        every = np.arange(len(start), dtype=np.int32)
         for n in (1, 2, 3, 4):
             k = every[length >= n]
             add(n, start[k], start[k] + n, k)
@@ -75,11 +75,14 @@ class Features:
         if len(known):
             place = np.minimum(np.searchsorted(known, self.hash), len(known) - 1)
             hit = known[place] == self.hash
-            numbers.append((1 << BITS) + np.where(hit, member[place], labels))
+            numbers.append(((1 << BITS) + np.where(hit, member[place], labels)).astype(np.int32))
             owners.append(every)
-        order = np.argsort(np.concatenate(owners), kind="stable")
-        self.numbers = np.concatenate(numbers)[order]
-        self.bounds = np.searchsorted(np.concatenate(owners)[order], np.arange(len(start) + 1))
+        owner, number = np.concatenate(owners), np.concatenate(numbers)
+        owners.clear()
+        numbers.clear()
+        order = np.argsort(owner, kind="stable").astype(np.int32)
+        self.numbers = number[order]
+        self.bounds = np.searchsorted(owner[order], np.arange(len(start) + 1))
         self.lettered = w.lettered[first]
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
@@ -250,7 +253,10 @@ def train(df: DataFrame, docs: int = TRAIN_DOCS) -> Crf:
     labels = sorted(set(langs))
     texts = got["text"].combine_chunks()
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-    return fit(texts, np.array([labels.index(x) for x in langs], np.int64), labels)
+    model = fit(texts, np.array([labels.index(x) for x in langs], np.int64), labels)
+    del got, texts
+    give_back()
+    return model
 
 
 def languages(df: DataFrame, model: Crf | None = None, docs: int = TRAIN_DOCS) -> DataFrame:
@@ -277,7 +283,7 @@ def languages(df: DataFrame, model: Crf | None = None, docs: int = TRAIN_DOCS) -
                         best[i], share[i] = -1, 0.0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[best], pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
-    out = df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
