@@ -5,9 +5,11 @@ one exponential variable per shingle, so sketches merge by maximum and two regis
 Bands of registers give candidate pairs, a joint likelihood of the registers and the set sizes drops the hopeless ones, and
 every link is confirmed on the full shingle sets.
 
-Equal sets form one class first. Within a band's bucket, members are compared with one leader a round, and only members
-of different components are compared further, so a bucket of n near copies costs about n comparisons and not n * n.
-The last round compares what is still apart: members outside their bucket's largest component, in blocks, with all others.
+Equal sets form one class first. Within a band's bucket, members are compared with one leader a round, and later only members of
+different components are compared, so a bucket of n near copies costs about n comparisons and not n * n. What is still
+apart after two rounds is gathered into families by likelihood, taken five deviations below the threshold, and compared there
+in blocks on full sets: documents outside a family's largest component with all of its members. A block gives out no more
+links than it has components.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_rows, forget, mix, saved, shingles, slices, table
+from .common import arrow_rows, forget, mix, saved, shingles, slices, table, tidy, Words
 from .graph import components
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A class of at most so many ids is broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
-#: Rows of a bucket that one task compares at a time.
-BLOCK = 1024
+#: Rows of a bucket, and shingles of a family, that one task compares at a time.
+BLOCK, ELEMENTS = 512, 200_000
 
 
 def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def sketch(df: DataFrame, words: int, m: int) -> DataFrame:
                 raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * m * 2, m * 2, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(regs))])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), raw], ["doc_id", "n", "d1", "d2", "regs"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, regs binary")
 
 
 def _matrix(column, m: int) -> np.ndarray:
@@ -109,7 +111,7 @@ def bands(classes: DataFrame, m: int, rows: int, count: int) -> DataFrame:
             rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
 
-    return classes.select("rep", "regs").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "regs").mapInArrow(tidy(run), "key long, rep long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, m: int, least: float) -> DataFrame:
@@ -126,7 +128,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, m: int, least: float) -> Da
             keep = np.flatnonzero(est >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(est[keep])], ["a", "b", "est"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, est double")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(tidy(run), "a long, b long, est double")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,8 +137,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(batch.column(2), batch.column(3)):
+                part = batch.slice(lo, hi - lo)
                 sets = [shingles(Words(part.column(i)), words) for i in (2, 3)]
                 rows = [np.repeat(np.arange(part.num_rows), np.diff(b)) for _, b in sets]
                 h, row = np.concatenate([x for x, _ in sets]), np.concatenate(rows)
@@ -147,42 +149,107 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 keep = pa.array(np.flatnonzero((both > 0) & (100 * both >= percent * union)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def _apart(entries: DataFrame, classes: DataFrame, m: int, percent: int, least: float) -> DataFrame:
-    """(a, b, est): pairs of one bucket and different components with a likelihood of a link.
+class _Sets:
+    """Disjoint sets of small numbers."""
 
-    entries: (key, rep, comp) of buckets with several components. Those outside a bucket's largest component are dealt to
-    every block of its members; a block compares them in one matrix and gives out only likely pairs.
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return int(i)
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _alike(entries: DataFrame, classes: DataFrame, m: int, percent: int, least: float) -> DataFrame:
+    """(a, b): links by likelihood between components that share a bucket, no more of them than components.
+
+    entries: (key, rep, comp) of buckets with several components. Those outside a bucket's largest component are dealt to every
+    block of its members, and a block compares their registers with all others.
     """
     per = entries.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    size = per.groupBy("key").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("top"))
+    size = per.groupBy("key").agg(F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("k", "comp")).alias("top"))
     rows = entries.join(size, "key").join(classes.select("rep", "n", "regs"), "rep")
-    rows = rows.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    stored = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "comp", "n", "regs", F.lit(False).alias("asks"))
-    asking = rows.where(F.col("comp") != F.col("top.comp")).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "comp", "n", "regs", F.lit(True).alias("asks"))
+    data = ("rep", "comp", "n", "regs")
+    stored = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), *data, F.lit(False).alias("asks"))
+    asking = rows.where(F.col("comp") != F.col("top.comp")).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *data, F.lit(True).alias("asks"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        rep, n, asks = (t[c].to_numpy() for c in ("rep", "n", "asks"))
+        own, found = np.flatnonzero(~asks), []
+        if len(own) and asks.any():
+            regs = _matrix(t["regs"], m)
+            _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
+            sets = _Sets(int(comp.max()) + 1)
+            for i in np.flatnonzero(asks):
+                ok = own[(comp[own] != comp[i]) & (100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i]))]
+                same = (regs[ok] == regs[i]).sum(1)
+                near = same >= (least - 0.02) * m
+                ok, same = ok[near], same[near]
+                if len(ok):
+                    x, y = regs[ok], regs[i]
+                    est = likely(same, (x > y).sum(1), (x < y).sum(1), n[ok].astype(float), np.full(len(ok), float(n[i])))
+                    found += [(rep[i], rep[j]) for j in ok[est >= least] if sets.join(comp[i], comp[j])]
+        return _pairs(found)
+
+    return stored.unionByName(asking).groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+
+
+def _within(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): exact links between components of a family, no more of them than components in a pair of blocks.
+
+    members: (family, rep, comp, n, text). Documents outside a family's largest component are compared on full shingle
+    sets with all members of the family, by blocks of bounded size of the one and of the other.
+    """
+    per = members.groupBy("family", "comp").agg(F.sum("n").alias("k"))
+    size = per.groupBy("family").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
+    size = size.withColumns({"blocks": F.ceil(F.col("all") / ELEMENTS).cast("int"), "turns": F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.k")) / ELEMENTS).cast("int"))})
+    rows = members.join(size, "family")
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = ("rep", "comp", "text")
+    stored = rows.select("family", dealt("blocks").alias("block"), every("turns").alias("turn"), *data, F.lit(False).alias("asks"))
+    asking = rows.where(F.col("comp") != F.col("top.comp")).select("family", every("blocks").alias("block"), dealt("turns").alias("turn"), *data, F.lit(True).alias("asks"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        regs = _matrix(t["regs"], m)
-        rep, comp, n, asks = (t[c].to_numpy() for c in ("rep", "comp", "n", "asks"))
-        own = np.flatnonzero(~asks)
+        rep, asks = t["rep"].to_numpy(), t["asks"].to_numpy()
         found = []
-        for i in np.flatnonzero(asks):
-            ok = own[(comp[own] != comp[i]) & (100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i]))]
-            if len(ok):
-                x, y = regs[ok], regs[i]
-                est = likely((x == y).sum(1), (x > y).sum(1), (x < y).sum(1), n[ok].astype(float), np.full(len(ok), float(n[i])))
-                good = est >= least
-                found.append(np.stack([np.minimum(rep[ok[good]], rep[i]), np.maximum(rep[ok[good]], rep[i])]))
-                found[-1] = (found[-1], est[good])
-        a = np.concatenate([f[0][0] for f in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([f[0][1] for f in found]) if found else np.zeros(0, np.int64)
-        e = np.concatenate([f[1] for f in found]) if found else np.zeros(0)
-        return pa.table({"a": a, "b": b, "est": e})
-
-    return stored.unionByName(asking).groupBy("key", "block").applyInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+        if asks.any() and not asks.all():
+            text = t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"]
+            text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+            parts = [shingles(Words(text.slice(a, b - a)), words) for a, b in slices(text)]
+            n = np.concatenate([np.diff(b) for _, b in parts])
+            at = np.append(0, np.cumsum(n))
+            _, ids = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+            _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
+            own = np.flatnonzero(~asks & (n > 0))
+            held = np.concatenate([ids[at[j] : at[j + 1]] for j in own]) if len(own) else np.zeros(0, np.int64)
+            bounds = np.append(0, np.cumsum(n[own]))[:-1]
+            sets, flag = _Sets(int(comp.max()) + 1), np.zeros(len(ids) + 1, np.int32)
+            for i in np.flatnonzero(asks & (n > 0)) if len(own) else ():
+                mine = ids[at[i] : at[i + 1]]
+                flag[mine] = 1
+                both = np.add.reduceat(flag[held], bounds)
+                flag[mine] = 0
+                good = (comp[own] != comp[i]) & (100 * both >= percent * (n[i] + n[own] - both))
+                found += [(rep[i], rep[j]) for j in own[good] if sets.join(comp[i], comp[j])]
+        return _pairs(found)
+
+    return stored.unionByName(asking).groupBy("family", "block", "turn").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 200, rows: int = 5) -> DataFrame:
@@ -195,7 +262,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
     Rows that repeat a doc_id share its component. A row without doc_id has component_id null and is kept.
     """
     spark = df.sparkSession
-    arrow_rows(spark, 2000)
+    arrow_rows(spark, 500)
     base = saved(sketch(df, words, m), "sketch")
     classes = saved(
         base.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs")),
@@ -216,28 +283,34 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
         w = F.max(F.struct(F.col("est"), (-F.col("b")).alias("nb"), F.col("b"))).alias("top")
         return pairs.groupBy("a").agg(w).select("a", "top.b")
 
-    none = multi.sparkSession.createDataFrame([], "a long, b long")
     star = multi.where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     found = saved(confirmed(best(_estimated(star, classes, m, least)), texts, words, percent), "found")
     links = [found]
-    comp = components(found)
-    for step in ("other", "all"):
+    comp = saved(components(found), "components")
+
+    def apart() -> DataFrame:
+        """(key, rep, comp, lead) of buckets that hold several components; lead is another leader, by chance, in each."""
         entries = multi.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "comp")).alias("lead")).where("lo < hi")
-        entries = saved(entries.join(mixed.select("key", "lead"), "key"), "apart")
-        if step == "other":  # another leader, by chance, in each bucket
-            pairs = entries.where("comp != lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
-            pairs = best(_estimated(pairs, classes, m, least))
-        else:
-            pairs = _apart(entries.select("key", "rep", "comp"), classes, m, percent, least)
-        found = saved(confirmed(pairs, texts, words, percent), "found")
-        links.append(found)
-        every = none
-        for x in links:
-            every = every.unionByName(x)
-        comp = components(every)
-        forget(entries)
-    comp = saved(comp, "components")
+        lead = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "comp")).alias("lead")
+        mixed = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo < hi")
+        return saved(entries.join(mixed.select("key", "lead"), "key"), "apart")
+
+    entries = apart()
+    pairs = entries.where("comp != lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
+    links.append(saved(confirmed(best(_estimated(pairs, classes, m, least)), texts, words, percent), "found"))
+    forget(entries)
+    known = links[0].unionByName(links[1])
+    comp = saved(components(known), "components")
+    # what is left: families by likelihood, and all links within them by full sets
+    entries = apart()
+    alike = saved(_alike(entries.drop("lead"), classes, m, percent, least), "alike")
+    family = saved(components(known.unionByName(alike)).withColumnRenamed("component", "family"), "families")
+    open_ones = alike.select(F.col("a").alias("node")).join(family, "node").select("family").distinct()
+    members = family.join(open_ones, "family", "left_semi").join(comp, "node", "left").select("family", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+    members = members.join(classes.select("rep", "n"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    links.append(saved(_within(members, words, percent), "found"))
+    forget(entries, alike, family)
+    comp = saved(components(known.unionByName(links[2])), "components")
     forget(multi, reps, texts, *links)
     node = base.join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     own = node.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
