@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_rows, table, tidy
 
 #: Runs of text kept by a worker, twice over, and pairs of tokens.
-WORDS, PAIRS = 60_000, 300_000
+WORDS, PAIRS = 100_000, 300_000
 END = "\x00"
 #: str.split() parts words at these, which are no white space.
 NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
