@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licence_texts import MORE
 
 #: Least Dice coefficient, in hundredths.
 PERCENT = 90
@@ -33,6 +34,7 @@ TEMPLATES = {
     "Unlicense (notice)": "This is free and unencumbered software released into the public domain.",
     "All rights reserved": "All rights reserved.",
 }
+TEMPLATES |= {k: v for k, v in MORE.items() if k not in TEMPLATES}
 
 
 def bigrams(text: str) -> list[str]:

@@ -277,6 +277,14 @@ def test_licences(spark, edge_docs):
     assert licences.licence_scan(edge_docs).count() == 9 and licences.licence_scan(empty(edge_docs)).count() == 0
 
 
+def test_licences_of_common_families(spark):
+    lines = ["Licensed under CC BY-NC 4.0.", "licensed under cc by 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]
+    lines += [licences.TEMPLATES[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0 (header)", "AGPL-3.0 (header)", "Apache-2.0")]
+    want = ["CC-BY-NC-4.0 (short)", "CC-BY-4.0 (short)", "CC-BY-NC-ND-4.0 (reference)", "BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0 (header)", "AGPL-3.0 (header)", "Apache-2.0"]
+    best = {r.doc_id: max((m.dice, m.licence) for m in r.licences) for r in licences.licence_scan(docs(spark, lines)).collect()}
+    assert best == {i: (100, k) for i, k in enumerate(want)}
+
+
 def test_words_split_as_the_pattern_does():
     texts = ["Ab  cd\nab\x0bcd", None, "", "x", " é ü\x85 "]
     w = common.Words(pa.array(texts))
