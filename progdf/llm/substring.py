@@ -1,7 +1,8 @@
 """Repeated lines or paragraphs: keep the earliest ranked occurrence, remove the others, keep the original offsets.
 
 A unit is normalised (A-Z to a-z, runs of white space to one space) and hashed to 128 bits. Units of fewer than `min_words`
-words are never removed: short lines repeat by chance. Occurrences rank by doc_id, then by place in the text.
+words may repeat by chance: they go only if they stand in `short_docs` documents or more. Occurrences rank by doc_id, then by
+place in the text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, saved, table, tidy
 
 MIN_WORDS = 20
+#: Documents from which on a unit of fewer words counts as repeated.
+SHORT_DOCS = 3
 #: So many removed units are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_UNITS = 1_000_000
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
@@ -29,28 +32,28 @@ def normal(unit: str) -> list[str]:
     return [w for w in unit.translate(_NORMAL).split(" ") if w]
 
 
-def units(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, pos, start, end, d1, d2) of each unit of at least min_words words; offsets are code points."""
+def units(df: DataFrame, unit: str = "line") -> DataFrame:
+    """(doc_id, version, pos, start, end, words, d1, d2) of each unit with a word; offsets are code points."""
     sep = SEPARATOR[unit]
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "version", "pos", "start", "end", "d1", "d2")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "version", "pos", "start", "end", "words", "d1", "d2")}
             for i, v, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 at = 0
                 for pos, x in enumerate(text.split(sep)):
-                    if len(x) > 2 * min_words - 2 and len(words := normal(x)) >= min_words:
+                    if words := normal(x):
                         d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        for k, y in zip(out, (i, v, pos, at, at + len(x), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
+                        for k, y in zip(out, (i, v, pos, at, at + len(x), len(words), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
                             out[k].append(y)
                     at += len(x) + len(sep)
             yield pa.RecordBatch.from_pydict(out, pa.schema([(k, pa.int64()) for k in out]))
 
     rows = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(tidy(run), "doc_id long, version long, pos long, start long, end long, d1 long, d2 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, version long, pos long, start long, end long, words long, d1 long, d2 long")
 
 
-def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """Every row of df with the later occurrences of its repeated units removed.
 
     df: doc_id, text and any other columns, which pass through unchanged; columns of the names added here are replaced.
@@ -60,8 +63,10 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     """
     arrow_rows(df.sparkSession, 1000)
     df = df.drop("n_units", "n_removed", "removed", "_version", "_drop").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    found = saved(units(df, unit, min_words), "units")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = saved(units(df, unit), "units")
+    per = found.groupBy("d1", "d2", "doc_id").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"), F.min("words").alias("words"))
+    first = per.groupBy("d1", "d2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("words").alias("words"))
+    first = first.where((F.col("n") > 1) & ((F.col("words") >= min_words) | (F.col("docs") >= short_docs))).select("d1", "d2", "first")
     later = found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "version", "pos") != F.col("first")).select("doc_id", "version", "pos", "start", "end", F.col("first.doc_id").alias("keeper")).distinct()
     drop = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "keeper"))).alias("_drop"))
     drop = saved(drop.withColumnRenamed("version", "_version"), "repeats")

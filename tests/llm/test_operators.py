@@ -212,6 +212,14 @@ def test_repeated_lines(spark, edge_docs):
     assert substring.remove_repeats(empty(edge_docs)).count() == 0
 
 
+def test_short_lines_of_many_documents_go(spark):
+    own = [prose(30) for _ in range(4)]
+    d = docs(spark, [f"Share This  page\n{x}" if i % 2 else f"{x}\nshare this page\n\n" for i, x in enumerate(own)] + ["by chance\n" + prose(30), prose(30) + "\nby chance"])
+    got = {r.doc_id: r for r in substring.remove_repeats(d).collect()}
+    assert got[0].text == own[0] + "\nshare this page\n\n" and [got[i].text for i in (1, 2, 3)] == [own[1], own[2] + "\n\n", own[3]]
+    assert got[3].removed[0].keeper == 0 and got[4].n_removed == 0 and got[5].n_removed == 0
+
+
 PAGE = "<html><body><header>Site</header><nav><a href=x>a</a></nav><div class='cookie-notice'>We use cookies here</div><div id=content><h1>Title</h1><p>First &amp; long para of text\n here.</p><p>Second para <a href=x>link</a> with text.</p></div><aside>side text</aside><section id=comments><p>I like this very much</p></section><footer>foot</footer></body></html>"
 
 
