@@ -3,22 +3,30 @@
 A unit is normalised (A-Z to a-z, runs of white space to one space) and hashed to 128 bits. Units of fewer than `min_words`
 words may repeat by chance: they go only if they stand in `short_docs` documents or more. Occurrences rank by doc_id, then by
 place in the text.
+
+What is left is then searched for passages of `passage` words or more that stand in it before, wherever they begin and end.
+Runs of half that length, chosen by least hash so that every window of `passage` words has one, tell which windows can
+repeat; only these are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, saved, table, tidy
+from .common import WORD, Words, _powers, arrow_rows, mix, saved, slices, table, tidy
 
 MIN_WORDS = 20
 #: Documents from which on a unit of fewer words counts as repeated.
 SHORT_DOCS = 3
+#: Least words of a passage that goes wherever it stands.
+PASSAGE = 50
 #: So many removed units are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_UNITS = 1_000_000
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
@@ -53,12 +61,160 @@ def units(df: DataFrame, unit: str = "line") -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id long, version long, pos long, start long, end long, words long, d1 long, d2 long")
 
 
-def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, short_docs: int = SHORT_DOCS) -> DataFrame:
-    """Every row of df with the later occurrences of its repeated units removed.
+def _runs(words: Words, k: int) -> np.ndarray:
+    """Hash of the k words from each word on; those that pass a text's end mean nothing."""
+    n = len(words.hash)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(n + 1)
+    p = np.zeros(n + 1, np.uint64)
+    np.cumsum(words.hash * power[:n], out=p[1:])
+    return mix((p[k:] - p[:-k]) * inverse[: n - k + 1])
+
+
+def _windows(column, size: int):
+    """(words, whether a window of size words begins at each word, least hash of its shorter runs, hashes of the shorter runs)."""
+    w = Words(column)
+    half = size // 2
+    g = _runs(w, half)
+    n = len(w.hash) - size + 1
+    if n < 1:
+        return w, np.zeros(0, bool), np.zeros(0, np.uint64), g
+    least = np.lib.stride_tricks.sliding_window_view(g, size - half + 1).min(axis=1)
+    return w, w.row[:n] == w.row[size - 1 :], least, g
+
+
+def _texts(batch):
+    """(ids, versions, texts) of a batch in runs of little text."""
+    text = batch.column(2)
+    for a, b in slices(text):
+        yield batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), text.slice(a, b - a), (a, b)
+
+
+def _marks(size: int):
+    """Rows (doc_id, version, pos, mark): the run of least hash of each window of size words."""
+    names = ("doc_id", "version", "pos", "mark")
+
+    def run(batches):
+        for batch in batches:
+            for ids, versions, text, _ in _texts(batch):
+                w, whole, least, g = _windows(text, size)
+                if not whole.any():
+                    continue
+                span = size - size // 2
+                padded = np.zeros(len(g) + span, np.uint64)
+                padded[span : span + len(least)] = np.where(whole, least, np.uint64(0))
+                at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, span + 1).max(axis=1) == g)
+                row = w.row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], versions[row], at - w.first[row], g[at].view(np.int64))], names)
+
+    return run
+
+
+def _candidates(size: int):
+    """Rows (doc_id, version, pos, mark, window) of the windows whose mark is among the row's repeated ones."""
+    names = ("doc_id", "version", "pos", "mark", "window")
+
+    def run(batches):
+        for batch in batches:
+            marks = batch.column(3)
+            for ids, versions, text, (a, b) in _texts(batch):
+                w, whole, least, _ = _windows(text, size)
+                hot = marks.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                at = np.flatnonzero(whole & np.isin(least, hot))
+                if len(at):
+                    row = w.row[at]
+                    cols = (ids[row], versions[row], at - w.first[row], least[at].view(np.int64), _runs(w, size)[at].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+
+    return run
+
+
+def _passages(df: DataFrame, size: int) -> DataFrame:
+    """(doc_id, _version, _cut): for each text with repeated windows, its words to remove as structs (from, to, keeper) in order.
+
+    Each removed word stands in an earlier occurrence of its window; where a window overlaps its own first occurrence, only
+    what lies after that goes.
+    """
+    key = ["doc_id", "_version"]
+    text = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(*key, "text")
+    marks = saved(text.mapInArrow(tidy(_marks(size)), "doc_id long, version long, pos long, mark long"), "marks")
+    place = F.struct("doc_id", "version", "pos")
+    again = marks.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("mark")
+    hot = marks.join(again, "mark").groupBy("doc_id", F.col("version").alias("_version")).agg(F.collect_set("mark").alias("marks"))
+    found = text.join(hot, key).select(*key, "text", "marks").mapInArrow(tidy(_candidates(size)), "doc_id long, version long, pos long, mark long, window long")
+    found = saved(found, "windows")
+    first = found.groupBy("mark", "window").agg(F.min(place).alias("first"), F.max(place).alias("z")).where("first <> z").drop("z")
+    later = found.join(first, ["mark", "window"]).where(place != F.col("first"))
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    start = F.when(own, F.greatest("pos", F.col("first.pos") + size)).otherwise(F.col("pos"))
+    spans = F.array_sort(F.collect_set(F.struct(start.alias("from"), (F.col("pos") + size).alias("to"), F.col("first.doc_id").alias("keeper"))))
+    return saved(later.groupBy("doc_id", F.col("version").alias("_version")).agg(spans.alias("_cut")), "passages")
+
+
+def _cut(text: str, spans, lines, sep: int):
+    """text without the words of spans, and what goes as (start, end, keeper) in the text that had the removed lines too."""
+    words = [m.span() for m in re.finditer(WORD, text)]
+    runs: list[list[int]] = []
+    done = 0
+    for x in spans:
+        a, b = max(x["from"], done), x["to"]
+        if b > a:
+            if runs and runs[-1][1] == a and runs[-1][2] == x["keeper"]:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b, x["keeper"]])
+            done = b
+    rest, at, out = [], 0, []
+    for a, b, keeper in runs:
+        start, end = words[a][0], words[b - 1][1]
+        rest.append(text[at:start])
+        at = end
+        # offsets with the lines put back, in pieces where a removed line lies within
+        for s, e in lines:
+            if s <= start:
+                start, end = start + e - s + sep, end + e - s + sep
+            elif s < end:
+                out.append({"start": start, "end": s - sep, "keeper": keeper})
+                start, end = e + sep, end + e - s + sep
+        out.append({"start": start, "end": end, "keeper": keeper})
+    return "".join([*rest, text[at:]]), out
+
+
+def _without_passages(df: DataFrame, size: int, sep: str) -> DataFrame:
+    """df, which has had its lines removed, without repeated passages; n_removed and removed count these too."""
+    drop = _passages(df, size)
+    few = (drop.agg(F.sum(F.size("_cut") + 1)).first()[0] or 0) <= BROADCAST_UNITS
+    joined = df.join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left")
+    names = [c for c in df.columns if c != "_version"]
+
+    def run(batches):
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            new = {c: get(c) for c in names}
+            mask = get("_cut").is_valid()
+            if pc.any(mask).as_py():
+                texts, removed = [], []
+                for t, spans, lines in zip(*(get(c).filter(mask).to_pylist() for c in ("text", "_cut", "removed")), strict=True):
+                    rest, out = _cut(t, spans, [(x["start"], x["end"]) for x in lines], len(sep))
+                    texts.append(rest)
+                    removed.append(sorted(lines + out, key=lambda x: x["start"]))
+                every, it = get("removed").to_pylist(), iter(removed)
+                every = [next(it) if m else x for m, x in zip(mask.to_pylist(), every, strict=True)]
+                new["text"] = pc.replace_with_mask(new["text"], mask, pa.array(texts, new["text"].type))
+                new["removed"] = pa.array(every, new["removed"].type)
+                new["n_removed"] = pa.array([len(x) for x in every], pa.int64())
+            yield pa.RecordBatch.from_arrays([new[c] for c in names], names)
+
+    return joined.mapInArrow(tidy(run), joined.select(*names).schema)
+
+
+def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, short_docs: int = SHORT_DOCS, passage: int = PASSAGE) -> DataFrame:
+    """Every row of df with the later occurrences of its repeated units and passages removed; passage 0 looks for units alone.
 
     df: doc_id, text and any other columns, which pass through unchanged; columns of the names added here are replaced.
     Adds n_units, n_removed and removed, an array of (start, end, keeper): code points in the original text, and the
-    document that keeps the unit. A null text stays null and an empty one empty. A row without doc_id is left as it is and
+    document that keeps the unit or passage; n_removed is its length. A null text stays null and an empty one empty. A row without doc_id is left as it is and
     removes nothing elsewhere. Rows that repeat both doc_id and text count as one document and change alike.
     """
     arrow_rows(df.sparkSession, 1000)
@@ -72,7 +228,7 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     drop = saved(drop.withColumnRenamed("version", "_version"), "repeats")
     # where few units go, the texts stay where they are; otherwise texts and units meet by a shuffle
     few = (drop.agg(F.sum(F.size("_drop") + 1)).first()[0] or 0) <= BROADCAST_UNITS
-    joined = df.withColumn("_version", F.xxhash64("text")).join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left").drop("_version")
+    joined = df.withColumn("_version", F.xxhash64("text")).join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left")
     sep = SEPARATOR[unit]
     pick = F.transform(F.coalesce("_drop", F.array().cast(drop.schema["_drop"].dataType)), lambda x: F.struct(x["start"], x["end"], x["keeper"]))
     added = {"n_units": F.coalesce(F.size(F.split("text", sep)).cast("long"), F.lit(0)), "n_removed": F.size(pick).cast("long"), "removed": pick, "_gone": F.transform("_drop", lambda x: x["pos"])}
@@ -92,11 +248,12 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
                 text = pc.replace_with_mask(text, mask, pa.array(rest, text.type))
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names], names)
 
-    return joined.mapInArrow(tidy(run), joined.select(*names).schema)
+    lines = joined.mapInArrow(tidy(run), joined.select(*names).schema)
+    return _without_passages(saved(lines, "lines"), passage, sep) if passage else lines.drop("_version")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines: doc_id, text, n_units, n_removed and removed as start:end:keeper, joined by commas."""
+    """Documents without their repeated lines and passages: doc_id, text, n_units, n_removed and removed as start:end:keeper, joined by commas."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["keeper"].cast("string"))), ",")
     return out.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed"))

@@ -220,6 +220,20 @@ def test_short_lines_of_many_documents_go(spark):
     assert got[3].removed[0].keeper == 0 and got[4].n_removed == 0 and got[5].n_removed == 0
 
 
+def test_passages_within_lines_go(spark):
+    rng = random.Random(8)
+    shared, a, b = prose(70, rng), prose(60, rng), prose(30, rng)
+    short = "\n".join(prose(6, rng) for _ in range(12))
+    line = prose(25, rng)
+    texts = [f"{line}\n{a} {shared} {b}", f"ä {line}\n{line}\n{b} x {shared.upper()} end", f"{a[::-1]}\n{short}\nown", f"head\n{short}\ntail", "w " * 120, prose(49, rng) + " y"]
+    texts += [texts[5][:-1] + "z", texts[5][:-2]]
+    got = {r.doc_id: r for r in substring.remove_repeats(docs(spark, texts)).collect()}
+    assert [got[i].n_removed for i in (0, 2, 5, 6, 7)] == [0] * 5
+    assert re.sub(" +", " ", got[1].text) == f"ä {line}\n{b} x end" and got[3].text == "head\n\ntail" and got[4].text.split() == ["w"] * 50
+    assert [(x.keeper, texts[1][x.start : x.end]) for x in got[1].removed] == [(0, line), (0, shared.upper())]
+    assert [(x.keeper, texts[3][x.start : x.end]) for x in got[3].removed] == [(2, short)]
+
+
 PAGE = "<html><body><header>Site</header><nav><a href=x>a</a></nav><div class='cookie-notice'>We use cookies here</div><div id=content><h1>Title</h1><p>First &amp; long para of text\n here.</p><p>Second para <a href=x>link</a> with text.</p></div><aside>side text</aside><section id=comments><p>I like this very much</p></section><footer>foot</footer></body></html>"
 
 
