@@ -42,7 +42,7 @@ def _fields(spark, d) -> pta.Constraints:
     """Suppliers hold parts in fields by brand, stored through order lines; loads by line: exact, of any field, of the unknown."""
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     x = line.join(part.select(F.col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("brand")), "l_partkey")
-    x = x.where("l_orderkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), "brand", "l_linenumber").distinct()
+    x = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), "brand", "l_linenumber").distinct()
     v = lambda kind: F.col("line") * 10 + kind
     obj = lambda col: F.col(col) * 2 + 2
     address = x.select(v(1).alias("value"), obj("s").alias("object")).unionByName(x.select(v(2).alias("value"), (F.col("p") * 2 + 3).alias("object")))
@@ -113,7 +113,7 @@ def cg_report(spark, d):
 
 
 def cg_dot(spark, d):
-    e = _calls(spark, d).where("caller % 100 = 0").withColumn("label", F.concat_ws("/", "l_returnflag", "l_linestatus"))
+    e = _calls(spark, d).withColumn("label", F.concat_ws("/", "l_returnflag", "l_linestatus"))
     return dot.cg_lines(e.distinct()).select("place", "line")
 
 
@@ -170,13 +170,13 @@ def inherited_members(spark, d):
 
 
 def cfg_dot(spark, d):
-    i = X.instructions(spark, d).where("code_id % 25 = 0")
+    i = X.instructions(spark, d)
     p = cfg.with_blocks(i)
     return dot.cfg_document(p, cfg.edges(p))
 
 
 def cdg_dot(spark, d):
-    i = X.instructions(spark, d).where("code_id % 25 = 0")
+    i = X.instructions(spark, d)
     p = cfg.with_blocks(i)
     e = cfg.edges(p)
     return dot.cdg_document(cdg.control_dependence(e, cdg.post_dominance(cfg.blocks(p), e)))

@@ -58,7 +58,7 @@ def edge_verdicts(spark, d):
 
 
 def path_composition(spark, d):
-    p = V.simple_paths(_chain(spark, d).where("conv_id % 2 = 0"), 5, ("conv_id",))
+    p = V.simple_paths(_chain(spark, d), 5, ("conv_id",))
     return p.select("conv_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
