@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, _powers, arrow_rows, mix, saved, slices, table, tidy
+from .common import WORD, Words, _powers, arrow_rows, forget, mix, saved, slices, table, tidy
 
 MIN_WORDS = 20
 #: Documents from which on a unit of fewer words counts as repeated.
@@ -144,12 +144,15 @@ def _passages(df: DataFrame, size: int) -> DataFrame:
     hot = marks.join(again, "mark").groupBy("doc_id", F.col("version").alias("_version")).agg(F.collect_set("mark").alias("marks"))
     found = text.join(hot, key).select(*key, "text", "marks").mapInArrow(tidy(_candidates(size)), "doc_id long, version long, pos long, mark long, window long")
     found = saved(found, "windows")
+    forget(marks)
     first = found.groupBy("mark", "window").agg(F.min(place).alias("first"), F.max(place).alias("z")).where("first <> z").drop("z")
     later = found.join(first, ["mark", "window"]).where(place != F.col("first"))
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
     start = F.when(own, F.greatest("pos", F.col("first.pos") + size)).otherwise(F.col("pos"))
     spans = F.array_sort(F.collect_set(F.struct(start.alias("from"), (F.col("pos") + size).alias("to"), F.col("first.doc_id").alias("keeper"))))
-    return saved(later.groupBy("doc_id", F.col("version").alias("_version")).agg(spans.alias("_cut")), "passages")
+    out = saved(later.groupBy("doc_id", F.col("version").alias("_version")).agg(spans.alias("_cut")), "passages")
+    forget(found)
+    return out
 
 
 def _cut(text: str, spans, lines, sep: int):
@@ -226,6 +229,7 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     later = found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "version", "pos") != F.col("first")).select("doc_id", "version", "pos", "start", "end", F.col("first.doc_id").alias("keeper")).distinct()
     drop = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "keeper"))).alias("_drop"))
     drop = saved(drop.withColumnRenamed("version", "_version"), "repeats")
+    forget(found)
     # where few units go, the texts stay where they are; otherwise texts and units meet by a shuffle
     few = (drop.agg(F.sum(F.size("_drop") + 1)).first()[0] or 0) <= BROADCAST_UNITS
     joined = df.withColumn("_version", F.xxhash64("text")).join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left")
