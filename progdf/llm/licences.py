@@ -1,6 +1,7 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams, with DataFrame operations only.
 
-Every line of a text, and the whole text where it has several lines, is a unit. Only templates whose bigram count can still
+Every line of a text, and the whole text where it has several lines, is a unit, and so is every other run of words with no more
+bigrams than a template accepts: a notice over several lines, or within a longer one. Only templates whose bigram count can still
 reach the threshold with the unit's own count are compared; the counts that a template accepts are listed, so this is a hash
 join on the count and not a comparison of every unit with every template.
 """
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -53,10 +54,75 @@ def _words(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(ascii_low, "[^a-z0-9]+", " ")), " ")
 
 
+def _hashes(w: Column) -> Column:
+    return F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(F.concat(F.get(w, i), F.lit(" "), x)))
+
+
+def _runs(df: DataFrame, sets: dict[str, list[str]], counts: dict[str, list[int]], percent: int) -> DataFrame:
+    """The best run of words of each place where some reach the threshold and neither a line in it nor the whole text does; line is where it begins.
+
+    Texts that lack too many of a template's bigrams are left out first. A run has at most as many bigrams, repeats counted, as the
+    template accepts; runs begin and end with bigrams of the template, as others only lower the coefficient.
+    """
+    spark = df.sparkSession
+    # a match shares percent / 200 of the two counts, and its own count is the least accepted or more
+    least = {k: -(-percent * (len(sets[k]) + counts[k][0]) // 200) for k in sets if counts[k]}
+    rows = [(k, sets[k], least[k], counts[k][-1]) for k in least]
+    known = spark.createDataFrame(rows, "licence string, wanted array<string>, least int, most int").select("licence", "least", "most", F.array_distinct(F.transform("wanted", lambda x: F.xxhash64(x))).alias("wanted"))
+    every = known.agg(F.collect_list(F.struct("licence", "least", "most", "wanted")).alias("known"), F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("any"))
+    words = df.where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array(_words(F.col("text")))).alias("w")).where(F.size("w") > min(least.values(), default=0))
+    hits = words.select("doc_id", "text", F.explode(F.array(_hashes(F.col("w")))).alias("h")).join(F.broadcast(every))
+    hits = hits.select("doc_id", "text", "known", F.explode(F.array(F.array_intersect("h", "any"))).alias("hits")).where(F.size("hits") >= min(least.values(), default=1))
+    some = F.filter("known", lambda k: (k["least"] <= F.size("hits")) & (F.size(F.array_intersect(k["wanted"], "hits")) >= k["least"]))
+    found = hits.select("doc_id", "text", F.explode(some).alias("k"))
+    # all bigrams of those texts: line, place, whether the template has it, and where the text had it last
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.filter(_words(x), lambda y: y != "").alias("w"))), lambda x: F.size(x["w"]) > 0)
+    flat = F.flatten(F.transform(lines, lambda x: F.transform(x["w"], lambda y: F.struct(x["line"].alias("line"), y.alias("word")))))
+    flat = found.select("doc_id", "k", F.explode(F.array(flat)).alias("f"))
+    nxt = F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0)))
+    seq = F.transform(nxt, lambda x, i: F.struct(F.get("f", i)["line"].alias("line"), x["line"].alias("to"), F.xxhash64(F.concat(F.get("f", i)["word"], F.lit(" "), x["word"])).alias("h")))
+    own = flat.select("doc_id", "k", F.explode(F.array(seq)).alias("seq"))
+    share = lambda a, k: F.size(F.array_intersect(a, k["wanted"]))
+    reaches = lambda a, k: 200 * share(a, k) >= percent * (F.size(F.array_distinct(a)) + F.size(k["wanted"]))
+    whole = F.transform("seq", lambda x: x["h"])
+    own = own.where(~reaches(whole, F.col("k")))
+    # lines that match by themselves
+    numbers = F.array_distinct(F.transform(F.filter("seq", lambda x: F.array_contains(F.col("k.wanted"), x["h"])), lambda x: x["line"]))
+    single = lambda n: F.transform(F.filter("seq", lambda x: (x["line"] == n) & (x["to"] == n)), lambda x: x["h"])
+    own = own.withColumn("single", F.filter(numbers, lambda n: reaches(single(n), F.col("k"))))
+    # where the text had each bigram before: it counts in a run only if that is before the run
+    flat = own.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "k", "single", F.posexplode("seq").alias("i", "x"))
+    before = F.coalesce(F.lag("i").over(Window.partitionBy("row", "x.h").orderBy("i")), F.lit(-1))
+    item = F.struct("i", "x.line", "x.to", F.array_contains("k.wanted", F.col("x.h")).alias("hit"), before.alias("before"))
+    flat = flat.select("row", "doc_id", F.col("k.licence").alias("licence"), F.size("k.wanted").alias("n_template"), F.col("k.most").alias("most"), "single", item.alias("x"))
+    text = flat.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "licence", "n_template", "most", "single")), F.array_sort(F.collect_list("x")).alias("seq"))
+    at = text.select(*(c for c in text.columns if c != "seq"), F.explode(F.filter("seq", lambda x: x["hit"])).alias("s"), "seq").withColumn("start", F.col("s.i"))
+    size = F.col("n_template")
+    none = F.struct(*(F.lit(0).alias(c) for c in ("shared", "n_unit", "best_shared", "best_n", "end", "to")))
+
+    def step(a: Column, x: Column) -> Column:
+        new = x["before"] < F.col("start")
+        shared, n = a["shared"] + (new & x["hit"]).cast("int"), a["n_unit"] + new.cast("int")
+        better = x["hit"] & (200 * shared >= percent * (n + size)) & (shared * (a["best_n"] + size) > a["best_shared"] * (n + size))
+        pick = lambda y, old: F.when(better, y).otherwise(a[old]).alias(old)
+        return F.struct(shared.alias("shared"), n.alias("n_unit"), pick(shared, "best_shared"), pick(n, "best_n"), pick(x["i"] + 1, "end"), pick(x["to"], "to"))
+
+    best = at.withColumn("m", F.explode(F.array(F.aggregate(F.slice("seq", F.col("start") + 1, F.col("most")), none, step)))).drop("seq").where("m.best_shared > 0")
+    best = best.select("row", "doc_id", "licence", "n_template", "single", "start", "m.end", "m.to", F.col("s.line").alias("line"), F.col("m.best_shared").alias("shared"), F.col("m.best_n").alias("n_unit"))
+    best = best.withColumn("dice", F.col("shared") / (F.col("n_unit") + F.col("n_template")))
+    best = best.where(~F.exists("single", lambda n: n.between(F.col("line"), F.col("to")))).drop("single")
+    # runs that overlap are one place, the best of them stands for it
+    w = Window.partitionBy("row", "licence").orderBy("start")
+    best = best.withColumn("new", F.coalesce((F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    best = best.withColumn("place", F.sum("new").over(w))
+    top = best.groupBy("row", "licence", "place").agg(F.max(F.struct("dice", (-F.col("start")).alias("first"), "doc_id", "line", "shared", "n_unit", "n_template")).alias("b"))
+    return top.select("b.doc_id", "b.line", "licence", "b.shared", "b.n_unit", "b.n_template")
+
+
 def licence_matches(df: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line, licence, shared, n_unit, n_template): every unit of df and template with a Dice coefficient of percent / 100 or more.
 
-    df: doc_id, text, other columns ignored. line counts from 1; 0 is the whole text. Bigrams count once each. Null and empty
+    df: doc_id, text, other columns ignored. line counts from 1; 0 is the whole text. A run of words that is neither has the line where it begins. Bigrams count once each. Null and empty
     texts and units of fewer than two words match nothing; a null doc_id is kept as null; repeated rows give repeated matches.
     """
     spark = df.sparkSession
@@ -77,7 +143,8 @@ def licence_matches(df: DataFrame, templates: dict[str, str] | None = None, perc
     units = words.select("doc_id", "line", F.explode(F.array(pairs)).alias("own")).where(F.size("own").between(low, high))
     shared = F.size(F.array_intersect("own", "wanted"))
     joined = units.withColumn("n_unit", F.size("own")).join(F.broadcast(known), "n_unit").withColumn("shared", shared).withColumn("n_template", F.size("wanted"))
-    return joined.where(200 * F.col("shared") >= percent * (F.col("n_unit") + F.col("n_template"))).select("doc_id", "line", "licence", "shared", "n_unit", "n_template")
+    alone = joined.where(200 * F.col("shared") >= percent * (F.col("n_unit") + F.col("n_template"))).select("doc_id", "line", "licence", "shared", "n_unit", "n_template")
+    return alone.unionByName(_runs(df, sets, counts, percent))
 
 
 def licence_scan(df: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:

@@ -307,6 +307,18 @@ def test_licences_of_common_families(spark):
     assert best == {i: (100, k) for i, k in enumerate(want)}
 
 
+def test_licences_over_lines_and_within_lines(spark):
+    t = licences.TEMPLATES
+    wrapped = lambda k, n, mark="": "\n".join(mark + " ".join(t[k].split()[i : i + n]) for i in range(0, len(t[k].split()), n))
+    rng = random.Random(5)
+    texts = [f"{prose(30, rng)}\n\n{wrapped('MIT', 9)}\n\n{prose(40, rng)}", f"{prose(20, rng)}\n{prose(20, rng)}\n{wrapped('Apache-2.0 (header)', 7, '# ')}\nimport x {prose(50, rng)}", prose(60, rng) + " Licensed under CC BY-NC 4.0. " + prose(60, rng)]
+    texts += [prose(9, rng) + "\nLicensed under CC BY-NC 4.0.\nx", f"{prose(9, rng)}\n{wrapped('ISC', 8)}\n{prose(99, rng)}\n{wrapped('ISC', 12)}\nz z z z", prose(20, rng) + " permission is hereby granted free of charge " + prose(90, rng)]
+    got = {r.doc_id: [(m.line, m.licence, m.dice) for m in r.licences] for r in licences.licence_scan(docs(spark, texts)).collect()}
+    assert got[0] == [(3, "MIT", 100)] and (3, "Apache-2.0 (header)", 100) in got[1] and got[2] == [(1, "CC-BY-NC-4.0 (short)", 100)]
+    again = texts[4].split("\n").index(wrapped("ISC", 12).split("\n")[0]) + 1
+    assert got[3] == [(2, "CC-BY-NC-4.0 (short)", 100)] and got[4] == [(2, "ISC", 100), (again, "ISC", 100)] and got[5] == []
+
+
 def test_words_split_as_the_pattern_does():
     texts = ["Ab  cd\nab\x0bcd", None, "", "x", " é ü\x85 "]
     w = common.Words(pa.array(texts))
