@@ -9,19 +9,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_rows, table, tidy
+from .common import arrow_rows, slices, table, tidy
 
-#: Runs of text kept by a worker, twice over, and pairs of tokens.
-WORDS, PAIRS = 100_000, 300_000
+#: Pieces of text kept by a worker, twice over, and pairs of tokens: about 50 and 30 MB.
+PIECES, PAIRS = 75_000, 200_000
 END = "\x00"
-#: str.split() parts words at these, which are no white space.
-NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+#: Characters whose classes, composition and lower case every version of Unicode has alike: Latin, Greek, Cyrillic, punctuation.
+PLAIN = [*range(0x530), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
 
 
 def byte_letters() -> list[str]:
@@ -36,7 +38,7 @@ class Encoder:
 
     def __init__(self, source: str):
         import ahocorasick
-        import regex
+        from tokenizers import Tokenizer
 
         spec = json.loads(source)
         model = spec["model"]
@@ -44,8 +46,11 @@ class Encoder:
         self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
-        self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        small = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "pre_tokenizer": split, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.normal, self.split = small.normalizer, small.pre_tokenizer
+        self._classes(split["pattern"]["Regex"])
         self.letters = byte_letters()
         vocab = model["vocab"]
         # order of a token: its merge's place, -1 for single letters; halves: what it is merged from
@@ -55,9 +60,9 @@ class Encoder:
             t = vocab[a + b]
             self.merge[vocab[a], vocab[b]] = k
             self.order[t], self.halves[t] = k, (vocab[a], vocab[b])
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.runs: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         self.sizes = [0] * (max(vocab.values()) + 1)
         self.find = ahocorasick.Automaton()
         for text, t in vocab.items():
@@ -67,6 +72,27 @@ class Encoder:
                     self.find.add_word(self.marked(text), (t, len(self.marked(text))))
         self.find.make_automaton()
 
+    def _classes(self, pattern: str) -> None:
+        """The pattern for plain characters, with the library's own classes, and one that finds what is not plain."""
+        plain, letters, digits, spaces, known = [], [], [], [], frozenset(map(chr, PLAIN))
+        for c in map(chr, PLAIN):
+            # Python and the library have to agree on the character's normal form, which has to be plain, too
+            form = self.plain_normal(f"a{c}a")
+            if self.normal.normalize_str(f"a{c}a") != re.sub(r"[\t-\r \x85\xa0]+", " ", form) or not known.issuperset(form):
+                continue
+            plain.append(c)
+            pieces = [x for x, _ in self.split.pre_tokenize_str(f"a{c}a")]
+            if pieces == [f"a{c}a"]:
+                letters.append(c)
+            elif pieces == ["a", "a"]:
+                spaces.append(c)
+            elif [x for x, _ in self.split.pre_tokenize_str(c + c)] == [c, c]:
+                digits.append(c)
+        group = lambda x: "".join(map(re.escape, x))
+        p = pattern.replace("[\\p{L}]", f"[{group(letters)}]").replace("[\\p{N}]", f"[{group(digits)}]")
+        self.piece = re.compile(p.replace("\\s\\p{L}\\p{N}", group(spaces + letters + digits)))
+        self.odd = re.compile(f"[^{group(plain)}]")
+
     def marked(self, token: str) -> str:
         """The token with the word's end as one letter."""
         return token[: -len(self.suffix)] + END if token.endswith(self.suffix) else token
@@ -80,7 +106,7 @@ class Encoder:
 
         below: the border itself is merged by that merge, and by none before it.
         """
-        key = (a, b)
+        key = a << 32 | b
         if below is None and (known := self.pairs.get(key)) is not None:
             return known
         order, halves, limit, good = self.order, self.halves, float("inf") if below is None else below, True
@@ -117,7 +143,7 @@ class Encoder:
                     before = last[end + 1 - n]
                     if before < 0:
                         continue
-                    good = pairs.get((before, t))
+                    good = pairs.get(before << 32 | t)
                     if good is None:
                         good = self.may_meet(before, t)
                     if not good:
@@ -133,55 +159,44 @@ class Encoder:
         out.reverse()
         return out
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(number of tokens, ids joined by spaces, tokens joined by spaces) of one piece."""
-        names = self.names
-        ids = self.ids(word)
-        return len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+    def word(self, word: str) -> tuple[str, str]:
+        """(ids joined by spaces, tokens joined by spaces) of one piece, kept for later; when the table is full, what was not used lately goes."""
+        found = self.older.get(word)
+        if found is None:
+            names, ids = self.names, self.ids(word)
+            found = " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+        if len(self.known) >= PIECES:
+            self.older, self.known = self.known, {}
+        self.known[word] = found
+        return found
+
+    def plain_normal(self, text: str) -> str:
+        """Composed and lower-cased; every capital sigma alike."""
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces of a normalised text."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # every capital sigma alike
-        return self.piece.findall(text.lower())
-
-    def run(self, run: str) -> tuple[int, str, str]:
-        """word() over all pieces of a run without white space; no piece crosses white space."""
-        if (known := self.older.get(run)) is not None:
-            return self.keep(run, known)
-        if run.isalpha() and run.isascii():
-            return self.keep(run, self.word(run.lower()))
-        runs, older = self.runs.get, self.older.get
-        parts = [runs(p) or older(p) or self.keep(p, self.word(p)) for p in self.pieces(run)]
-        if len(parts) == 1 and run in self.runs:
-            return parts[0]
-        known = parts[0] if len(parts) == 1 else (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
-        return self.keep(run, known)
-
-    def keep(self, run: str, known: tuple[int, str, str]) -> tuple[int, str, str]:
-        """Remember a run; when the table is full, what was not used lately goes."""
-        if len(self.runs) >= WORDS:
-            self.older, self.runs = self.runs, {}
-        self.runs[run] = known
-        return known
-
-    def encode(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids, tokens) of the runs of a whole text; a special token's own text is that token."""
+        """Pieces of a text as the library cuts it: by the library itself where a character is not plain."""
+        if text.isascii():
+            return self.piece.findall(text.lower())
+        if self.odd.search(text) is None:
+            return self.piece.findall(self.plain_normal(text))
+        return [x for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
+
+    def encode(self, text: str) -> list[tuple[str, str]]:
+        """(ids, tokens) of the pieces of a whole text; a special token's own text is that token."""
         if self.cut is not None and "<|" in text:
             out, at = [], 0
             for m in self.cut.finditer(text):
                 out += self.encode_plain(text[at : m.start()])
-                out.append((1, str(self.special[m[0]]), m[0]))
+                out.append((str(self.special[m[0]]), m[0]))
                 at = m.end()
             return out + self.encode_plain(text[at:])
         return self.encode_plain(text)
 
-    def encode_plain(self, text: str) -> list[tuple[int, str, str]]:
-        if not NOT_SPACE.isdisjoint(text):
-            return [self.word(p) for p in self.pieces(text)]
+    def encode_plain(self, text: str) -> list[tuple[str, str]]:
         out = []
-        for w in text.split():
-            out.append(self.runs.get(w) or self.run(w))
+        for w in self.pieces(text):
+            out.append(self.known.get(w) or self.word(w))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -201,13 +216,20 @@ def encoder(source: str) -> Encoder:
     return _made[key]
 
 
+def forgotten() -> None:
+    """Empty a worker's tables of pieces; the encoder itself stays for the next partition."""
+    for enc in _made.values():
+        enc.known, enc.older = {}, {}
+
+
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _mapped(df: DataFrame, path: str | None, row: Callable, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+def _texts(df: DataFrame, path: str | None, cols: Callable, schema: str) -> DataFrame:
+    """cols(encoded texts) of every whole text, some hundred kB of text at a time."""
     spark = df.sparkSession
     arrow_rows(spark, 1000)
     with open(path or default_path(), encoding="utf-8") as f:
@@ -217,38 +239,53 @@ def _mapped(df: DataFrame, path: str | None, row: Callable, schema: str, kinds:
     def run(batches):
         enc = encoder(source.value)
         for batch in batches:
-            rows = [row(enc, x) for x in batch.column(1).to_pylist()]
-            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-        enc.runs, enc.older = {}, {}
+            ids, text = batch.column(0), batch.column(1)
+            for a, b in slices(text):
+                own = cols(enc.encode(x or "") for x in text.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *own], names)
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(tidy(run, forgotten), schema)
 
 
 def encoded(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): token ids of every whole text. Null texts are empty and give no ids; null and repeated doc_ids stay."""
+    """(doc_id, ids): token ids of every whole text. Null texts are empty and give no ids; null and repeated doc_ids stay, other columns are ignored."""
 
-    def row(enc: Encoder, text: str | None):
-        ids = " ".join([w[1] for w in enc.encode(text or "")])
-        return ([int(i) for i in ids.split()],)
+    def cols(texts):
+        rows = [np.array(" ".join([w[0] for w in words]).split(), np.int32) for words in texts]
+        bounds = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(rows)))]
 
-    return _mapped(df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text"), path, row, "doc_id long, ids array<int>", [pa.list_(pa.int32())])
+    return _texts(df, path, cols, "doc_id long, ids array<int>")
 
 
 def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text): what the ids column of df decodes to; ids unknown to the vocabulary are skipped, null ids give null."""
-    return _mapped(df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(ids AS ARRAY<INT>) ids"), path, lambda enc, ids: (None if ids is None else enc.decode(ids),), "doc_id long, text string", [pa.string()])
+    with open(path or default_path(), encoding="utf-8") as f:
+        source = df.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        enc = encoder(source.value)
+        for batch in batches:
+            texts = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(ids AS ARRAY<INT>) ids").mapInArrow(tidy(run, forgotten), "doc_id long, text string")
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, in one pass; nulls and repeated rows as in encoded()."""
     sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def row(enc: Encoder, text: str | None):
-        words = enc.encode(text or "")
-        return sum([w[0] for w in words]), sha(" ".join([w[1] for w in words])), sha(" ".join([w[2] for w in words]))
+    def cols(texts):
+        n, ids, back = [], [], []
+        for words in texts:
+            x = " ".join([w[0] for w in words])
+            n.append(x.count(" ") + 1 if x else 0)
+            ids.append(sha(x))
+            back.append(sha(" ".join([w[1] for w in words])))
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
 
-    return _mapped(df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text"), path, row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()])
+    return _texts(df, path, cols, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

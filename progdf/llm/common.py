@@ -61,6 +61,14 @@ def arrow_rows(spark: SparkSession, n: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A beginning of column names that no column of df has."""
+    n = 0
+    while any(c.lower().startswith(f"_{name}{n}_") for c in df.columns):
+        n += 1
+    return f"_{name}{n}_"
+
+
 def give_back() -> None:
     """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
@@ -68,13 +76,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
-    """A mapInArrow function that gives memory back to the system when its partition ends: Python workers live on."""
+def tidy(run, forget=lambda: None):
+    """A mapInArrow function that forgets what it kept and gives memory back to the system when its partition ends: Python workers live on."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
+            forget()
             give_back()
 
     return wrapped
