@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from progdf.llm import audio, bpe, common, graph, html, language, licences, minhash, mixing, neighbours, quality, substring
 
@@ -267,10 +268,21 @@ def test_bpe_is_that_of_the_library(reference_tokenizer):
     texts += ["".join(rng.choice(names) for _ in range(5)) for _ in range(2000)]
     for t in texts:
         want = reference_tokenizer.encode(t, add_special_tokens=False).ids
-        got = [int(i) for w in enc.encode(t) for i in w[1].split()]
+        got = [int(i) for w in enc.encode(t) for i in w[0].split()]
         assert got == want and enc.decode(got) == reference_tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_every_character(reference_tokenizer):
+    """Each code point alone, between letters, twice, beside a digit and a sign."""
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        enc = bpe.Encoder(f.read())
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    near = [c for c in chars if ord(c) < 0x3000]
+    texts = [f"{c} a{c}B {c}{c}1{c}!{c}" for c in near] + ["".join(f"{c} a{c}B {c}1{c}!{c} " for c in chars[a : a + 64]) for a in range(0, len(chars), 64)]
+    for t, want in zip(texts, reference_tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [int(i) for w in enc.encode(t) for i in w[0].split()] == want.ids, t
+
+
 def test_bpe_columns(spark, edge_docs, reference_tokenizer):
     ids = bpe.encoded(edge_docs)
     assert {r.doc_id: r.ids for r in ids.collect()} == {r.doc_id: reference_tokenizer.encode(r.text or "", add_special_tokens=False).ids for r in edge_docs.collect()}
@@ -288,10 +300,41 @@ def test_mix_meets_targets(spark, edge_docs):
         own = [r for r in out if r.source == s]
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 0.01 * own[0].target + 60 and all(0 <= r.copies <= 2 for r in own)
         assert own[0].target <= 2 * own[0].source_size
+        # the rates meet the constraint themselves, and those below the most are tilted by one lambda
+        assert sum(r.rate * r.size for r in own) == pytest.approx(own[0].target)
+        tilt = [np.log(r.rate) / r.size for r in own if 0 < r.rate < 2 and r.size]
+        assert np.ptp(tilt) < 1e-9 if tilt else own[0].target == 2 * own[0].source_size
+        assert all(np.floor(r.rate) <= r.copies <= np.ceil(r.rate) for r in own)
     assert sorted((r.doc_id, r.copies) for r in mixing.mix_sources(d).collect()) == sorted((r.doc_id, r.copies) for r in out)
     assert mixing.mix_sources(edge_docs.unionByName(edge_docs)).count() == 18 and mixing.mix_sources(empty(edge_docs)).count() == 0
 
 
+def test_mix_rates_are_those_of_least_entropy():
+    """No feasible change of the rates has less relative entropy."""
+    rng = np.random.default_rng(1)
+    size, most = rng.integers(1, 400, 300).astype(float), 2.0
+    for target in (0.3 * size.sum(), 1.4 * size.sum(), 1.97 * size.sum()):
+        lo, hi = -5.0, 5.0
+        for _ in range(200):
+            x = (lo + hi) / 2
+            lo, hi = (lo, x) if (np.minimum(most, np.exp(np.minimum(x * size, 50))) * size).sum() > target else (x, hi)
+        r = np.minimum(most, np.exp(x * size))
+        entropy = lambda r: (r * np.log(np.maximum(r, 1e-300)) - r + 1).sum()
+        for _ in range(200):
+            d = rng.normal(size=300) * 1e-3
+            d[(r >= most) & (d > 0)] *= -1
+            d -= (r < most) * size * (d @ size) / ((r < most) * size @ size)
+            new = r + d
+            if (new >= 0).all() and (new <= most).all():
+                assert entropy(new) >= entropy(r) - 1e-9
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(i, "a b c " * (i + 1), "s" + str(i % 2), i, 2 * i, 3 * i, 4 * i, 5 * i, 6 * i) for i in range(20)], "doc_id long, text string, source string, mean long, whole long, rest long, key long, x long, part long")
+    out = mixing.mix_sources(d.withColumn("rate", F.lit("old")))
+    assert out.columns[:9] == d.columns and all((r.mean, r.whole, r.rest, r.key, r.x, r.part) == tuple(r.doc_id * k for k in range(1, 7)) for r in out.collect())
+
+
 def test_licences(spark, edge_docs):
     d = docs(spark, ["x y z w v u t s\nLicensed under the Apache License, Version 2.0.", "LICENSED under the apache license version 2 0", prose(30), None, licences.TEMPLATES["MIT"].replace(". ", ".\n")])
     got = {r.doc_id: [(m.line, m.licence) for m in r.licences] for r in licences.licence_scan(d).collect()}
