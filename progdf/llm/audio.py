@@ -147,7 +147,7 @@ def stored(df: DataFrame, codec: int = MULAW) -> DataFrame:
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(padded(x), codec) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    arrow_rows(df.sparkSession, 500)
+    arrow_rows(df.sparkSession)
     return df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -167,7 +167,7 @@ def decoded(df: DataFrame, rate: int = 16000) -> DataFrame:
                     bad.append(str(e))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(bad, pa.string())], ["doc_id", "pcm", "error"])
 
-    arrow_rows(df.sparkSession, 500)
+    arrow_rows(df.sparkSession)
     return df.selectExpr("CAST(doc_id AS LONG) doc_id", "media").mapInArrow(run, "doc_id long, pcm binary, error string")
 
 

@@ -231,7 +231,7 @@ def default_path() -> str:
 def _texts(df: DataFrame, path: str | None, cols: Callable, schema: str) -> DataFrame:
     """cols(encoded texts) of every whole text, some hundred kB of text at a time."""
     spark = df.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_rows(spark)
     with open(path or default_path(), encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())  # the vocabulary's size is fixed
     names = [x.split()[0] for x in schema.split(", ")]

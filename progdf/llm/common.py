@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch.
+ARROW_ROWS = 500
 #: Learned operators train where crc32(doc_id) mod 4 is not this.
 HELD_OUT = 2
 
@@ -56,9 +58,9 @@ def forget(*dfs: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
-def arrow_rows(spark: SparkSession, n: int) -> None:
-    """Rows in an Arrow batch sent to Python: long texts come few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+def arrow_rows(spark: SparkSession) -> None:
+    """Rows in an Arrow batch sent to Python: long texts come few at a time. One number for all, as the session has one setting for all its plans."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,21 +1,27 @@
 """Main text of web pages by composite text density.
 
 A node's composite density is its characters per tag, adjusted by the share of link characters and link tags. The node whose
-children's densities have the greatest sum holds the article; the least density on its path to the body is the threshold
-by which its neighbours on that path join it. What names itself a menu, header, footer, sidebar, notice, advert, form, script,
-style or comment section is taken out before anything is counted.
+children's densities have the greatest sum is the core of the article; the least density on its path to the body is the
+threshold by which its neighbours on that path join it.
+
+What marks itself as a menu, header, footer, sidebar, notice, advert, form or comment section, and what stands outside
+article and main where these have half of the text, counts as link text through and through, so its density is 0 and no
+threshold lets it in. A mark means nothing on what holds the longest article, or nearly all of the text.
+Pages are cut into tags and nested in time linear in their length.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import arrow_rows, table
+from .common import arrow_rows, fresh, slices, table, tidy
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,154 +29,291 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead tr".split()) | frozenset(["plaintext"])
-#: An opened element ends these open ones, up to the nearest of the second set.
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An opened element ends the nearest open ones of the first set that no element of the second set holds.
+SCOPE = frozenset("td th table caption button object template".split())
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"}),
+    "a": ({"a"}, SCOPE),
 }
 
-#: Elements that are never part of an article, and words in a class, id or role that tell the same.
-ASIDE = frozenset("nav aside footer form script style noscript template head title button select textarea input iframe object embed svg canvas dialog menu".split())
+#: Elements without text of the page, elements that are no part of an article, and words in a class, id or role that tell the same.
+NEVER = frozenset("script style noscript template head title button select textarea input iframe object embed svg canvas".split())
+ASIDE = frozenset("nav aside footer".split())
+DOUBTFUL = frozenset("form dialog menu header".split())
 NAMED = frozenset("""ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion nav navbar navigation navmenu menu menubar
     breadcrumb breadcrumbs sidebar sidebars aside footer masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
     subscription signup login comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager
     toolbar widget widgets complementary contentinfo search skip""".split())
-KEEP = frozenset(["article", "main", "body", "html"])
+#: Words in a class that tell of something else: a page that has a sidebar is none.
+OTHERS = frozenset("has with no without is not js".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/\"']|$)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-CUT = re.compile(r"</?[a-zA-Z][^<]*\Z|</?\Z", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile("[>\"']")
+COMMENT_END = re.compile("--!?>")
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)[^>]*>?", re.I) for x in RAW}
 
 
 class Node:
-    __slots__ = ("name", "parts", "parent", "out", "p", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parts", "parent", "never", "mark", "foreign", "role", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, out: bool):
-        self.name, self.parent, self.out, self.parts = name, parent, out, []
-        # the open paragraph around it, and whether an article is
-        self.p = self if name == "p" else None if parent is None or name in ("td", "th", "table", "button", "caption") else parent.p
-        self.inside = name in ("article", "main") or (parent is not None and parent.inside)
+    def __init__(self, name: str, parent: Node | None, mark: bool = False):
+        self.name, self.parent, self.parts, self.mark = name, parent, [], mark
+        # role: article within one, around where one is held, else None
+        self.never, self.foreign, self.role = name in NEVER, False, None
 
 
-def _apart(name: str, attributes: str, parent: Node) -> bool:
-    """Does an element's name or class take it out of the article?"""
-    if name in ASIDE:
+def _marked(name: str, attributes: str) -> bool:
+    """Does an element's name or class tell that it is no part of an article?"""
+    if name in ASIDE or name in DOUBTFUL:
         return True
-    if name == "header":
-        return not parent.inside
-    if not attributes or name in KEEP:
+    if not attributes or name not in BLOCK or name in ("article", "main", "body", "html"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
-        if key in ("class", "id", "role") and any(w in NAMED for w in re.split(r"[^a-z0-9]+", CAMEL.sub("-", value).lower())):
-            return True
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                words = [w for w in re.split(r"[^a-z0-9]+", CAMEL.sub("-", token).lower()) if w]
+                if words and (words[0] in NAMED or words[-1] in NAMED) and OTHERS.isdisjoint(words):
+                    return True
     return False
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag's > stands, which is not within a quoted value; -1 if the page ends before."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while before > at and page[before].isspace():
+            before -= 1
+        at = m.end()
+        if page[before] == "=":  # elsewhere a quote is a letter like any other
+            at = page.find(m[0], at) + 1
+            if not at:
+                return -1
+    return -1
+
+
+class _Open:
+    """The open elements, and of each name where they stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().name].pop()
+
+    def nearest(self, names) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def end(self, names, within) -> None:
+        """Close the nearest open elements of these names, unless one of `within` holds the current element nearer."""
+        least = self.nearest(within)
+        found = [x[-1] for n in names if (x := self.places.get(n)) and x[-1] > least]
+        if found:
+            self.close(min(found))
+
+
 def parse(page: str) -> Node:
     """The page's tree. Elements left open end with the page, a tag cut off at its end is dropped."""
-    root = node = Node("html", None, False)
+    root = Node("html", None)
+    open_ = _Open(root)
     at, size = 0, len(page)
 
     def text(a: int, b: int) -> None:
         if b > a:
-            node.parts.append(html.unescape(page[a:b]) if "&" in page[a:b] else page[a:b])
-
-    while at < size:
-        m = TOKEN.search(page, at)
+            open_.top().parts.append(html.unescape(page[a:b]) if "&" in page[a:b] else page[a:b])
+
+    begin = 0
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        if after == "!" and page.startswith("--", lt + 2):
+            text(begin, lt)
+            short = 5 if page.startswith(">", lt + 4) else 6 if page.startswith("->", lt + 4) else 0
+            end = None if short else COMMENT_END.search(page, lt + 4)
+            at = begin = lt + short if short else end.end() if end else size
+            continue
+        closing = after == "/"
+        m = NAME.match(page, lt + 1 + closing)
         if m is None:
-            cut = CUT.search(page, at)
-            text(at, cut.start() if cut else size)
-            break
-        text(at, m.start())
-        at, name = m.end(), m[2]
-        if name is None:
+            if after and after in "!?/":  # a declaration, or an end tag without a name
+                text(begin, lt)
+                at = begin = page.find(">", lt) + 1 or size
+            elif not after:  # a tag cut off after its first letter
+                text(begin, lt)
+                begin = size
+                break
+            else:
+                at = lt + 1
             continue
-        name = name.lower()
-        if m[1]:  # an end tag
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+        text(begin, lt)
+        end = _tag_end(page, m.end())
+        at = begin = end + 1 or size
+        if end < 0:
+            break
+        name = m[0].lower()
+        if closing:
+            place = open_.places.get(name)
+            if place:
+                open_.close(place[-1])
             continue
         if name in ("html", "body"):
-            if name == "body" and node is root:
-                node = Node("body", root, False)
-                root.parts.append(node)
+            if name == "body" and len(open_.nodes) == 1:
+                body = Node("body", root)
+                root.parts.append(body)
+                open_.push(body)
             continue
         if name in CLOSES_P:
-            if node.p is not None:
-                node = node.p.parent
+            open_.end(("p",), SCOPE)
+            if name in HEADING and open_.top().name in HEADING:
+                open_.close(len(open_.nodes) - 1)
         elif name in ENDS:
-            these, stop = ENDS[name]
-            up, last = node, None
-            while up.parent is not None and up.name not in stop:
-                if up.name in these:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        child = Node(name, node, _apart(name, m[3], node))
-        node.parts.append(child)
+            open_.end(*ENDS[name])
+        node = Node(name, open_.top(), _marked(name, page[m.end() : end]))
+        node.parent.parts.append(node)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             raw = page[at : end.start() if end else size]
-            child.parts.append(html.unescape(raw) if name in ("title", "textarea") else raw)
-            at = end.end() if end else size
+            node.parts.append(html.unescape(raw) if name in ("title", "textarea") else raw)
+            at = begin = end.end() if end else size
         elif name not in VOID:
-            node = child
+            open_.push(node)
+    text(begin, size)
     return root
 
 
 def _nodes(root: Node) -> list[Node]:
-    """Nodes in page order, without what is taken out."""
+    """Nodes in page order, without those that never have text."""
     found, todo = [], [root]
     while todo:
         n = todo.pop()
-        if not n.out:
+        if not n.never:
             found.append(n)
             todo += [p for p in reversed(n.parts) if not isinstance(p, str)]
     return found
 
 
+def _children(n: Node):
+    return (c for c in n.parts if not isinstance(c, str) and not c.never)
+
+
+def set_foreign(nodes: list[Node]) -> None:
+    """Decides what is foreign to an article: marked elements and, where articles have half of the other text, all outside them.
+
+    But for nav, aside and footer, a mark is void on an element that holds the longest article or main of the page, and on one
+    such that less than a twentieth of its own text stands outside all marked elements.
+    """
+    for n in reversed(nodes):
+        n.chars = sum(len(" ".join(p.split())) for p in n.parts if isinstance(p, str)) + sum(c.chars for c in _children(n))
+    articles, todo = [], [(nodes[0], False)]
+    while todo:
+        n, beside = todo.pop()
+        if n.name in ("article", "main"):
+            articles.append((n.chars, -len(articles), n, beside))
+        else:
+            todo += [(c, beside or c.name in ASIDE) for c in reversed(list(_children(n)))]
+    for *_, top, _ in articles:  # a header within an article is a part of it
+        for n in _nodes(top):
+            n.mark = n.mark and n.name != "header"
+    up = max((x for x in articles if not x[3]), default=(0, 0, nodes[0], False), key=lambda x: x[:2])[2]
+    while up is not None:
+        up.mark, up = up.mark and up.name in ASIDE, up.parent
+    for n in reversed(nodes):
+        n.plain = n.chars - sum(c.chars if c.mark else c.chars - c.plain for c in _children(n))
+    outside = nodes[0].plain
+
+    def marked(top: Node):
+        """The outermost marked elements below top whose mark may be void."""
+        todo = [top]
+        while todo:
+            for c in _children(todo.pop()):
+                if not c.mark:
+                    todo.append(c)
+                elif c.name not in ASIDE:
+                    yield c
+
+    heap = [(-n.chars, k, n) for k, n in enumerate(marked(nodes[0]))]
+    heapq.heapify(heap)
+    count = len(heap)
+    while heap and outside * 20 < -heap[0][0]:
+        n = heapq.heappop(heap)[2]
+        n.mark = False
+        outside += n.plain
+        for c in marked(n):
+            count += 1
+            heapq.heappush(heap, (-c.chars, count, c))
+    inside, todo = [], [nodes[0]]
+    while todo:
+        n = todo.pop()
+        if n.name in ("article", "main"):
+            inside.append(n)
+        else:
+            todo += [c for c in _children(n) if not c.mark]
+    apart = bool(inside) and 2 * sum(n.plain for n in inside) >= outside
+    for n in inside if apart else ():
+        n.role = "article"
+        up = n.parent
+        while up is not None and up.role is None:
+            up.role, up = "around", up.parent
+    for n in nodes:
+        up = n.parent
+        if up is not None and up.role == "article":
+            n.role = "article"
+        n.foreign = n.mark or (up is not None and up.foreign) or (apart and n.role is None)
+
+
 def measure(root: Node) -> list[Node]:
     """Counts characters and tags of every node and sets its composite density and its children's sum."""
     nodes = _nodes(root)
+    set_foreign(nodes)
     for n in reversed(nodes):
-        link = n.name == "a"
-        n.chars = sum(len(" ".join(p.split())) for p in n.parts if isinstance(p, str))
-        n.tags = n.link_tags = n.link_chars = 0
-        n.total = 0.0
-        for c in n.parts:
-            if not isinstance(c, str) and not c.out:
-                n.chars += c.chars
-                n.tags += c.tags + 1
-                n.link_chars += c.link_chars
-                n.link_tags += c.link_tags + (c.name == "a")
-        if link:
+        n.tags = n.link_chars = n.link_tags = 0
+        for c in _children(n):
+            n.tags += c.tags + 1
+            n.link_chars += c.link_chars
+            n.link_tags += c.link_tags + (c.name == "a" or c.foreign)
+        if n.foreign:
+            n.link_chars, n.link_tags = n.chars, n.tags
+        elif n.name == "a":
             n.link_chars = n.chars
+        elif n.role == "around":
+            n.link_chars += sum(len(" ".join(p.split())) for p in n.parts if isinstance(p, str))
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
+
+    def density(c: int, tags: int, link_chars: int, link_tags: int) -> float:
+        if c <= link_chars:
+            return 0.0
+        t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+        base = math.log(c / (c - link_chars) * link_chars + share * c + math.e)
+        return c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(base + 1))
+
     for n in reversed(nodes):
-        c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
-        if c == 0:
-            n.density = 0.0
-            continue
-        plain = max(1, c - n.link_chars)
-        base = math.log(c / plain * n.link_chars + share * c + math.e)
-        n.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / max(1e-9, math.log(base + 1)))
-    for n in nodes:
-        n.total = sum(c.density for c in n.parts if not isinstance(c, str) and not c.out)
+        n.density = 0.0 if n.foreign else density(n.chars, n.tags, n.link_chars, n.link_tags)
+        own = 0 if n.foreign or n.role == "around" or n.name == "a" else sum(density(len(" ".join(p.split())), 0, 0, 0) for p in n.parts if isinstance(p, str))
+        n.total = own + sum(c.density for c in _children(n))
     return nodes
 
 
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
-    """The node with the greatest sum of its children's densities, and the threshold of its path to the body."""
+    """The node with the greatest sum of its children's densities, text within it being a child, and the least density of its path to the body."""
     best = max(nodes, key=lambda n: n.total)
+    if best.total <= 0:
+        return nodes[0], 0.0
     up, low = best, best.density
     while up is not None:
         low = min(low, up.density)
@@ -179,10 +322,11 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
 
 
 def _linked(n: Node) -> bool:
-    return 2 * n.link_chars > n.chars
+    return n.foreign or (n.chars > 0 and 2 * n.link_chars > n.chars)
 
 
-def _blocks(roots: list, skip: frozenset) -> list[str]:
+def _blocks(roots: list, low: float) -> list[str]:
+    """The text of the roots' blocks, without what is foreign and without lists of links below the threshold."""
     blocks, now = [], []
 
     def end() -> None:
@@ -191,7 +335,7 @@ def _blocks(roots: list, skip: frozenset) -> list[str]:
             blocks.append(line)
         now.clear()
 
-    # an entry is text, a node, or None where a block ends
+    # an entry is text, a node, a list of entries, or None where a block ends
     todo = list(reversed(roots))
     while todo:
         x = todo.pop()
@@ -199,15 +343,17 @@ def _blocks(roots: list, skip: frozenset) -> list[str]:
             end()
         elif isinstance(x, str):
             now.append(x)
-        elif not x.out and id(x) not in skip:
-            if x.name == "br":
-                now.append(" ")
-            elif x.name in BLOCK:
+        elif isinstance(x, list):
+            todo += reversed(x)
+        elif x.never or x.foreign or (x.name in ("ul", "ol", "div") and x.link_tags > 1 and x.link_chars == x.chars and x.density < low):
+            continue
+        elif x.name == "br":
+            now.append(" ")
+        else:
+            if x.name in BLOCK:
                 end()
                 todo.append(None)
-                todo += reversed(x.parts)
-            else:
-                todo += reversed(x.parts)
+            todo += [p for p in reversed(x.parts) if x.role != "around" or not isinstance(p, str)]
     end()
     return blocks
 
@@ -216,61 +362,49 @@ def main_text(page: str | None) -> str:
     """The main text of a page: blocks in page order, one a line; empty for a null or empty page or one without text."""
     if not page:
         return ""
-    root = parse(page)
-    nodes = measure(root)
+    nodes = measure(parse(page))
     if not nodes[0].chars:
         return ""
     best, low = main_node(nodes)
-    if best.total <= 0:
-        best = root
-    top = best
-    while top is not None and top.name not in ("article", "main"):
-        top = top.parent
-    if top is None:
-        # an article beside the best node stands for it where it has most of the text
-        marked = [n for n in nodes if n.name in ("article", "main")]
-        top = max(marked, key=lambda n: n.chars, default=None)
-        if top is not None and 2 * top.chars < nodes[0].chars:
-            top = None
-    if top is not None:
-        while top.parent is not None and any(p.name in ("article", "main") for p in _above(top)):
-            top = next(p for p in _above(top) if p.name in ("article", "main"))
-        menus = frozenset(id(n) for n in nodes if n is not top and n.name in ("ul", "ol", "div") and n.link_tags > 1 and n.link_chars == n.chars and n.density < low)
-        return "\n".join(_blocks([top], menus))
     kept, up = [best], best
-    while up.parent is not None and up.name != "body":
-        here = []
-        for p in up.parent.parts:
+    while up.parent is not None:
+        parent = up.parent
+        # beside nothing but text, all joins; elsewhere what reaches the threshold, and headings of what follows them
+        clean = not any(_linked(c) for c in _children(parent))
+        here, before = [], True
+        for p in parent.parts:
             if p is up:
-                here += kept
+                here.append(kept)
+                before = False
             elif isinstance(p, str):
+                here += [p] * (parent.role != "around")
+            elif not p.never and (clean or (not _linked(p) and (p.density >= low or (before and p.name in HEADING) or not p.chars))):
                 here.append(p)
-            elif not p.out and not _linked(p) and p.density >= low:
-                here.append(p)
-        kept, up = here, up.parent
-    return "\n".join(_blocks(kept, frozenset()))
-
-
-def _above(n: Node):
-    n = n.parent
-    while n is not None:
-        yield n
-        n = n.parent
+        # a block of its own stays one
+        kept, up = [None, *here, None] if parent.name in BLOCK else here, parent
+    return "\n".join(_blocks(kept, low))
 
 
 def main_texts(df: DataFrame, column: str = "html") -> DataFrame:
     """Every row of df with text and n_chars (code points), of the page in `column`.
 
-    Other columns pass through; columns named text and n_chars are replaced. Null, empty and broken pages give what text they have.
+    Other columns pass through, whatever their names; columns named text and n_chars are replaced, unless one is `column`, which then
+    holds the page no more. Null, empty and broken pages give what text they have, '' at least; repeated rows stay.
     """
-
-    @F.pandas_udf("string")
-    def extract(pages):
-        return pages.map(main_text, na_action=None)
-
-    arrow_rows(df.sparkSession, 500)
-    out = df.drop(*({"text", "n_chars"} - {column})).withColumn("_text", extract(F.col(column).cast("string")))
-    return out.drop("text", "n_chars").withColumn("text", F.col("_text")).withColumn("n_chars", F.length("_text").cast("long")).drop("_text")
+    kept = [c for c in df.columns if c.lower() not in ("text", "n_chars")]
+    own = fresh(df, "page")
+    rows = df.select(df[column].cast("string").alias(f"{own}html"), *kept)
+    arrow_rows(df.sparkSession)
+    schema = StructType([*rows.schema.fields[1:], StructField("text", StringType()), StructField("n_chars", LongType())])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                texts = [main_text(x) for x in batch.column(0).slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
+
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def fit(texts: pa.Array, label: np.ndarray, labels: list[str]) -> Crf:
 
 def train(df: DataFrame, docs: int = TRAIN_DOCS) -> Crf:
     """Learn from the texts that are not held out and have a lang, at most `docs` of them, by hash."""
-    arrow_rows(df.sparkSession, 500)
+    arrow_rows(df.sparkSession)
     rows = df.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # ids of the sample come first, so that only its texts are moved
     ids = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
@@ -269,7 +269,7 @@ def languages(df: DataFrame, model: Crf | None = None, docs: int = TRAIN_DOCS) -
     spark = df.sparkSession
     model = model or train(df, docs)
     held = spark.sparkContext.broadcast(model)  # its size is fixed, but for the lexicon of the bounded sample
-    arrow_rows(spark, 1000)
+    arrow_rows(spark)
 
     def run(batches):
         crf = held.value

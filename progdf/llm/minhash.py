@@ -262,7 +262,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
     Rows that repeat a doc_id share its component. A row without doc_id has component_id null and is kept.
     """
     spark = df.sparkSession
-    arrow_rows(spark, 500)
+    arrow_rows(spark)
     base = saved(sketch(df, words, m), "sketch")
     classes = saved(
         base.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs")),

@@ -204,7 +204,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, recall: float =
     component takes no part, and so does one whose length is not the commonest. A row is never its own neighbour; where ids
     repeat, all rows of the query's id are left out, equal rows of another id count once, and a repeated query is asked once.
     """
-    arrow_rows(df.sparkSession, 2000)
+    arrow_rows(df.sparkSession)
     vectors = saved(usable(df).distinct(), "vectors")
     dims, router, probes = train(vectors, sample, parts, recall)
     if router is None:

@@ -85,7 +85,7 @@ def features(column) -> np.ndarray:
 
 def measured(df: DataFrame) -> DataFrame:
     """(doc_id, feature columns) of every row of df's doc_id and text."""
-    arrow_rows(df.sparkSession, 1000)
+    arrow_rows(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -226,7 +226,7 @@ def scored(df: DataFrame, model: Gam) -> DataFrame:
     df = df.drop("score").withColumn("text", F.col("text").cast("string"))
     names = df.columns
     held = df.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
-    arrow_rows(df.sparkSession, 1000)
+    arrow_rows(df.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -220,7 +220,7 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     document that keeps the unit or passage; n_removed is its length. A null text stays null and an empty one empty. A row without doc_id is left as it is and
     removes nothing elsewhere. Rows that repeat both doc_id and text count as one document and change alike.
     """
-    arrow_rows(df.sparkSession, 1000)
+    arrow_rows(df.sparkSession)
     df = df.drop("n_units", "n_removed", "removed", "_version", "_drop").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     found = saved(units(df, unit), "units")
     per = found.groupBy("d1", "d2", "doc_id").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"), F.min("words").alias("words"))

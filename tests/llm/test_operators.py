@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -246,10 +247,82 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+PARAS = ["A first paragraph of some length, with <a href=x>a link</a> in it.", "Ok.", "Another one that is rather longer than the first, so that its density is high, as prose has it."]
+BODY = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in PARAS)
+TEXT = "\n".join(["Title", *(re.sub("<[^>]*>", "", x) for x in PARAS)])
+MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='page has-sidebar'><article>{BODY}</article></div>",
+    f"<div id='search-content'><main>{BODY}</main></div><div class=sidebar><p>Some words beside it</p></div>",
+    f"<form id=aspnetForm><div>{MENU}</div><div class=story>{BODY}</div></form><footer>foot</footer>",
+    f"<nav>{MENU}</nav><div id=wrap><div class=social-page>{BODY}</div></div>",
+    f"<body>{MENU}<div>{BODY}</div><div class='cookie-notice'><p>We use cookies to make this better for you and for us.</p></div>",
+    f"<main><article>{BODY}</article></main><section class=comments><article class=comment><p>I like this</p></article><article><p>So do I, much more than anybody else here</p></article></section>",
+    f"<header><h1>Site</h1>{MENU}</header><article><header>{BODY[:14]}</header>{BODY[14:]}<footer>By me</footer></article><aside><article><p>Read this as well</p></article></aside>",
+    f"<table><tr><td>{MENU}<td>{BODY}</table>",
+    f"<article>{BODY}<div class=AdSlot>Buy now</div><div hidden>x</div></article><p>Stray words outside</p>",
+    f"<!--><div class='ad'>x</div>--><article>{BODY.replace('</p>', '')}</article>",
+])
+def test_main_text_of_layouts(page):
+    assert html.main_text(page).removeprefix("-->\n") == TEXT
+
+
+def test_densities_are_those_of_the_definition():
+    rng = random.Random(2)
+
+    def build(depth):
+        if not depth or rng.random() < 0.2:
+            return prose(rng.randint(1, 30), rng)
+        return "".join(f"<{(t := rng.choice(['div', 'div', 'section', 'a', 'ul', 'em']))}{rng.choice(['', ' class=menu'])}>{build(depth - 1)}</{t}>" for _ in range(rng.randint(1, 4))) + prose(rng.randint(0, 5), rng)
+
+    def counts(n):
+        c = t = lc = lt = 0
+        for x in n.parts:
+            if isinstance(x, str):
+                c += len(" ".join(x.split()))
+            else:
+                a = counts(x)
+                c, t, lc, lt = c + a[0], t + 1 + a[1], lc + a[2], lt + a[3] + (x.name == "a" or x.foreign)
+        return (c, t, c, t) if n.foreign else (c, t, c if n.name == "a" else lc, lt)
+
+    def density(c, t, lc, lt, share):
+        if c <= lc:
+            return 0
+        base = np.log(c / (c - lc) * lc + share * c + np.e)
+        return c / max(1, t) * np.log(c / max(1, lc) * max(1, t) / max(1, lt)) / np.log(base + 1)
+
+    for _ in range(60):
+        nodes = html.measure(html.parse(f"<body>{build(4)}</body>"))
+        whole = counts(nodes[0])
+        share, sums = whole[2] / max(1, whole[0]), []
+        for n in nodes:
+            assert n.density == pytest.approx(density(*counts(n), share))
+            own = [(len(" ".join(x.split())), 0, 0, 0) if isinstance(x, str) else counts(x) for x in n.parts if not (isinstance(x, str) and (n.foreign or n.name == "a"))]
+            sums.append(sum(density(*x, share) for x in own))
+        best, low = html.main_node(nodes)
+        assert best.total == pytest.approx(max(sums)) and (low == 0 or low == min(x.density for x in [best, *above(best)]))
+
+
+def above(n):
+    while (n := n.parent) is not None:
+        yield n
+
+
+@pytest.mark.parametrize("page", ['<a "' * 100_000, "<b>" * 60_000 + "</i>" * 60_000, "<b>" * 9000 + "<li>x" * 20_000, "<" * 500_000, "<!--" * 100_000, "<div class=ad>" * 30_000 + "x", "<article>" * 30_000 + "x", "<span>" * 4000 + "<p>a</p>" * 20_000, "<a " + "= " * 100_000 + '"x'])
+def test_hostile_pages_take_linear_time(page):
+    t = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - t < 5
+
+
 def test_main_texts_keeps_other_columns(spark):
-    d = spark.createDataFrame([(1, "u", "<p>x y", "old"), (1, None, None, None)], "page_id long, url string, html string, text string")
-    assert sorted((r.text, r.n_chars) for r in html.main_texts(d).collect()) == [("", 0), ("x y", 3)]
-    assert html.main_texts(empty(d)).count() == 0
+    d = spark.createDataFrame([(1, "u", "<p>x y", "old", "t"), (1, "u", "<p>x y", "old", "t"), (1, None, None, None, None)], "page_id long, url string, html string, text string, _text string")
+    out = html.main_texts(d)
+    assert out.columns == ["page_id", "url", "html", "_text", "text", "n_chars"]
+    assert sorted((r.text, r.n_chars, r._text or "", r.html or "") for r in out.collect()) == [("", 0, "", ""), ("x y", 3, "t", "<p>x y"), ("x y", 3, "t", "<p>x y")]
+    assert html.main_texts(empty(d)).count() == 0 and html.main_texts(d, "_text").where("text = 't'").count() == 2
 
 
 @pytest.fixture(scope="module")
