@@ -1,12 +1,15 @@
 """Telephony audio in a media column: mu-law and A-law by lookup tables, IMA ADPCM decoded across blocks, resampled PCM out.
 
 WAV containers hold the codes. Decoders take the whole stream as arrays; an ADPCM block depends on nothing before it, so the
-loop runs over the samples of a block and numpy over all blocks at once.
+loop runs over the samples of a block and numpy over all blocks of many rows at once. Rates change by a windowed-sinc filter,
+a phase of it for each place between two samples, in whole numbers.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import struct
 import zlib
 
@@ -14,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_rows, table
+from .common import arrow_rows, slices, table, tidy
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
 #: A text's bytes are padded with PAD to a positive multiple of UNIT.
 UNIT, PAD = 576, 255
+#: Bytes of an ADPCM block, a divisor of UNIT; the rate of stored PCM; taps of a phase of the filter, and what they add up to.
+IMA_BLOCK, PCM_RATE, TAPS, SCALE = 192, 16000, 16, 1 << 14
 
 
 def mulaw_table() -> np.ndarray:
@@ -106,20 +111,32 @@ def pcm(media: bytes) -> tuple[int, np.ndarray]:
     raise ValueError(f"codec {codec}")
 
 
+@functools.lru_cache(maxsize=16)
+def phases(up: int, down: int) -> np.ndarray:
+    """Whole-number taps of each phase of a windowed-sinc low-pass filter; each phase adds up to SCALE."""
+    cut = min(1.0, up / down)
+    at = np.arange(TAPS) - (TAPS // 2 - 1) - np.arange(up)[:, None] / up
+    h = np.sinc(at * cut) * (0.5 + 0.5 * np.cos(np.pi * np.clip(at / (TAPS / 2), -1, 1)))
+    taps = np.rint(h / h.sum(1, keepdims=True) * SCALE)
+    taps[np.arange(up), np.abs(at).argmin(1)] += SCALE - taps.sum(1)
+    return taps
+
+
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation from one rate to another, in whole-number arithmetic."""
+    """16-bit samples at another rate: len(x) * to // rate of them. The ends are held; sums are exact, so results are the same everywhere."""
     if rate == to or not len(x):
         return x
-    if to == 2 * rate:
-        out = np.empty(2 * len(x), np.int16)
-        out[::2] = x
-        out[1:-1:2] = (x[:-1].astype(np.int32) + x[1:]) >> 1
-        out[-1] = x[-1]
-        return out
-    at = np.arange(len(x) * to // rate, dtype=np.int64) * rate
-    i, part = at // to, at % to
-    y = x[np.minimum(i + 1, len(x) - 1)].astype(np.int64)
-    return ((x[i].astype(np.int64) * (to - part) + y * part) // to).astype(np.int16)
+    up, down = to // math.gcd(rate, to), rate // math.gcd(rate, to)
+    taps, n = phases(up, down), len(x) * to // rate
+    wide = np.pad(x.astype(np.float64), (TAPS // 2 - 1, TAPS // 2), mode="edge")
+    out = np.empty(n, np.int16)
+    for p in range(up):
+        where = np.arange(p, n, up) if down == 1 else np.flatnonzero(np.arange(n) * down % up == p)
+        if len(where):
+            first = where * down // up
+            y = np.convolve(wide, taps[p][::-1], "valid")[first] if 2 * len(first) > len(x) else (wide[first[:, None] + np.arange(TAPS)] * taps[p]).sum(1)
+            out[where] = np.clip(np.floor((y + SCALE / 2) / SCALE), -32768, 32767)
+    return out
 
 
 def features(x: np.ndarray) -> str:
@@ -136,59 +153,116 @@ def padded(data: bytes) -> bytes:
     return data + bytes([PAD]) * (size - len(data))
 
 
-def stored(df: DataFrame, codec: int = MULAW) -> DataFrame:
-    """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded, as 8-bit samples of a mu-law or A-law WAV file.
-
-    df: doc_id, text, other columns ignored. A null text is empty; a null doc_id stays null; repeated rows stay.
-    """
+def many_pcm(media: list[bytes | None]) -> list[tuple[int, np.ndarray] | Exception | None]:
+    """pcm() of many files, or why it can't be had; ADPCM blocks of a size are decoded together, whichever file they are from."""
+    out: list = []
+    joined: dict[int, list[tuple[int, int, bytes]]] = {}
+    for i, x in enumerate(media):
+        try:
+            if x is None:
+                out.append(None)
+                continue
+            codec, rate, block, data = unwav(x)
+            if codec == IMA and block > 4 and data and len(data) % block == 0:
+                joined.setdefault(block, []).append((i, rate, data))
+                out.append(None)
+            else:
+                out.append(pcm(x))
+        except (ValueError, KeyError, IndexError, struct.error) as e:
+            out.append(e)
+    for block, rows in joined.items():
+        flat, at = ima_decode(b"".join(d for *_, d in rows), block), 0
+        for i, rate, data in rows:
+            n = len(data) // block * (2 * (block - 4) + 1)
+            out[i] = (rate, flat[at : at + n])
+            at += n
+    return out
+
+
+def _stored(codec: int | None):
+    """Batches (doc_id, text) to (doc_id, n_bytes, media)."""
+
+    def one(raw: bytes) -> bytes:
+        data = padded(raw)
+        c = (MULAW, ALAW, IMA)[zlib.crc32(data) % 3] if codec is None else codec
+        return wav(data, c, bits=4, block=IMA_BLOCK) if c == IMA else wav(data, c)
 
     def run(batches):
         for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(padded(x), codec) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+            for a, b in slices(batch.column(1)):
+                raw = [(t or "").encode() for t in batch.column(1).slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in raw], pa.int64()), pa.array([one(x) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    arrow_rows(df.sparkSession)
-    return df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return run
 
 
-def decoded(df: DataFrame, rate: int = 16000) -> DataFrame:
-    """(doc_id, pcm, error): the media column of df as little-endian 16-bit PCM at `rate`; null with an error where it can't be read."""
+def _decoded(rate: int):
+    """Batches with a last column media to the same with pcm and error."""
 
     def run(batches):
         for batch in batches:
-            out, bad = [], []
-            for x in batch.column(1).to_pylist():
-                try:
-                    own, samples = pcm(x) if x is not None else (rate, np.zeros(0, np.int16))
-                    out.append(None if x is None else resample(samples, own, rate).astype("<i2").tobytes())
-                    bad.append(None)
-                except (ValueError, KeyError, struct.error) as e:
-                    out.append(None)
-                    bad.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(bad, pa.string())], ["doc_id", "pcm", "error"])
+            found = many_pcm(batch.column(batch.num_columns - 1).to_pylist())
+            out = [None if x is None or isinstance(x, Exception) else resample(x[1], x[0], rate).astype("<i2").tobytes() for x in found]
+            bad = [str(x) or type(x).__name__ if isinstance(x, Exception) else None for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary()), pa.array(bad, pa.string())], [*batch.schema.names, "pcm", "error"])
 
-    arrow_rows(df.sparkSession)
-    return df.selectExpr("CAST(doc_id AS LONG) doc_id", "media").mapInArrow(run, "doc_id long, pcm binary, error string")
+    return run
+
+
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def described(df: DataFrame, rate: int = 16000) -> DataFrame:
-    """Digests and features of stored media, all from the bytes read back: of (doc_id, n_bytes, media) rows."""
+def _described(batches):
+    """Batches (doc_id, n_bytes, media, pcm, error) to DESCRIBED."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    for batch in batches:
+        rows = []
+        for media, samples in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            codec, _, _, payload = unwav(media)
+            rows.append((len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media), f"{codec}:{features(np.frombuffer(samples, '<i2'))}"))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [x.split()[0] for x in DESCRIBED.split(", ")])
+
+
+def _mapped(df: DataFrame, steps: list, schema: str) -> DataFrame:
+    """The steps one after the other in one worker, some hundred kB of text at a time."""
+    arrow_rows(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for media in batch.column(2).to_pylist():
-                own, samples = pcm(media)
-                payload = unwav(media)[3]
-                rows.append((len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media), features(resample(samples, own, rate))))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return df.mapInArrow(tidy(run), schema)
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def stored(df: DataFrame, codec: int | None = MULAW) -> DataFrame:
+    """(doc_id, n_bytes, media): every text's UTF-8 bytes, padded, as the codes of a mono WAV file: samples of mu-law or A-law, or blocks
+    of ADPCM. codec None takes one of the three by the payload's CRC-32, so equal texts have equal files.
+
+    df: doc_id, text, other columns ignored. A null text is empty; a null doc_id stays null; repeated rows stay.
+    """
+    return _mapped(df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text"), [_stored(codec)], "doc_id long, n_bytes long, media binary")
+
+
+def decoded(df: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """(doc_id, media, pcm, error): the media column of df and its little-endian 16-bit PCM at `rate`.
+
+    pcm is null for a null file, and null with an error where a file can't be read. Repeated rows stay; other columns are ignored.
+    """
+    return _mapped(df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(media AS BINARY) media"), [_decoded(rate)], "doc_id long, media binary, pcm binary, error string")
+
+
+def described(df: DataFrame, codec: int | None = None, rate: int = PCM_RATE) -> DataFrame:
+    """Sizes, digests and features of every text stored as media and of its stored PCM, all from the bytes read back.
+
+    df: doc_id, text, other columns ignored; nulls and repeated rows as in stored(). The feature has the codec, and of the PCM at
+    `rate` the samples, mean square, zero crossings, peak and CRC-32.
+    """
+    return _mapped(df.selectExpr("CAST(doc_id AS LONG) doc_id", "CAST(text AS STRING) text"), [_stored(codec), _decoded(rate), _described], DESCRIBED)
 
 
 def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a mu-law WAV file: sizes, digests and features of the bytes read back."""
-    return described(stored(table(spark, sf_dir, "documents")))
+    """Every text as a telephony WAV file, mu-law, A-law or ADPCM, and as resampled PCM: sizes, digests and features of the bytes read back."""
+    return described(table(spark, sf_dir, "documents"))
