@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent and all runs on one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = "file://" + os.path.join(tempfile.gettempdir(), "progdf-checkpoints")
     return d.rstrip("/")
 
@@ -48,6 +51,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a table made by saved(), as it is stored."""
+    jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(df._progdf_path)
+    return p.getFileSystem(jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def forget(*dfs: DataFrame) -> None:
     """Delete tables made by saved() that nothing reads any more."""
     for df in dfs:

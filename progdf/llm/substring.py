@@ -1,12 +1,13 @@
 """Repeated lines or paragraphs: keep the earliest ranked occurrence, remove the others, keep the original offsets.
 
-A unit is normalised (A-Z to a-z, runs of white space to one space) and hashed to 128 bits. Units of fewer than `min_words`
-words may repeat by chance: they go only if they stand in `short_docs` documents or more. Occurrences rank by doc_id, then by
-place in the text.
+A unit is normalised (A-Z to a-z, runs of white space to one space) and hashed to 128 bits; digests are grouped over all
+documents. Occurrences rank by doc_id, then by place in the text.
 
-What is left is then searched for passages of `passage` words or more that stand in it before, wherever they begin and end.
-Runs of half that length, chosen by least hash so that every window of `passage` words has one, tell which windows can
-repeat; only these are compared.
+So that repeated passages go wherever they begin and end in a line, units of `passage` words are treated alike: a window of
+that many words that stands earlier, in the same normal form, goes. Runs of half that length, chosen by least hash so that
+every window has one, tell which windows can repeat; only these are hashed and grouped.
+
+Both are found in the original text, and what they remove is united.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WORD, Words, _powers, arrow_rows, forget, mix, saved, slices, table, tidy
+from .common import WORD, Words, _powers, arrow_rows, forget, fresh, mix, saved, slices, stored_bytes, table, tidy
 
-MIN_WORDS = 20
-#: Documents from which on a unit of fewer words counts as repeated.
-SHORT_DOCS = 3
 #: Least words of a passage that goes wherever it stands.
 PASSAGE = 50
-#: So many removed units are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_UNITS = 1_000_000
+#: The table of what goes is broadcast to the texts up to this many bytes as it is stored; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
+ADDED = ("n_units", "n_lines", "n_passages", "n_removed", "removed")
+KEY = ["doc_id", "version"]
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SPACES = {c: 32 for c in (9, 10, 11, 12, 13)}
 _NORMAL = _LOWER | _SPACES
@@ -40,25 +41,44 @@ def normal(unit: str) -> list[str]:
     return [w for w in unit.translate(_NORMAL).split(" ") if w]
 
 
-def units(df: DataFrame, unit: str = "line") -> DataFrame:
-    """(doc_id, version, pos, start, end, words, d1, d2) of each unit with a word; offsets are code points."""
+def place() -> F.Column:
+    """What occurrences rank by."""
+    return F.struct("doc_id", "version", "pos")
+
+
+def units(texts: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """(doc_id, version, pos, start, end, d1, d2) of each unit of (doc_id, version, text) rows with so many words; offsets are code points."""
     sep = SEPARATOR[unit]
+    names = ("doc_id", "version", "pos", "start", "end", "d1", "d2")
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "version", "pos", "start", "end", "words", "d1", "d2")}
-            for i, v, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                at = 0
-                for pos, x in enumerate(text.split(sep)):
-                    if words := normal(x):
-                        d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        for k, y in zip(out, (i, v, pos, at, at + len(x), len(words), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)), strict=True):
-                            out[k].append(y)
-                    at += len(x) + len(sep)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([(k, pa.int64()) for k in out]))
-
-    rows = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(tidy(run), "doc_id long, version long, pos long, start long, end long, words long, d1 long, d2 long")
+            for a, b in slices(batch.column(2)):
+                rows: list[tuple] = []
+                for i, v, text in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in range(3)), strict=True):
+                    at = 0
+                    for pos, x in enumerate(text.split(sep)):
+                        words = normal(x)
+                        if len(words) >= max(1, min_words):
+                            d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                            rows.append((i, v, pos, at, at + len(x), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                        at += len(x) + len(sep)
+                cols = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    return texts.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
+
+
+def repeated_units(texts: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """(doc_id, version, lines): the later occurrences of units as structs (start, end, keeper) in order."""
+    found = saved(units(texts, unit, min_words), "units")
+    # partial minima are made before the shuffle; a table of its own lets the join split a unit of a great many documents
+    first = found.groupBy("d1", "d2").agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first <> last").drop("last")
+    first = saved(first, "first")
+    later = found.join(first, ["d1", "d2"]).where(place() != F.col("first")).select(*KEY, "start", "end", F.col("first.doc_id").alias("keeper"))
+    out = saved(later.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end", "keeper"))).alias("lines")), "lines")
+    forget(found, first)
+    return out
 
 
 def _runs(words: Words, k: int) -> np.ndarray:
@@ -88,7 +108,7 @@ def _texts(batch):
     """(ids, versions, texts) of a batch in runs of little text."""
     text = batch.column(2)
     for a, b in slices(text):
-        yield batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), text.slice(a, b - a), (a, b)
+        yield *(batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (0, 1)), text.slice(a, b - a), (a, b)
 
 
 def _marks(size: int):
@@ -130,34 +150,31 @@ def _candidates(size: int):
     return run
 
 
-def _passages(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, _version, _cut): for each text with repeated windows, its words to remove as structs (from, to, keeper) in order.
+def repeated_passages(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, version, passages): for each text with repeated windows, its words to remove as structs (from, to, keeper) in order.
 
     Each removed word stands in an earlier occurrence of its window; where a window overlaps its own first occurrence, only
     what lies after that goes.
     """
-    key = ["doc_id", "_version"]
-    text = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(*key, "text")
-    marks = saved(text.mapInArrow(tidy(_marks(size)), "doc_id long, version long, pos long, mark long"), "marks")
-    place = F.struct("doc_id", "version", "pos")
-    again = marks.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("mark")
-    hot = marks.join(again, "mark").groupBy("doc_id", F.col("version").alias("_version")).agg(F.collect_set("mark").alias("marks"))
-    found = text.join(hot, key).select(*key, "text", "marks").mapInArrow(tidy(_candidates(size)), "doc_id long, version long, pos long, mark long, window long")
+    marks = saved(texts.mapInArrow(tidy(_marks(size)), "doc_id long, version long, pos long, mark long"), "marks")
+    again = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "again")
+    hot = saved(marks.join(again, "mark").groupBy(*KEY).agg(F.collect_set("mark").alias("marks")), "hot")
+    forget(marks, again)
+    found = texts.join(hot, KEY).select(*KEY, "text", "marks").mapInArrow(tidy(_candidates(size)), "doc_id long, version long, pos long, mark long, window long")
     found = saved(found, "windows")
-    forget(marks)
-    first = found.groupBy("mark", "window").agg(F.min(place).alias("first"), F.max(place).alias("z")).where("first <> z").drop("z")
-    later = found.join(first, ["mark", "window"]).where(place != F.col("first"))
+    forget(hot)
+    first = saved(found.groupBy("mark", "window").agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first <> last").drop("last"), "first")
+    later = found.join(first, ["mark", "window"]).where(place() != F.col("first"))
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
     start = F.when(own, F.greatest("pos", F.col("first.pos") + size)).otherwise(F.col("pos"))
     spans = F.array_sort(F.collect_set(F.struct(start.alias("from"), (F.col("pos") + size).alias("to"), F.col("first.doc_id").alias("keeper"))))
-    out = saved(later.groupBy("doc_id", F.col("version").alias("_version")).agg(spans.alias("_cut")), "passages")
-    forget(found)
+    out = saved(later.groupBy(*KEY).agg(spans.alias("passages")), "passages")
+    forget(found, first)
     return out
 
 
-def _cut(text: str, spans, lines, sep: int):
-    """text without the words of spans, and what goes as (start, end, keeper) in the text that had the removed lines too."""
-    words = [m.span() for m in re.finditer(WORD, text)]
+def _united(spans) -> list[list[int]]:
+    """Runs [from, to, keeper] of words that go; a word of several spans counts to the first."""
     runs: list[list[int]] = []
     done = 0
     for x in spans:
@@ -168,116 +185,126 @@ def _cut(text: str, spans, lines, sep: int):
             else:
                 runs.append([a, b, x["keeper"]])
             done = b
-    rest, at, out = [], 0, []
-    for a, b, keeper in runs:
-        start, end = words[a][0], words[b - 1][1]
-        rest.append(text[at:start])
-        at = end
-        # offsets with the lines put back, in pieces where a removed line lies within
-        for s, e in lines:
-            if s <= start:
-                start, end = start + e - s + sep, end + e - s + sep
-            elif s < end:
-                out.append({"start": start, "end": s - sep, "keeper": keeper})
-                start, end = e + sep, end + e - s + sep
-        out.append({"start": start, "end": end, "keeper": keeper})
-    return "".join([*rest, text[at:]]), out
-
-
-def _without_passages(df: DataFrame, size: int, sep: str) -> DataFrame:
-    """df, which has had its lines removed, without repeated passages; n_removed and removed count these too."""
-    drop = _passages(df, size)
-    few = (drop.agg(F.sum(F.size("_cut") + 1)).first()[0] or 0) <= BROADCAST_UNITS
-    joined = df.join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left")
-    names = [c for c in df.columns if c != "_version"]
-
-    def run(batches):
-        for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            new = {c: get(c) for c in names}
-            mask = get("_cut").is_valid()
-            if pc.any(mask).as_py():
-                texts, removed = [], []
-                for t, spans, lines in zip(*(get(c).filter(mask).to_pylist() for c in ("text", "_cut", "removed")), strict=True):
-                    rest, out = _cut(t, spans, [(x["start"], x["end"]) for x in lines], len(sep))
-                    texts.append(rest)
-                    removed.append(sorted(lines + out, key=lambda x: x["start"]))
-                every, it = get("removed").to_pylist(), iter(removed)
-                every = [next(it) if m else x for m, x in zip(mask.to_pylist(), every, strict=True)]
-                new["text"] = pc.replace_with_mask(new["text"], mask, pa.array(texts, new["text"].type))
-                new["removed"] = pa.array(every, new["removed"].type)
-                new["n_removed"] = pa.array([len(x) for x in every], pa.int64())
-            yield pa.RecordBatch.from_arrays([new[c] for c in names], names)
-
-    return joined.mapInArrow(tidy(run), joined.select(*names).schema)
-
-
-def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, short_docs: int = SHORT_DOCS, passage: int = PASSAGE) -> DataFrame:
+    return runs
+
+
+def _cut(text: str, lines, spans, sep: int) -> tuple[str, list[tuple], int]:
+    """text without its repeated units and passages, both as (start, end, keeper) in order, and the number of passages."""
+    gone, words = [], [m.span() for m in re.finditer(WORD, text)] if spans else []
+    passages = [(words[a][0], words[b - 1][1], k) for a, b, k in _united(spans)]
+    # a unit goes with the separator after it, those at the end with the one before
+    tail = len(text)
+    for x in reversed(lines):
+        if x["end"] == tail:
+            tail = x["start"] - sep
+            gone.append((max(0, tail), x["end"]))
+        else:
+            gone.append((x["start"], x["end"] + sep))
+    rest, at = [], 0
+    for a, b in sorted(gone + [p[:2] for p in passages]):
+        if a > at:
+            rest.append(text[at:a])
+        at = max(at, b)
+    return "".join([*rest, text[at:]]), sorted([(x["start"], x["end"], x["keeper"]) for x in lines] + passages), len(passages)
+
+
+def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = 1, passage: int = PASSAGE) -> DataFrame:
     """Every row of df with the later occurrences of its repeated units and passages removed; passage 0 looks for units alone.
 
-    df: doc_id, text and any other columns, which pass through unchanged; columns of the names added here are replaced.
-    Adds n_units, n_removed and removed, an array of (start, end, keeper): code points in the original text, and the
-    document that keeps the unit or passage; n_removed is its length. A null text stays null and an empty one empty. A row without doc_id is left as it is and
-    removes nothing elsewhere. Rows that repeat both doc_id and text count as one document and change alike.
+    df: doc_id, text and any other columns, which pass through unchanged, whatever their names; columns of the names added here
+    are replaced. unit: "line" or "paragraph"; units of fewer than min_words words stay.
+    Adds n_units (lines or paragraphs of the original), n_lines (units removed), n_passages (passages removed), n_removed (their
+    sum) and removed, an array of n_removed structs (start, end, keeper): code points in the original text, and the document that
+    keeps the unit or passage; a unit may lie within a passage. A null text stays null and an empty one empty. A row without
+    doc_id is left as it is and removes nothing elsewhere. Rows that repeat both doc_id and text count as one document and
+    change alike; rows that repeat a doc_id alone rank by a hash of the text. Without rows there is nothing to do.
     """
     arrow_rows(df.sparkSession)
-    df = df.drop("n_units", "n_removed", "removed", "_version", "_drop").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    found = saved(units(df, unit), "units")
-    per = found.groupBy("d1", "d2", "doc_id").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"), F.min("words").alias("words"))
-    first = per.groupBy("d1", "d2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("words").alias("words"))
-    first = first.where((F.col("n") > 1) & ((F.col("words") >= min_words) | (F.col("docs") >= short_docs))).select("d1", "d2", "first")
-    later = found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "version", "pos") != F.col("first")).select("doc_id", "version", "pos", "start", "end", F.col("first.doc_id").alias("keeper")).distinct()
-    drop = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "keeper"))).alias("_drop"))
-    drop = saved(drop.withColumnRenamed("version", "_version"), "repeats")
-    forget(found)
-    # where few units go, the texts stay where they are; otherwise texts and units meet by a shuffle
-    few = (drop.agg(F.sum(F.size("_drop") + 1)).first()[0] or 0) <= BROADCAST_UNITS
-    joined = df.withColumn("_version", F.xxhash64("text")).join(F.broadcast(drop) if few else drop, ["doc_id", "_version"], "left")
-    sep = SEPARATOR[unit]
-    pick = F.transform(F.coalesce("_drop", F.array().cast(drop.schema["_drop"].dataType)), lambda x: F.struct(x["start"], x["end"], x["keeper"]))
-    added = {"n_units": F.coalesce(F.size(F.split("text", sep)).cast("long"), F.lit(0)), "n_removed": F.size(pick).cast("long"), "removed": pick, "_gone": F.transform("_drop", lambda x: x["pos"])}
-    joined = joined.withColumns(added).drop("_drop")
-    names = [c for c in joined.columns if c != "_gone"]
+    kept = [c for c in df.columns if c.lower() not in ADDED]
+    own, sep = fresh(df, "repeats"), SEPARATOR[unit]
+    text, ident = df["text"].cast("string"), df["doc_id"].cast("long")
+    texts = df.select(ident.alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    lines = repeated_units(texts, unit, min_words)
+    if passage:
+        passages = repeated_passages(texts, passage)
+        drop = saved(lines.join(passages, KEY, "full_outer"), "cuts")
+        forget(lines, passages)
+    else:
+        kind = "array<struct<from: bigint, to: bigint, keeper: bigint>>"
+        drop = saved(lines.withColumn("passages", F.lit(None).cast(kind)), "cuts")
+        forget(lines)
+    few = stored_bytes(drop) <= BROADCAST_BYTES
+    drop = drop.toDF(*[f"{own}{c}" for c in drop.columns])
+    # the text twice: as it is read, and in the place of the column
+    rows = df.select(*[text.alias(c) if c.lower() == "text" else df[c] for c in kept], ident.alias(f"{own}doc_id"), F.xxhash64(text).alias(f"{own}version"))
+    rows = rows.join(F.broadcast(drop) if few else drop, [f"{own}doc_id", f"{own}version"], "left")
+    rows = rows.select(*kept, F.coalesce(F.size(F.split("text", sep)).cast("long"), F.lit(0).cast("long")).alias(f"{own}units"), f"{own}lines", f"{own}passages")
+    span = StructType([StructField(c, LongType()) for c in ("start", "end", "keeper")])
+    schema = StructType([*(f if f.name.lower() != "text" else StructField(f.name, StringType()) for f in rows.schema.fields[: len(kept)]), *(StructField(c, LongType()) for c in ADDED[:4]), StructField("removed", ArrayType(span))])
+    at, n, many = [c.lower() for c in kept].index("text"), len(kept), pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "keeper")]))
 
     def run(batches):
         for batch in batches:
-            gone = batch.column(batch.schema.get_field_index("_gone"))
-            mask = gone.is_valid()
-            text = batch.column(batch.schema.get_field_index("text"))
-            if pc.any(mask).as_py():
-                rest = []
-                for t, g in zip(text.filter(mask).to_pylist(), gone.filter(mask).to_pylist(), strict=True):
-                    out = set(g)
-                    rest.append(sep.join([x for i, x in enumerate(t.split(sep)) if i not in out]))
-                text = pc.replace_with_mask(text, mask, pa.array(rest, text.type))
-            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names], names)
-
-    lines = joined.mapInArrow(tidy(run), joined.select(*names).schema)
-    return _without_passages(saved(lines, "lines"), passage, sep) if passage else lines.drop("_version")
+            cols, counted, hit = batch.columns[:n], batch.column(n), pc.or_(batch.column(n + 1).is_valid(), batch.column(n + 2).is_valid())
+            mask = hit.to_pylist()
+            found = []
+            for t, x, y in zip(*(c.filter(hit).to_pylist() for c in (cols[at], batch.column(n + 1), batch.column(n + 2))), strict=True):
+                rest, out, k = _cut(t, x or [], y or [], len(sep))
+                found.append((rest, [dict(zip(("start", "end", "keeper"), z, strict=True)) for z in out], k))
+            it = iter(found)
+            every = [next(it) if m else (None, [], 0) for m in mask]
+            if found:
+                cols[at] = pc.replace_with_mask(cols[at], hit, pa.array([x[0] for x in found], cols[at].type))
+            total, few_ = pa.array([len(x[1]) for x in every], pa.int64()), pa.array([x[2] for x in every], pa.int64())
+            yield pa.RecordBatch.from_arrays([*cols, counted, pc.subtract(total, few_), few_, total, pa.array([x[1] for x in every], many)], schema.names)
+
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines and passages: doc_id, text, n_units, n_removed and removed as start:end:keeper, joined by commas."""
+    """Documents without their repeated lines and passages: doc_id, text, the counts, and removed as start:end:keeper, joined by commas."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["keeper"].cast("string"))), ",")
-    return out.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed"))
+    return out.select("doc_id", "text", *ADDED[:4], spans.alias("removed"))
 
 
-OP6_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
+OP6_SQL = rf"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts, regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+lines AS (SELECT doc_id, UNNEST(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs
 ), placed AS (
-  SELECT doc_id, pos, line, COALESCE(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS unit
-  FROM lines
-), ranked AS (
-  SELECT *, length(unit) > 0 AND length(unit) - length(replace(unit, ' ', '')) + 1 >= 20 AS long_enough,
-    ROW_NUMBER() OVER (PARTITION BY unit ORDER BY doc_id, pos) AS nth, FIRST_VALUE(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, pos) AS keeper
-  FROM placed
-), marked AS (SELECT *, long_enough AND nth > 1 AS gone FROM ranked)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(m.kept, '') END AS text, COALESCE(m.n_units, 0) AS n_units, COALESCE(m.n_removed, 0) AS n_removed, COALESCE(m.removed, '') AS removed
-FROM documents d LEFT JOIN (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, COUNT(*) AS n_units, COUNT(*) FILTER (WHERE gone) AS n_removed,
-    string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT) || ':' || keeper, ',' ORDER BY pos) FILTER (WHERE gone) AS removed
-  FROM marked GROUP BY doc_id) m USING (doc_id)
+  SELECT doc_id, pos, length(line) AS size, COALESCE(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS unit FROM lines
+), marked AS (
+  SELECT *, unit <> '' AND ROW_NUMBER() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS gone, FIRST_VALUE(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, pos) AS keeper FROM placed
+), cut_lines AS (
+  SELECT doc_id, start, start + size AS stop, keeper, COALESCE(bool_and(gone) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS tail, gone FROM marked
+), pieces AS (SELECT doc_id, UNNEST(tokens) AS token, generate_subscripts(tokens, 1) AS k FROM docs),
+spots AS (SELECT *, SUM(length(token)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS stop FROM pieces),
+words AS (
+  SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, stop - length(token) AS start, stop, translate(token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word
+  FROM spots WHERE NOT regexp_full_match(token, '[\x20\x09-\x0D]+')
+), texts AS (SELECT doc_id, list(word ORDER BY pos) AS ws FROM words GROUP BY doc_id),
+windows AS (SELECT doc_id, pos, md5(array_to_string(ws[pos + 1:pos + {PASSAGE}], ' ')) AS h FROM (SELECT doc_id, ws, UNNEST(range(0, len(ws) - {PASSAGE - 1})) AS pos FROM texts)),
+ranked AS (SELECT doc_id, pos, FIRST_VALUE(doc_id) OVER w AS keeper, FIRST_VALUE(pos) OVER w AS first_pos FROM windows WINDOW w AS (PARTITION BY h ORDER BY doc_id, pos)),
+spans AS (
+  SELECT DISTINCT doc_id, CASE WHEN keeper = doc_id THEN greatest(pos, first_pos + {PASSAGE}) ELSE pos END AS a, pos + {PASSAGE} AS b, keeper FROM ranked WHERE NOT (keeper = doc_id AND first_pos = pos)
+), apart AS (
+  SELECT doc_id, greatest(a, COALESCE(MAX(b) OVER (PARTITION BY doc_id ORDER BY a, b, keeper ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS a, b, keeper FROM spans
+), joined AS (
+  SELECT *, SUM(CASE WHEN a = before AND keeper = same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a) AS run
+  FROM (SELECT *, LAG(b) OVER w AS before, LAG(keeper) OVER w AS same FROM apart WHERE b > a WINDOW w AS (PARTITION BY doc_id ORDER BY a))
+), runs AS (SELECT doc_id, MIN(a) AS a, MAX(b) AS b, MIN(keeper) AS keeper FROM joined GROUP BY doc_id, run),
+passages AS (SELECT r.doc_id, x.start, y.stop, r.keeper FROM runs r JOIN words x ON x.doc_id = r.doc_id AND x.pos = r.a JOIN words y ON y.doc_id = r.doc_id AND y.pos = r.b - 1),
+listed AS (
+  SELECT doc_id, COUNT(*) FILTER (WHERE line) AS n_lines, COUNT(*) FILTER (WHERE NOT line) AS n_passages, string_agg(start || ':' || stop || ':' || keeper, ',' ORDER BY start, stop, keeper) AS removed
+  FROM (SELECT doc_id, start, stop, keeper, true AS line FROM cut_lines WHERE gone UNION ALL SELECT doc_id, start, stop, keeper, false FROM passages) GROUP BY doc_id
+), cuts AS (
+  SELECT doc_id, CASE WHEN tail THEN greatest(start - 1, 0) ELSE start END AS a, CASE WHEN tail THEN stop ELSE stop + 1 END AS b FROM cut_lines WHERE gone UNION ALL SELECT doc_id, start, stop FROM passages
+), gaps AS (
+  SELECT doc_id, a, COALESCE(MAX(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind FROM cuts
+  UNION ALL SELECT d.doc_id, length(text), COALESCE(m.b, 0) FROM docs d LEFT JOIN (SELECT doc_id, MAX(b) AS b FROM cuts GROUP BY doc_id) m USING (doc_id)
+), rest AS (SELECT g.doc_id, string_agg(substring(text, CAST(behind + 1 AS BIGINT), CAST(a - behind AS BIGINT)), '' ORDER BY behind) AS kept FROM gaps g JOIN docs USING (doc_id) WHERE a > behind GROUP BY g.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.doc_id IS NULL THEN d.text ELSE COALESCE(r.kept, '') END AS text, COALESCE(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_units,
+  COALESCE(n_lines, 0) AS n_lines, COALESCE(n_passages, 0) AS n_passages, COALESCE(n_lines + n_passages, 0) AS n_removed, COALESCE(removed, '') AS removed
+FROM documents d LEFT JOIN rest r USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
