@@ -199,7 +199,7 @@ QUERIES = {f.__name__: f for f in (
 _KEYS = """addr AS (SELECT o_orderkey * 10 + 1 AS v, o_orderkey + 1 AS o, o_custkey FROM orders WHERE o_orderkey % 5 = 0 UNION SELECT o_orderkey * 10 + 1, -1, o_custkey FROM orders WHERE o_orderkey % 97 = 0),
 cust AS (SELECT DISTINCT o_custkey * 10 + 2 AS v, o, c_nationkey FROM addr JOIN customer ON c_custkey = o_custkey), nat AS (SELECT DISTINCT c_nationkey * 10 + 3 AS v, o, n_regionkey FROM cust JOIN nation ON n_nationkey = c_nationkey),
 reg AS (SELECT DISTINCT n_regionkey * 10 + 4 AS v, o FROM nat), pts AS (SELECT v, o FROM addr UNION SELECT v, o FROM cust UNION SELECT o_custkey * 10 + 2, o FROM addr UNION SELECT v, o FROM nat UNION SELECT v, o FROM reg)"""
-_FIELDS = """x AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS line, l_suppkey AS s, l_partkey AS p, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS brand, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0),
+_FIELDS = """x AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS line, l_suppkey AS s, l_partkey AS p, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS brand, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey),
 a AS (SELECT line * 10 + 1 AS v, s * 2 + 2 AS o FROM x UNION SELECT line * 10 + 2, p * 2 + 3 FROM x UNION SELECT line * 10 + 1, -1 FROM x WHERE l_linenumber = 7),
 fld AS (SELECT DISTINCT b.o AS base, CASE WHEN brand % 6 = 0 THEN 0 ELSE brand END AS field, CASE WHEN b.o = -1 THEN -1 ELSE y.o END AS o FROM x JOIN a b ON b.v = line * 10 + 1 JOIN a y ON y.v = line * 10 + 2 WHERE line % 2 = 0),
 cont AS (SELECT DISTINCT b.o AS base, CASE WHEN b.o = -1 THEN -1 ELSE y.o END AS o FROM x JOIN a b ON b.v = line * 10 + 1 JOIN a y ON y.v = line * 10 + 2 WHERE line % 2 = 1),
@@ -233,7 +233,7 @@ SELECT CASE WHEN c.target IS NULL THEN g.id ELSE 0 END AS group_id, count(*) AS
 SELECT site, caller, o + 1000 AS target FROM s JOIN p ON v = callee WHERE o % 2 = 0 UNION SELECT site, caller, 0 FROM s LEFT JOIN p ON v = callee WHERE o IS NULL OR o % 2 <> 0""",
     "cg_reachable": """WITH RECURSIVE r AS (SELECT c_custkey AS code FROM customer WHERE c_custkey IN (1, 7) UNION SELECT code * k FROM r, (VALUES (2), (3)) t(k) WHERE code * k <= (SELECT max(c_custkey) FROM customer)) SELECT code FROM r""",
     "cg_report": f"""WITH {_CALLS} SELECT '{{"edges":' || count(*) || ',"resolved":' || count(target) || ',"pairs":' || count(DISTINCT CASE WHEN target IS NOT NULL THEN caller || '/' || target END) || ',"callers":' || count(DISTINCT caller) || '}}' AS record FROM calls""",
-    "cg_dot": f"""WITH {_CALLS}, e AS (SELECT DISTINCT site, caller, target, l_returnflag || '/' || l_linestatus AS label FROM calls WHERE caller % 100 = 0)
+    "cg_dot": f"""WITH {_CALLS}, e AS (SELECT DISTINCT site, caller, target, l_returnflag || '/' || l_linestatus AS label FROM calls)
 SELECT 0 AS place, '  c' || caller || ';' AS line FROM e UNION SELECT 0, '  c' || target || ';' FROM e WHERE target IS NOT NULL UNION SELECT 1, '  c' || caller || ' -> c' || target || ';' FROM e WHERE target IS NOT NULL
 UNION ALL SELECT 2, '  u' || site || ' [label="' || label || '"];' FROM e WHERE target IS NULL UNION ALL SELECT 3, '  c' || caller || ' -> u' || site || ' [style=dashed];' FROM e WHERE target IS NULL""",
     "binding_pairs": f"WITH {_ARGS} SELECT site, pos, formal_pos FROM bound",
@@ -247,10 +247,10 @@ SELECT operand, CASE WHEN operand = 26 THEN 'getitem' ELSE CASE WHEN operand >=
 own AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'n' || s_nationkey ELSE 'r' || (s_nationkey % 5) END AS class, 'm' || (s_suppkey % 7) AS name FROM supplier),
 up AS (SELECT class, class AS base, 0 AS d FROM (SELECT class FROM cls UNION SELECT base FROM cls UNION SELECT class FROM own) UNION SELECT u.class, c.base, u.d + 1 FROM up u JOIN cls c ON c.class = u.base)
 SELECT u.class, o.name, min_by(o.class, u.d) AS owner FROM up u JOIN own o ON o.class = u.base GROUP BY u.class, o.name""",
-    "cfg_dot": f"""WITH {X.cfg_sql()}, b AS (SELECT code_id, block_id, min(off) AS s, string_agg(off, ' ' ORDER BY off) AS offs FROM placed WHERE code_id % 25 = 0 GROUP BY ALL),
-l AS (SELECT code_id, block_id::BIGINT AS place, '  b' || block_id || ' [label="B' || block_id || ' @' || s || '\\n' || offs || '"];' AS line FROM b UNION ALL SELECT code_id, (1::BIGINT << 40) + src * 1048576 + dst, '  b' || src || ' -> b' || dst || ' [label="' || kind || '"];' FROM edges WHERE code_id % 25 = 0)
+    "cfg_dot": f"""WITH {X.cfg_sql()}, b AS (SELECT code_id, block_id, min(off) AS s, string_agg(off, ' ' ORDER BY off) AS offs FROM placed GROUP BY ALL),
+l AS (SELECT code_id, block_id::BIGINT AS place, '  b' || block_id || ' [label="B' || block_id || ' @' || s || '\\n' || offs || '"];' AS line FROM b UNION ALL SELECT code_id, (1::BIGINT << 40) + src * 1048576 + dst, '  b' || src || ' -> b' || dst || ' [label="' || kind || '"];' FROM edges)
 SELECT code_id, 'digraph "cfg" {{' || chr(10) || string_agg(line, chr(10) ORDER BY place, line) || chr(10) || '}}' || chr(10) AS document FROM l GROUP BY code_id""",
     "cdg_dot": f"""WITH RECURSIVE {X.cfg_sql()}{X.CDG_SQL} SELECT code_id, 'digraph "cdg" {{' || chr(10) || string_agg('  b' || controller || ' -> b' || dependent || ' [label="' || outcome || '"];', chr(10) ORDER BY controller, dependent, outcome) || chr(10) || '}}' || chr(10) AS document
-FROM cdg WHERE code_id % 25 = 0 GROUP BY code_id""",
+FROM cdg GROUP BY code_id""",
     "pipeline_summary": f"""WITH {X.cfg_sql()} SELECT '{{"schema_version":2,"codes":' || count(DISTINCT code_id) || ',"instructions":' || count(*) || ',"cfg":{{"blocks":' || count(*) FILTER (WHERE is_last) || ',"edges":' || (SELECT count(*) FROM edges) || '}}}}' AS record FROM placed""",
 }

@@ -169,7 +169,7 @@ ORACLES = {
     "score_by_lang": f"WITH {_CASES} SELECT lang, {_FINISH} FROM scored GROUP BY lang",
     "candidate_universe": f"WITH {_CASES} SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, 2 * count(*) AS positive, 2 * count(*) AS negative FROM cases GROUP BY ROLLUP (lang, source)",
     "edge_verdicts": f"""WITH {_CHAIN} SELECT CASE WHEN dst = src + 1 THEN CASE WHEN src % 3 <> 0 THEN 'tp' ELSE 'fn' END ELSE CASE WHEN src % 3 <> 0 THEN 'fp' ELSE 'tn' END END AS verdict, count(*) AS n FROM chain GROUP BY 1""",
-    "path_composition": f"""WITH RECURSIVE {_CHAIN}, walk AS (SELECT conv_id, [src, dst] AS path FROM chain WHERE conv_id % 2 = 0
+    "path_composition": f"""WITH RECURSIVE {_CHAIN}, walk AS (SELECT conv_id, [src, dst] AS path FROM chain
   UNION SELECT w.conv_id, list_append(w.path, c.dst) FROM walk w JOIN chain c ON c.conv_id = w.conv_id AND c.src = w.path[-1] WHERE NOT list_contains(w.path, c.dst) AND len(w.path) < 5)
 SELECT conv_id, array_to_string(path, '>') AS path FROM walk WHERE len(path) >= 3""",
     "path_subpaths": """WITH c AS (SELECT conv_id, list(turn ORDER BY turn) AS p FROM conversations GROUP BY conv_id), i AS (SELECT conv_id, p, unnest(range(1, len(p) - 1)) AS a FROM c), j AS (SELECT *, unnest(range(a + 2, len(p) + 1)) AS b FROM i)
