@@ -243,12 +243,16 @@ def fit(texts: pa.Array, label: np.ndarray, labels: list[str]) -> Crf:
 
 
 def train(df: DataFrame, docs: int = TRAIN_DOCS) -> Crf:
-    """Learn from the texts that are not held out and have a lang, at most `docs` of them, by hash."""
+    """Learn from the texts that are not held out and have a lang, at most `docs` of them, by hash.
+
+    Of rows that repeat a doc_id the one with the least lang and text counts. A language that none of them has is never predicted.
+    """
     arrow_rows(df.sparkSession)
     rows = df.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # ids of the sample come first, so that only its texts are moved
     ids = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").limit(2 * docs).toArrow()
+    one = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))
+    got = one.orderBy("doc_id").select("doc_id", "r.text", "r.lang").toArrow()  # at most `docs` rows
     langs = got["lang"].to_pylist()
     labels = sorted(set(langs))
     texts = got["text"].combine_chunks()
@@ -264,7 +268,8 @@ def languages(df: DataFrame, model: Crf | None = None, docs: int = TRAIN_DOCS) -
 
     df: doc_id, text, lang (to learn from only), other columns ignored. A text that is null or has no letter is `und` with score
     0. Otherwise score is the share of the predicted language in the probability of the words. A null doc_id stays null and
-    is not held out; repeated rows stay. Where nothing can be learned every text is `und`.
+    is not held out; repeated rows stay. Where nothing can be learned every text is `und`; of the languages only those of the
+    sample learned from, `docs` documents at most, are ever predicted.
     """
     spark = df.sparkSession
     model = model or train(df, docs)

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, forget, mix, saved, shingles, slices, table, tidy, Words
+from .common import arrow_rows, forget, fresh, mix, saved, shingles, slices, stored_bytes, table, tidy, Words
 from .graph import components
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A class of at most so many ids is broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: The table of documents that go is broadcast up to this many bytes as it is stored.
+BROADCAST_BYTES = 16 << 20
 #: Rows of a bucket, and shingles of a family, that one task compares at a time.
 BLOCK, ELEMENTS = 512, 200_000
 
@@ -79,20 +81,21 @@ def likely(same: np.ndarray, more: np.ndarray, less: np.ndarray, nu: np.ndarray,
 
 
 def sketch(df: DataFrame, words: int, m: int) -> DataFrame:
-    """(doc_id, n, d1, d2, regs): set size, a 128-bit digest of the set and its registers, of (doc_id, text) rows."""
+    """(doc_id, version, n, d1, d2, regs): a hash of the text, set size, a 128-bit digest of the set and its registers, of (doc_id, text) rows."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, versions, texts = batch.columns
             for a, b in slices(texts):
                 h, bounds = shingles(Words(texts.slice(a, b - a)), words)
                 regs = registers(minima(h, bounds, m))
                 sums = [np.append(np.uint64(0), np.cumsum(mix(h + np.uint64(s)))) for s in (11, 23)]
                 d = [(c[bounds[1:]] - c[bounds[:-1]]).view(np.int64) for c in sums]
                 raw = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * m * 2, m * 2, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(regs))])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), raw], ["doc_id", "n", "d1", "d2", "regs"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), versions.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(d[0]), pa.array(d[1]), raw], ["doc_id", "version", "n", "d1", "d2", "regs"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, regs binary")
+    text = F.col("text").cast("string")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(tidy(run), "doc_id long, version long, n long, d1 long, d2 long, regs binary")
 
 
 def _matrix(column, m: int) -> np.ndarray:
@@ -180,7 +183,8 @@ def _alike(entries: DataFrame, classes: DataFrame, m: int, percent: int, least:
     block of its members, and a block compares their registers with all others.
     """
     per = entries.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    size = per.groupBy("key").agg(F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("k", "comp")).alias("top"))
+    # a table of its own lets the join split a bucket of very many members
+    size = saved(per.groupBy("key").agg(F.ceil(F.sum("k") / BLOCK).cast("int").alias("blocks"), F.max(F.struct("k", "comp")).alias("top")), "sizes")
     rows = entries.join(size, "key").join(classes.select("rep", "n", "regs"), "rep")
     data = ("rep", "comp", "n", "regs")
     stored = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), *data, F.lit(False).alias("asks"))
@@ -205,7 +209,8 @@ def _alike(entries: DataFrame, classes: DataFrame, m: int, percent: int, least:
                     found += [(rep[i], rep[j]) for j in ok[est >= least] if sets.join(comp[i], comp[j])]
         return _pairs(found)
 
-    return stored.unionByName(asking).groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+    # dealt anew: else all blocks of a bucket would stay together
+    return stored.unionByName(asking).repartition("key", "block").groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
 
 
 def _within(members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -217,7 +222,7 @@ def _within(members: DataFrame, words: int, percent: int) -> DataFrame:
     per = members.groupBy("family", "comp").agg(F.sum("n").alias("k"))
     size = per.groupBy("family").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
     size = size.withColumns({"blocks": F.ceil(F.col("all") / ELEMENTS).cast("int"), "turns": F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.k")) / ELEMENTS).cast("int"))})
-    rows = members.join(size, "family")
+    rows = members.join(saved(size, "sizes"), "family")
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = ("rep", "comp", "text")
@@ -249,17 +254,19 @@ def _within(members: DataFrame, words: int, percent: int) -> DataFrame:
                 found += [(rep[i], rep[j]) for j in own[good] if sets.join(comp[i], comp[j])]
         return _pairs(found)
 
-    return stored.unionByName(asking).groupBy("family", "block", "turn").applyInArrow(run, "a long, b long").distinct()
+    # dealt anew: else all blocks of a family would stay together
+    return stored.unionByName(asking).repartition("family", "block", "turn").groupBy("family", "block", "turn").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 200, rows: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 200, rows: int = 5, versions: bool = False) -> DataFrame:
     """Components of near-duplicate documents.
 
     df: doc_id, text, any other columns (ignored). words: shingle length. percent: least similarity, in hundredths.
     m, rows: registers and registers in a band; at a similarity of exactly 0.8, m=200 and rows=5 overlook a pair of two
     lone documents with probability (1 - 0.8**5)**40 = 1.2e-7.
     Gives doc_id, n_shingles, component_id, kept for every row. Null and empty texts have no shingles and stay alone.
-    Rows that repeat a doc_id share its component. A row without doc_id has component_id null and is kept.
+    Rows that repeat a doc_id are documents of their own texts, but what is linked with one is linked with the other. A row
+    without doc_id has component_id null and is kept. versions: adds version, a hash of the row's text. An empty table gives none.
     """
     spark = df.sparkSession
     arrow_rows(spark)
@@ -270,7 +277,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
     )
     count = m // rows
     keys = bands(classes, m, rows, count)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
+    shared = saved(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1"), "shared")
     multi = saved(keys.join(shared, "key").select("key", "rep", "leader"), "buckets")
     least = percent / 100 - 5 * np.sqrt(0.16 / m)
     reps = saved(multi.select("rep").distinct(), "reps")
@@ -293,7 +300,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
         entries = multi.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         lead = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "comp")).alias("lead")
         mixed = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo < hi")
-        return saved(entries.join(mixed.select("key", "lead"), "key"), "apart")
+        return saved(entries.join(saved(mixed.select("key", "lead"), "mixed"), "key"), "apart")
 
     entries = apart()
     pairs = entries.where("comp != lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
@@ -311,24 +318,28 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
     links.append(saved(_within(members, words, percent), "found"))
     forget(entries, alike, family)
     comp = saved(components(known.unionByName(links[2])), "components")
-    forget(multi, reps, texts, *links)
+    forget(shared, multi, reps, texts, *links)
     node = base.join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    own = node.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    own = node.select("doc_id", *["version"] * versions, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """df with one document of each group of near duplicates, that of least doc_id; rows without doc_id stay.
+    """df with one document of each group of near duplicates, that of least doc_id; rows without doc_id or without words stay.
 
-    Only the ids of what goes are gathered; of rows that repeat a doc_id one stays.
+    Of rows that repeat both doc_id and text one stays; rows of one doc_id with different texts are decided on each by itself.
     """
-    found = saved(near_duplicates(df, words, percent), "groups")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = saved(gone.withColumn("gone", F.lit(True)).unionByName(again.join(gone, "doc_id", "left_anti").withColumn("gone", F.lit(False))), "gone")
-    ids = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    stay = df.join(ids.select("doc_id"), "doc_id", "left_anti")
-    return stay.unionByName(df.join(ids.where("NOT gone").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = saved(near_duplicates(df, words, percent, versions=True), "groups").where("doc_id IS NOT NULL")
+    key = ["doc_id", "version"]
+    gone = found.groupBy(*key).agg(F.max(~F.col("kept")).alias("gone"), F.count("*").alias("n")).where("gone OR n > 1").select(*key, "gone")
+    gone = saved(gone, "gone")
+    small = stored_bytes(gone) <= BROADCAST_BYTES
+    own = fresh(df, "each")
+    gone = gone.toDF(*[f"{own}{c}" for c in ("id", "version", "gone")])
+    rows = df.withColumns({f"{own}id": F.col("doc_id").cast("long"), f"{own}version": F.xxhash64(F.col("text").cast("string"))})
+    rows = rows.join(F.broadcast(gone) if small else gone, [f"{own}id", f"{own}version"], "left").where(f"{own}gone IS NULL OR NOT {own}gone")
+    once, again = rows.where(f"{own}gone IS NULL"), rows.where(f"{own}gone IS NOT NULL").dropDuplicates([f"{own}id", f"{own}version"])
+    return once.unionByName(again).select(*df.columns)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, saved, table
 
-#: Distinct vectors that the index is fitted on, those of least hash, the last fifth only to measure; parts; vectors of a block.
-SAMPLE, PARTS, BLOCK = 7500, 32, 8192
+#: Distinct vectors that the index is fitted on, those of least hash, the last fifth only to measure; vectors of a part, as far
+#: as there are not more than so many parts, for which the sample is too small; vectors of a block.
+SAMPLE, PART, PARTS, BLOCK = 7500, 1600, 128, 8192
 #: Recall of the nearest neighbours that the number of parts for a query is chosen for.
 RECALL, NEAREST = 0.95, 5
 DEGREE, HIDDEN, EPOCHS = 10, 128, 40
@@ -124,7 +125,7 @@ class Router:
         return cls(w[0] * scale, *w[1:])
 
 
-def fit(x: np.ndarray, parts: int = PARTS, recall: float = RECALL) -> tuple[Router, int]:
+def fit(x: np.ndarray, parts: int, recall: float = RECALL) -> tuple[Router, int]:
     """A router learned from sample vectors, and the number of parts with which unseen ones reach the recall."""
     x = unit(x)
     seen = x[: max(1, len(x) - len(x) // 5)]
@@ -147,26 +148,31 @@ def fit(x: np.ndarray, parts: int = PARTS, recall: float = RECALL) -> tuple[Rout
     return router, next(p for p in range(1, parts + 1) if (at < p).mean() >= recall or p == parts)
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> tuple[int, Router | None, int]:
-    """(dimensions, router, probes) of the commonest length's vectors, learned from the `sample` distinct ones of least hash."""
+def train(vectors: DataFrame, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> tuple[int, Router | None, int]:
+    """(dimensions, router, probes) of the commonest length's vectors, learned from the `sample` distinct ones of least hash.
+
+    parts: by the number of vectors, one for each PART of them, unless it is given.
+    """
     top = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if top is None:
         return 0, None, 0
     rows = vectors.where(F.size("v") == top["d"]).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()
-    return top["d"], *fit(matrix(rows["v"]), parts, recall)
+    return top["d"], *fit(matrix(rows["v"]), parts or max(1, min(PARTS, top["count"] // PART)), recall)
 
 
-def _routed(vectors: DataFrame, router: Router, probes: int) -> DataFrame:
-    """(vec_id, v, parts): the likeliest parts of each vector."""
+def _routed(vectors: DataFrame, router: Router, probes: int, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(vec_id, v, parts): the likeliest parts of each vector, and further ones until they hold `least` vectors by their sizes."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             z = router.logits(unit(matrix(batch.column(1))))
-            k = min(probes, z.shape[1])
-            best = np.argsort(-z, axis=1, kind="stable")[:, :k].astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, len(best) * k + 1, k, dtype=np.int32), pa.array(best.ravel()))
+            best = np.argsort(-z, axis=1, kind="stable").astype(np.int32)
+            count = np.full(len(best), min(probes, z.shape[1]))
+            if sizes is not None:
+                count = np.minimum(np.maximum(count, (np.cumsum(sizes[best], axis=1) < least).sum(1) + 1), z.shape[1])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(best[np.arange(z.shape[1]) < count[:, None]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["vec_id", "v", "parts"])
 
     return vectors.mapInArrow(run, "vec_id long, v array<double>, parts array<int>")
@@ -197,7 +203,7 @@ def _best(query_id, q, vec_id, x, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, recall: float = RECALL, sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, recall: float = RECALL, sample: int = SAMPLE, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine found for each query, nearest first, ties to smaller vec_id.
 
     df, queries: vec_id, embedding, other columns ignored. A vector that is null, zero or holds a null or non-finite
@@ -211,10 +217,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = NEAREST, recall: float =
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = saved(_routed(vectors.where(F.size("v") == dims), router, 1).select("vec_id", "v", F.col("parts")[0].alias("part")), "index")
     size = index.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    size = F.broadcast(saved(size, "parts"))  # a row for each part
+    size = saved(size, "parts")
+    sizes = np.zeros(PARTS if parts is None else parts, np.int64)
+    for r in size.collect():  # a row for each part, of which there is a fixed number at most
+        sizes[r["part"]] = r["n"]
+    size = F.broadcast(size)
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     stored = index.join(size, "part").select("part", block.alias("block"), "vec_id", "v")
-    asked = _routed(usable(queries).where(F.size("v") == dims).dropDuplicates(["vec_id"]), router, probes).select("vec_id", "v", F.explode("parts").alias("part"))
+    asked = _routed(usable(queries).where(F.size("v") == dims).dropDuplicates(["vec_id"]), router, probes, sizes, 2 * k + 2).select("vec_id", "v", F.explode("parts").alias("part"))
     asked = asked.join(size, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -212,11 +212,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 
 def train(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
-    """Fit on the documents of df that have a label and are not held out, at most `rows` labels, those of least hash."""
+    """Fit on the documents of df that have a label and are not held out, at most `rows` of them, those of least hash.
+
+    Of rows that repeat a doc_id the one with the least features counts.
+    """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     sample = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")  # at most `rows` rows
     some = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left_semi")
-    data = measured(some).join(F.broadcast(sample), "doc_id").orderBy("doc_id", *FEATURES).select(*FEATURES, "quality").limit(2 * rows).toPandas()
+    one = measured(some).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("f")).select("doc_id", "f.*")
+    data = one.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select(*FEATURES, "quality").toPandas()  # at most `rows` rows
     order = np.random.default_rng(5).permutation(len(data))
     return fit(data[list(FEATURES)].to_numpy(float)[order], (data["quality"] == 1).to_numpy(float)[order])
 

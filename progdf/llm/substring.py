@@ -5,7 +5,7 @@ documents. Occurrences rank by doc_id, then by place in the text.
 
 So that repeated passages go wherever they begin and end in a line, units of `passage` words are treated alike: a window of
 that many words that stands earlier, in the same normal form, goes. Runs of half that length, chosen by least hash so that
-every window has one, tell which windows can repeat; only these are hashed and grouped.
+every window has one, its mark, tell which windows can repeat; only these are grouped.
 
 Both are found in the original text, and what they remove is united.
 """
@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WORD, Words, _powers, arrow_rows, forget, fresh, mix, saved, slices, stored_bytes, table, tidy
+from .common import WORD, Words, _powers, arrow_rows, forget, fresh, mix, saved, slices, table, tidy
 
 #: Least words of a passage that goes wherever it stands.
 PASSAGE = 50
-#: The table of what goes is broadcast to the texts up to this many bytes as it is stored; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
 ADDED = ("n_units", "n_lines", "n_passages", "n_removed", "removed")
 KEY = ["doc_id", "version"]
@@ -93,14 +91,14 @@ def _runs(words: Words, k: int) -> np.ndarray:
 
 
 def _windows(column, size: int):
-    """(words, whether a window of size words begins at each word, least hash of its shorter runs, hashes of the shorter runs)."""
+    """(words, whether a window of size words begins at each word, where the first of its least shorter runs begins, hashes of the shorter runs)."""
     w = Words(column)
     half = size // 2
     g = _runs(w, half)
     n = len(w.hash) - size + 1
     if n < 1:
-        return w, np.zeros(0, bool), np.zeros(0, np.uint64), g
-    least = np.lib.stride_tricks.sliding_window_view(g, size - half + 1).min(axis=1)
+        return w, np.zeros(0, bool), np.zeros(0, np.int64), g
+    least = np.lib.stride_tricks.sliding_window_view(g, size - half + 1).argmin(axis=1) + np.arange(n)
     return w, w.row[:n] == w.row[size - 1 :], least, g
 
 
@@ -111,79 +109,125 @@ def _texts(batch):
         yield *(batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (0, 1)), text.slice(a, b - a), (a, b)
 
 
+def _same(w: Words, whole: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows) of each run of windows that follow each other and have their mark in the same place.
+
+    Such windows are never equal to each other, and there are size - size // 2 + 1 of them at most.
+    """
+    at = np.flatnonzero(whole)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]])
+    start = np.flatnonzero(new)
+    return at[start], np.diff(np.append(start, len(at)))
+
+
 def _marks(size: int):
-    """Rows (doc_id, version, pos, mark): the run of least hash of each window of size words."""
-    names = ("doc_id", "version", "pos", "mark")
+    """Rows (doc_id, version, mark): the least hash of each run of windows of size words."""
 
     def run(batches):
         for batch in batches:
             for ids, versions, text, _ in _texts(batch):
                 w, whole, least, g = _windows(text, size)
-                if not whole.any():
-                    continue
-                span = size - size // 2
-                padded = np.zeros(len(g) + span, np.uint64)
-                padded[span : span + len(least)] = np.where(whole, least, np.uint64(0))
-                at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, span + 1).max(axis=1) == g)
-                row = w.row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], versions[row], at - w.first[row], g[at].view(np.int64))], names)
+                if whole.any():
+                    at, _ = _same(w, whole, least)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[w.row[at]], versions[w.row[at]], g[least[at]].view(np.int64))], ["doc_id", "version", "mark"])
 
     return run
 
 
-def _candidates(size: int):
-    """Rows (doc_id, version, pos, mark, window) of the windows whose mark is among the row's repeated ones."""
-    names = ("doc_id", "version", "pos", "mark", "window")
+RUN = "doc_id long, version long, pos long, len long, mark long, context long, windows array<long>"
+
+
+def _found(size: int):
+    """Rows RUN of the runs of windows whose mark is among the row's repeated ones; context is a hash of all their words."""
+    names = [x.split()[0] for x in RUN.split(", ")]
 
     def run(batches):
         for batch in batches:
             marks = batch.column(3)
             for ids, versions, text, (a, b) in _texts(batch):
-                w, whole, least, _ = _windows(text, size)
-                hot = marks.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                at = np.flatnonzero(whole & np.isin(least, hot))
-                if len(at):
-                    row = w.row[at]
-                    cols = (ids[row], versions[row], at - w.first[row], least[at].view(np.int64), _runs(w, size)[at].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+                w, whole, least, g = _windows(text, size)
+                if not whole.any():
+                    continue
+                at, n = _same(w, whole, least)
+                hot = np.isin(g[least[at]], marks.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                at, n = at[hot], n[hot]
+                if not len(at):
+                    continue
+                power, inverse = _powers(len(w.hash) + 1)
+                p = np.append(np.uint64(0), np.cumsum(w.hash * power[: len(w.hash)]))
+                context = mix((p[at + n + size - 1] - p[at]) * inverse[at] + n.astype(np.uint64))
+                bounds = np.append(0, np.cumsum(n))
+                each = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - at, n)
+                windows = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_runs(w, size)[each].view(np.int64)))
+                cols = (ids[w.row[at]], versions[w.row[at]], at - w.first[w.row[at]], n, g[least[at]].view(np.int64), context.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), windows], names)
 
     return run
 
 
 def repeated_passages(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, version, passages): for each text with repeated windows, its words to remove as structs (from, to, keeper) in order.
+    """(doc_id, version, passages): for each text with repeated windows, its runs of windows as structs for _spans().
 
-    Each removed word stands in an earlier occurrence of its window; where a window overlaps its own first occurrence, only
-    what lies after that goes.
+    Runs of windows with the same words are one class, which its earliest member stands for; the windows of classes alone are
+    compared one by one, and only where several classes share a mark. So a passage that a great many documents have costs
+    each of them a row for some ten windows, and its windows are compared once.
     """
-    marks = saved(texts.mapInArrow(tidy(_marks(size)), "doc_id long, version long, pos long, mark long"), "marks")
+    kind = ["mark", "len", "context"]
+    marks = saved(texts.mapInArrow(tidy(_marks(size)), "doc_id long, version long, mark long"), "marks")
     again = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "again")
     hot = saved(marks.join(again, "mark").groupBy(*KEY).agg(F.collect_set("mark").alias("marks")), "hot")
     forget(marks, again)
-    found = texts.join(hot, KEY).select(*KEY, "text", "marks").mapInArrow(tidy(_candidates(size)), "doc_id long, version long, pos long, mark long, window long")
-    found = saved(found, "windows")
+    runs = saved(texts.join(hot, KEY).select(*KEY, "text", "marks").mapInArrow(tidy(_found(size)), RUN), "runs")
     forget(hot)
-    first = saved(found.groupBy("mark", "window").agg(F.min(place()).alias("first"), F.max(place()).alias("last")).where("first <> last").drop("last"), "first")
-    later = found.join(first, ["mark", "window"]).where(place() != F.col("first"))
-    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
-    start = F.when(own, F.greatest("pos", F.col("first.pos") + size)).otherwise(F.col("pos"))
-    spans = F.array_sort(F.collect_set(F.struct(start.alias("from"), (F.col("pos") + size).alias("to"), F.col("first.doc_id").alias("keeper"))))
-    out = saved(later.groupBy(*KEY).agg(spans.alias("passages")), "passages")
-    forget(found, first)
+    classes = saved(runs.groupBy(*kind).agg(F.min(F.struct("doc_id", "version", "pos", "windows")).alias("first")), "classes")
+    several = saved(classes.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "several")
+    each = classes.join(several, "mark").select(*kind, "first.doc_id", "first.version", F.col("first.pos").alias("start"), F.posexplode("first.windows").alias("o", "window"))
+    each = each.withColumn("pos", F.col("start") + F.col("o"))
+    at = saved(each.groupBy("mark", "window").agg(F.min(place()).alias("at"), F.max(place()).alias("last")).where("at <> last").drop("last"), "first")
+    earlier = each.join(at, ["mark", "window"]).where(place() != F.col("at"))
+    earlier = saved(earlier.groupBy(*kind).agg(F.collect_list(F.struct(F.col("o").cast("long").alias("o"), "at")).alias("earlier")), "earlier")
+    forget(at, several)
+    known = classes.select(*kind, F.struct("first.doc_id", "first.version", "first.pos").alias("first")).join(earlier, kind, "left")
+    # a table of its own lets the join split a class of a great many members
+    known = saved(known, "known")
+    later = runs.drop("windows").join(known, kind).withColumn("leads", place() == F.col("first")).where("NOT leads OR earlier IS NOT NULL")
+    own = lambda x: (x["doc_id"] == F.col("doc_id")) & (x["version"] == F.col("version"))
+    nearer = F.transform("earlier", lambda x: F.struct(x["o"].alias("o"), x["at"]["doc_id"].alias("keeper"), own(x["at"]).alias("own"), x["at"]["pos"].alias("at")))
+    run = F.struct("pos", "len", "leads", F.col("first.doc_id").alias("keeper"), own(F.col("first")).alias("own"), F.col("first.pos").alias("at"), nearer.alias("earlier"))
+    out = saved(later.groupBy(*KEY).agg(F.collect_set(run).alias("passages")), "passages")
+    forget(runs, classes, earlier, known)
     return out
 
 
+def _spans(runs, size: int) -> list[tuple[int, int, int]]:
+    """Words [from, to) to remove and the keeper, for each window of the runs that stands earlier, in order.
+
+    Where a window overlaps its own first occurrence, only what lies after that goes.
+    """
+    out = []
+    for r in runs:
+        nearer = {x["o"]: (x["keeper"], x["own"], x["at"]) for x in r["earlier"] or ()}
+        for o in range(r["len"]):
+            found = nearer.get(o) or (None if r["leads"] else (r["keeper"], r["own"], r["at"] + o))
+            if found:
+                keeper, own, at = found
+                p = r["pos"] + o
+                out.append((max(p, at + size) if own else p, p + size, keeper))
+    return sorted(set(out))
+
+
 def _united(spans) -> list[list[int]]:
     """Runs [from, to, keeper] of words that go; a word of several spans counts to the first."""
     runs: list[list[int]] = []
     done = 0
-    for x in spans:
-        a, b = max(x["from"], done), x["to"]
+    for a, b, keeper in spans:
+        a = max(a, done)
         if b > a:
-            if runs and runs[-1][1] == a and runs[-1][2] == x["keeper"]:
+            if runs and runs[-1][1] == a and runs[-1][2] == keeper:
                 runs[-1][1] = b
             else:
-                runs.append([a, b, x["keeper"]])
+                runs.append([a, b, keeper])
             done = b
     return runs
 
@@ -230,14 +274,13 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = 1, passag
         drop = saved(lines.join(passages, KEY, "full_outer"), "cuts")
         forget(lines, passages)
     else:
-        kind = "array<struct<from: bigint, to: bigint, keeper: bigint>>"
+        kind = "array<struct<pos: bigint, len: bigint, leads: boolean, keeper: bigint, own: boolean, at: bigint, earlier: array<struct<o: bigint, keeper: bigint, own: boolean, at: bigint>>>>"
         drop = saved(lines.withColumn("passages", F.lit(None).cast(kind)), "cuts")
         forget(lines)
-    few = stored_bytes(drop) <= BROADCAST_BYTES
     drop = drop.toDF(*[f"{own}{c}" for c in drop.columns])
     # the text twice: as it is read, and in the place of the column
     rows = df.select(*[text.alias(c) if c.lower() == "text" else df[c] for c in kept], ident.alias(f"{own}doc_id"), F.xxhash64(text).alias(f"{own}version"))
-    rows = rows.join(F.broadcast(drop) if few else drop, [f"{own}doc_id", f"{own}version"], "left")
+    rows = rows.join(drop, [f"{own}doc_id", f"{own}version"], "left")
     rows = rows.select(*kept, F.coalesce(F.size(F.split("text", sep)).cast("long"), F.lit(0).cast("long")).alias(f"{own}units"), f"{own}lines", f"{own}passages")
     span = StructType([StructField(c, LongType()) for c in ("start", "end", "keeper")])
     schema = StructType([*(f if f.name.lower() != "text" else StructField(f.name, StringType()) for f in rows.schema.fields[: len(kept)]), *(StructField(c, LongType()) for c in ADDED[:4]), StructField("removed", ArrayType(span))])
@@ -249,7 +292,7 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = 1, passag
             mask = hit.to_pylist()
             found = []
             for t, x, y in zip(*(c.filter(hit).to_pylist() for c in (cols[at], batch.column(n + 1), batch.column(n + 2))), strict=True):
-                rest, out, k = _cut(t, x or [], y or [], len(sep))
+                rest, out, k = _cut(t, x or [], _spans(y or [], passage), len(sep))
                 found.append((rest, [dict(zip(("start", "end", "keeper"), z, strict=True)) for z in out], k))
             it = iter(found)
             every = [next(it) if m else (None, [], 0) for m in mask]

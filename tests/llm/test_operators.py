@@ -81,6 +81,14 @@ def test_near_duplicates_of_odd_tables(spark, edge_docs):
     assert minhash.one_of_each(twice).count() == 8
 
 
+def test_rows_that_repeat_an_id_are_decided_each(spark):
+    a, b, c = prose(40), prose(40), prose(40)
+    d = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (6, c, 5), (6, c + " x", 6), (None, a, 7), (None, a, 8)], "doc_id long, text string, gone long")
+    got = sorted((r.doc_id or 0, r.text) for r in minhash.one_of_each(d).collect())
+    assert got == sorted([(0, a), (0, a), (3, a), (5, b), (6, c), (6, c + " x")]) and minhash.one_of_each(d).columns == d.columns
+    assert minhash.one_of_each(d.where("false")).count() == 0
+
+
 def test_estimates_are_near_the_similarity():
     a, b = set(range(1000)), set(range(200, 1200))
     h = lambda s: np.sort(common.mix(np.array(sorted(s), np.uint64)))
@@ -110,6 +118,20 @@ def test_quality_separates_and_takes_odd_rows(spark, edge_docs):
     assert {r.score for r in quality.quality_scores(edge_docs, empty(labels)).collect()} == {0.5}
 
 
+def test_quality_scores_are_sums_of_tables(spark):
+    rng = random.Random(7)
+    texts = [prose(rng.randint(1, 90), rng) + rng.choice(["", ".", " | x #"]) for _ in range(200)]
+    d = docs(spark, texts)
+    model = quality.train(d, spark.createDataFrame([(i, int("|" not in t)) for i, t in enumerate(texts)], "doc_id long, quality int"))
+    x = quality.features(pa.array(texts))
+    got = {r.doc_id: r.score for r in quality.scored(d.withColumn("predicted", F.lit("old")), model).collect()}
+    for i in range(200):
+        at = lambda edges, k: sum(e <= x[i, k] for e in edges[k])  # noqa: B023, E731
+        raw = model.start + sum(t[at(model.edges, k)] for k, t in enumerate(model.tables)) + sum(t[at(model.pair_edges, j), at(model.pair_edges, k)] for (j, k), t in model.pairs)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-raw)))
+    assert len(set(got.values())) > 3
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, len(quality.FEATURES)))
@@ -139,6 +161,20 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.nearest(empty(df), empty(df)).count() == 0
 
 
+def test_neighbours_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 9), (1, [0.0, 1.0], 9), (2, [1.0, 0.0], 9), (2, [1.0, 0.0], 9), (3, [1.0, 1.0], 9), (None, [1.0, 2.0], 9), (4, [1.0, None], 9), (5, [float("inf"), 1.0], 9), (6, [2.0, 0.0], 9)], "vec_id long, embedding array<double>, score long")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.nearest(df, df.where("vec_id IN (1, 2)")).orderBy("query_id", "rank").collect()]
+    assert [g[:3] for g in got if g[0] == 2] == [(2, 1, 1), (2, 2, 6), (2, 3, 3)] and [g[3] for g in got if g[0] == 2] == [1.0, 1.0, round(0.5**0.5, 9)]
+    assert [g[2] for g in got if g[0] == 1][:2] in ([2, 6], [3, 2]) and len([g for g in got if g[0] == 1]) == 3
+
+
+def test_few_vectors_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 7, 30):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 4)))], "vec_id long, embedding array<double>")
+        assert neighbours.nearest(df, df.where("vec_id = 0"), parts=8).count() == min(5, n - 1)
+
+
 def test_mulaw_and_alaw_tables():
     m, a = audio.mulaw_table(), audio.alaw_table()
     assert m[0xFF] == 0 and m[0x80] == 32124 and m[0x00] == -32124 and a[0xD5] == 8 and a[0x55] == -8 and a[0xAA] == 32256
@@ -233,6 +269,10 @@ def test_language_of_held_out_documents(spark, edge_docs):
     assert np.mean([r.lang_pred == ("uk" if r.doc_id % 2 else "zx") for r in held]) > 0.95
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (900, 901, 902))
     assert language.languages(empty(d)).count() == 0
+    odd = edge_docs.withColumns({"lang_pred": F.lit("x"), "held_out": F.lit(1)})
+    rows = language.languages(odd.unionByName(odd), model=language.train(d)).collect()
+    assert len(rows) == 18 and all(r.lang_pred in ("uk", "zx", "und") and 0 <= r.score <= 1 for r in rows) and {r.lang_pred for r in rows if r.doc_id in (0, 1, 2)} == {"und"}
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in rows}) == 9 and {r.lang_pred for r in language.languages(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 def test_forward_backward_is_that_of_the_whole_text():
@@ -534,6 +574,13 @@ def test_licences(spark, edge_docs):
     assert licences.licence_scan(edge_docs).count() == 9 and licences.licence_scan(empty(edge_docs)).count() == 0
 
 
+def test_licences_of_repeated_rows_and_null_ids(spark):
+    t = "Licensed under CC BY-NC 4.0."
+    d = spark.createDataFrame([(None, t, 1), (7, t, 2), (7, t, 3), (7, None, 4)], "doc_id long, text string, licences long")
+    got = sorted((r.doc_id or 0, sorted(m.licence for m in r.licences)) for r in licences.licence_scan(d).collect())
+    assert len(got) == 4 and got[0][0] == 0 and [g for g in got if g[0] == 7].count((7, ["CC-BY-NC-4.0 (short)"])) == 3 and got[0][1] == []
+
+
 def test_licences_of_common_families(spark):
     lines = ["Licensed under CC BY-NC 4.0.", "licensed under cc by 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]
     lines += [licences.TEMPLATES[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0 (header)", "AGPL-3.0 (header)", "Apache-2.0")]
