@@ -3,20 +3,65 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and all runs on one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (d or "file://" + os.path.join(tempfile.gettempdir(), "progdf-checkpoints")).rstrip("/")
+    if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        d = "file://" + os.path.join(tempfile.gettempdir(), "progdf-checkpoints")
+    return d.rstrip("/")
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once as Parquet and read back, which ends its lineage."""
     path = f"{folder(df.sparkSession)}/progdf/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._progdf_path = path
+    return out
+
+
+def forget(*dfs: DataFrame | None) -> None:
+    """Delete tables made by saved() that nothing reads any more."""
+    for df in dfs:
+        path = getattr(df, "_progdf_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Grown:
+    """A table that only ever gets more rows: what is added is appended, what was there is not written again."""
+
+    def __init__(self, df: DataFrame, name: str = "grown"):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{folder(self.spark)}/progdf/{name}-{uuid.uuid4().hex}"
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        df.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).parquet(self.path)
+        out._progdf_path = self.path
+        return out
+
+
+def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df with `name`, from 1 on in the order of the columns: ranges of rows are counted first, then each is numbered by itself."""
+    part = f"_{name}_part"
+    dealt = saved(df.repartitionByRange(*columns).withColumn(part, F.spark_partition_id()), "numbered")
+    per = dealt.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*columns))
+    return dealt.join(F.broadcast(per.select(part, before.alias("_before"))), part).withColumn(name, (own + F.col("_before")).cast("long")).drop(part, "_before")
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from progdf.functions.scratch import saved
+from progdf.functions.scratch import Grown, forget, numbered, saved
 
 from . import pta
 
@@ -18,13 +18,13 @@ def violations(edges: DataFrame) -> DataFrame:
 
 
 def with_groups(edges: DataFrame, columns: list[str]) -> DataFrame:
-    """group_id for edges without target, from 1 in the order of the group's columns; 0 for edges with one. One row for each group is ranked."""
-    groups = edges.where("target IS NULL").select(*columns).distinct().withColumn("group_id", F.row_number().over(Window.orderBy(*columns)))
+    """group_id for edges without target, from 1 in the order of the group's columns; 0 for edges with one."""
+    groups = numbered(edges.where("target IS NULL").select(*columns).distinct(), columns, "group_id")
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"g.{c}")) for c in columns]
     cond = F.col("e.target").isNull()
     for s in same:
         cond = cond & s
-    return edges.alias("e").join(F.broadcast(groups).alias("g"), cond, "left").select("e.*", F.coalesce("g.group_id", F.lit(0)).alias("group_id"))
+    return edges.alias("e").join(groups.alias("g"), cond, "left").select("e.*", F.coalesce("g.group_id", F.lit(0)).alias("group_id"))
 
 
 def nodes(edges: DataFrame, codes: DataFrame | None = None) -> DataFrame:
@@ -63,12 +63,14 @@ def assigned(registered: DataFrame, order: str) -> DataFrame:
 def reachable(edges: DataFrame, entries: DataFrame, most: int = 200) -> DataFrame:
     """Codes that calls reach from entries (code), entries included; frontier by frontier."""
     step = edges.where("target IS NOT NULL").select(F.col("caller").alias("code"), F.col("target").alias("next")).distinct()
-    all_ = new = saved(entries.select("code").distinct(), "reached")
+    new = saved(entries.select("code").distinct(), "reached")
+    all_ = Grown(new, "reached")
     for _ in range(most):
-        new = saved(new.join(step, "code").select(F.col("next").alias("code")).distinct().join(all_, "code", "left_anti"), "reached")
+        last, new = new, saved(new.join(step, "code").select(F.col("next").alias("code")).distinct().join(all_.read(), "code", "left_anti"), "reached")
+        forget(last)
         if new.isEmpty():
-            return all_
-        all_ = saved(all_.unionByName(new), "reached")
+            return all_.read()
+        all_.add(new)
     raise RuntimeError("calls did not settle")
 
 
@@ -78,9 +80,11 @@ def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, forma
     sites (site, caller, callee), callables (object, code), formals (body, pos, value), returns (body, value), actuals (site, pos, value), results (site, value), entries (code).
     """
     active = saved(entries.select("code").distinct(), "active")
-    seen, extra = None, None
+    seen, known = None, Grown(pta._seed(c), "facts")
+    copies = extra = saved(c.get("copy"), "stitches")
     for _ in range(most):
-        facts = pta.solve(c if extra is None else c.extended(copy=extra))
+        # each round derives only what the calls found in the one before bring
+        facts = saved(pta.solve(c.extended(copy=extra), known=known, copies=copies) if seen is not None else pta.widened(_first(c, known)), "facts")
         live = sites.join(active.withColumnRenamed("code", "caller"), "caller", "left_semi")
         edges = saved(resolve(live, pta.points_to(facts), callables), "calls")
         made = edges.where("target IS NOT NULL").select("site", F.col("target").alias("body")).distinct()
@@ -89,10 +93,18 @@ def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, forma
             return edges, facts
         seen = saved(made if seen is None else seen.unionByName(fresh), "seen")
         active = saved(active.unionByName(seen.select(F.col("body").alias("code"))).distinct(), "active")
-        extra = saved(pta.stitched(actuals.join(seen, "site"), formals, returns, results.join(seen, "site")), "stitches")
+        copies = saved(pta.stitched(actuals.join(fresh, "site"), formals, returns, results.join(fresh, "site")), "stitches")
+        extra = saved(extra.unionByName(copies), "stitches")
+        forget(facts, edges)
     raise RuntimeError("call graph did not settle")
 
 
+def _first(c: pta.Constraints, known: Grown) -> DataFrame:
+    """Facts of the constraints alone, gathered in known, which has their seed."""
+    pta._settle(c, known, saved(known.read(), "new"), 200)
+    return known.read()
+
+
 def coverage(unknown: Column, edges_without_target: Column) -> Column:
     """2 if anything is unknown or unresolved, 0 if all is concrete."""
     return F.when((unknown > 0) | (edges_without_target > 0), F.lit(2)).otherwise(F.lit(0))
@@ -117,21 +129,22 @@ def path_variants(branches: DataFrame, most: int = 16) -> DataFrame:
     return made.where((k == 0) | ~F.coalesce(clash, F.lit(False))).select("code_id", "variant", "decision")
 
 
-def inherited(classes: DataFrame, own: DataFrame, depth: int = 20) -> DataFrame:
+def inherited(classes: DataFrame, own: DataFrame) -> DataFrame:
     """(class, name, owner): each class's members: its own, then those of its bases in order, nearest first.
 
-    classes: (class, base, place). own: (class, name). Fixed point by distance: a nearer definition hides a farther one, of equal distance that of the earlier base.
+    classes: (class, base, place). own: (class, name). Fixed point by distance: a nearer definition hides a farther one, of equal distance that of the earlier base. A
+    round for each level of bases; a class that inherits from itself ends like any other, as no member comes twice.
     """
-    have = saved(own.select("class", "name", F.col("class").alias("owner")).distinct(), "members")
-    for _ in range(depth):
-        up = classes.join(have.select(F.col("class").alias("base"), "name", "owner"), "base")
-        up = up.join(have.select("class", "name"), ["class", "name"], "left_anti")
-        first = up.groupBy("class", "name").agg(F.min_by("owner", "place").alias("owner"))
-        new = saved(first, "members")
+    new = saved(own.select("class", "name", F.col("class").alias("owner")).distinct(), "members")
+    have = Grown(new, "members")
+    while True:
+        # what is new one level up is all that can be new here
+        up = classes.join(new.select(F.col("class").alias("base"), "name", "owner"), "base").join(have.read().select("class", "name"), ["class", "name"], "left_anti")
+        last, new = new, saved(up.groupBy("class", "name").agg(F.min_by("owner", "place").alias("owner")), "members")
+        forget(last)
         if new.isEmpty():
-            return have
-        have = saved(have.unionByName(new), "members")
-    return have
+            return have.read()
+        have.add(new)
 
 
 def star_imports(pairs: DataFrame, names: DataFrame, most: int = 50) -> DataFrame:
@@ -154,16 +167,23 @@ def unresolved_globals(inputs: DataFrame, definitions: DataFrame) -> DataFrame:
     return inputs.join(definitions.select("module", "name").distinct(), ["module", "name"], "left_anti")
 
 
-def qualified_names(codes: DataFrame, depth: int = 30) -> DataFrame:
-    """(code_id, qualified): names along parents (code_id, parent_id, name, place); lambdas are numbered within their parent in order, implicit frames stand for their owner."""
+def qualified_names(codes: DataFrame) -> DataFrame:
+    """(code_id, qualified): names along parents (code_id, parent_id, name, place); lambdas are numbered within their parent in order, implicit frames stand for their owner.
+
+    Every round doubles how far up a code object's names reach, so rounds grow with the logarithm of the depth. A code object
+    whose parents never end has no name.
+    """
     number = F.row_number().over(Window.partitionBy("parent_id").orderBy("place"))
     lambdas = codes.where("name = '<lambda>'").withColumn("label", F.concat(F.lit("<lambda"), number, F.lit(">"))).select("code_id", "label")
-    named = codes.join(lambdas, "code_id", "left").select("code_id", "parent_id", F.when(F.col("name").isin("<listcomp>", "<setcomp>", "<dictcomp>", "<genexpr>"), None).otherwise(F.coalesce("label", "name")).alias("label"))
-    done = saved(named.where("parent_id = 0").select("code_id", F.col("label").alias("qualified")), "names")
-    for _ in range(depth):
-        new = named.join(done.select(F.col("code_id").alias("parent_id"), F.col("qualified").alias("above")), "parent_id").join(done, "code_id", "left_anti")
-        new = saved(new.select("code_id", F.when(F.col("label").isNull(), F.col("above")).otherwise(F.concat_ws(".", "above", "label")).alias("qualified")), "names")
-        if new.isEmpty():
+    own = F.when(F.col("name").isin("<listcomp>", "<setcomp>", "<dictcomp>", "<genexpr>"), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("label", "name")))
+    now = saved(codes.join(lambdas, "code_id", "left").select("code_id", F.col("parent_id").alias("up"), own.alias("names")), "names")
+    left = now.where("up <> 0").count()
+    while left:
+        above = now.select(F.col("code_id").alias("up"), F.col("up").alias("next"), F.col("names").alias("before"))
+        new = now.join(above, "up", "left").select("code_id", F.when(F.col("up") == 0, 0).otherwise(F.coalesce("next", F.lit(-1))).alias("up"), F.concat(F.coalesce("before", F.array().cast("array<string>")), "names").alias("names"))
+        last, now = now, saved(new, "names")
+        forget(last)
+        before, left = left, now.where("up > 0").count()
+        if left == before:
             break
-        done = saved(done.unionByName(new), "names")
-    return done
+    return now.where("up = 0").select("code_id", F.array_join("names", ".").alias("qualified"))

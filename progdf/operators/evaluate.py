@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from progdf.functions.scratch import Grown, forget, saved
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 1 where b is 0."""
@@ -197,3 +199,47 @@ def latest_stable(releases: DataFrame, name: str = "name", version: str = "versi
     stable = releases.where(F.col(version).rlike(r"^\d+(\.\d+)*$"))
     key = F.transform(F.split(version, r"\."), lambda x: x.cast("int"))
     return stable.groupBy(name).agg(F.max_by(version, key).alias("latest"))
+
+
+def process_trees(processes: DataFrame) -> DataFrame:
+    """(pid, processes, rss): each process with all below it: their number and memory, of (pid, ppid, rss) rows.
+
+    Every round doubles how far up a process is counted, so rounds grow with the logarithm of the depth; a cycle of parents is an error.
+    """
+    jump = saved(processes.select("pid", F.col("ppid").alias("up")).join(processes.select(F.col("pid").alias("up")), "up", "left_semi").select("pid", "up"), "parents")
+    pairs = Grown(processes.select(F.col("pid").alias("root"), "pid"), "trees")
+    for _ in range(64):
+        if jump.isEmpty():
+            return pairs.read().join(processes.select("pid", "rss"), "pid").groupBy(F.col("root").alias("pid")).agg(F.count("*").alias("processes"), F.sum("rss").alias("rss"))
+        # pairs: all ancestors nearer than jump's
+        far = saved(pairs.read().join(jump.select(F.col("pid").alias("root"), "up"), "root").select(F.col("up").alias("root"), "pid"), "trees")
+        pairs.add(far)
+        last, jump = jump, saved(jump.join(jump.select(F.col("pid").alias("up"), F.col("up").alias("next")), "up").select("pid", F.col("next").alias("up")), "parents")
+        forget(last, far)
+    raise ValueError("a process is its own ancestor")
+
+
+def catalog_statistics(cases: DataFrame) -> DataFrame:
+    """(category, cases, expected, negative) of a catalog (case, category, expected, negative), and of all together."""
+    out = cases.rollup("category").agg(F.grouping("category").alias("all"), F.countDistinct("case").alias("cases"), F.sum("expected").alias("expected"), F.sum("negative").alias("negative"))
+    return out.select(F.when(F.col("all") == 1, "all").otherwise(F.col("category")).alias("category"), "cases", "expected", "negative")
+
+
+def catalog_violations(cases: DataFrame) -> DataFrame:
+    """(problem, case): cases that repeat, have no category, or have neither an expected nor a negative candidate."""
+    many = cases.groupBy("case").count().where("count > 1").select(F.lit("repeated case").alias("problem"), "case")
+    bare = cases.where("category IS NULL").select(F.lit("no category").alias("problem"), "case")
+    return many.unionByName(bare).unionByName(cases.where("expected + negative = 0").select(F.lit("no candidate").alias("problem"), "case")).distinct()
+
+
+def completion(runs: DataFrame, component: str, status: str) -> DataFrame:
+    """Runs, completed runs and their share, by component."""
+    out = runs.groupBy(component).agg(F.count("*").alias("runs"), F.count(F.when(F.col(status) == "ok", 1)).alias("completed"))
+    return out.withColumn("share", F.when(F.col("runs") == 0, 1.0).otherwise(F.col("completed") / F.col("runs")))
+
+
+def ablation(runs: DataFrame, variant: str, ident: str, value: str, base: str) -> DataFrame:
+    """Each variant's sum of a value over the cases that the base variant has too, and the base's over the same cases."""
+    b = runs.where(F.col(variant) == base).groupBy(ident).agg(F.sum(value).alias("_base"))
+    per = runs.groupBy(variant, ident).agg(F.sum(value).alias("_own")).join(b, ident)
+    return per.groupBy(variant).agg(F.count("*").alias("cases"), F.sum("_own").alias("total"), F.sum("_base").alias("base_total"))

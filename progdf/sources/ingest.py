@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from progdf.functions.scratch import numbered
+
 CODE_SCHEMA = (
     "path string, module string, seq int, parent_seq int, const_index int, name string, qualname string, first_line int, n_args int, n_posonly int, n_kwonly int, varargs boolean, varkw boolean, "
     "code binary, names array<string>, locals array<string>, cells array<string>, frees array<string>, derefs array<string>, const_kinds array<string>, const_texts array<string>, "
@@ -167,8 +169,13 @@ def with_ids(codes: DataFrame) -> DataFrame:
     """code_id, dense from 1 in the order of modules and preorder, and parent_id, 0 for modules; rows with errors are left out."""
     good = codes.where("error IS NULL")
     first = good.groupBy("module", "path").agg(F.count("*").alias("n"))
-    w = Window.orderBy("module", "path").rowsBetween(Window.unboundedPreceding, -1)
-    base = first.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")  # a row for each module is sorted
+    place = numbered(first, ["module", "path"], "place")
+    # places by tens of thousands are summed first, then those of one group
+    group = F.floor((F.col("place") - 1) / 10_000)
+    sums = place.groupBy(group.alias("group")).agg(F.sum("n").alias("n"))
+    sums = sums.select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = place.withColumn("group", group).withColumn("own", own).join(sums, "group").select("module", "path", (F.col("own") + F.col("above")).alias("base"))
     out = good.join(base, ["module", "path"])
     return out.withColumns({"code_id": F.col("base") + F.col("seq") + 1, "parent_id": F.when(F.col("parent_seq") < 0, 0).otherwise(F.col("base") + F.col("parent_seq") + 1)}).drop("base")
 
