@@ -74,7 +74,7 @@ def reachable(edges: DataFrame, entries: DataFrame, most: int = 200) -> DataFram
     raise RuntimeError("calls did not settle")
 
 
-def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, formals: DataFrame, returns: DataFrame, actuals: DataFrame, results: DataFrame, entries: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
+def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, formals: DataFrame, returns: DataFrame, actuals: DataFrame, results: DataFrame, entries: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
     """(edges, facts): sites of reached bodies are resolved, their targets activated once and stitched, until nothing new comes.
 
     sites (site, caller, callee), callables (object, code), formals (body, pos, value), returns (body, value), actuals (site, pos, value), results (site, value), entries (code).

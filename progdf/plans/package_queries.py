@@ -50,15 +50,18 @@ def pta_keyed_loads(spark, d):
 
 
 def cg_on_the_fly(spark, d):
-    """Customers are functions, orders their call sites: even orders call a customer by its number, odd ones what the function was given."""
+    """Customers are functions, orders their call sites: most call a customer by its number, those of number 1 modulo 25 what the function was given.
+
+    Fewer than one in a function on the average, so that what functions are given does not grow to all functions.
+    """
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     n = c.agg(F.max("c_custkey").alias("top"))
     o = o.select("o_orderkey", "o_custkey").crossJoin(F.broadcast(n))
-    even = F.col("o_orderkey") % 2 == 0
+    direct = F.col("o_orderkey") % 25 != 1
     callee, actual = (F.col("o_orderkey") * 7) % F.col("top") + 1, (F.col("o_orderkey") * 13) % F.col("top") + 1
     v = lambda col, k: F.col(col) * 10 + k
-    address = o.where(even).select(v("o_orderkey", 1).alias("value"), callee.alias("object")).unionByName(o.select(v("o_orderkey", 2).alias("value"), actual.alias("object")))
-    sites = o.select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("caller"), F.when(even, v("o_orderkey", 1)).otherwise(v("o_custkey", 5)).alias("callee"))
+    address = o.where(direct).select(v("o_orderkey", 1).alias("value"), callee.alias("object")).unionByName(o.select(v("o_orderkey", 2).alias("value"), actual.alias("object")))
+    sites = o.select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("caller"), F.when(direct, v("o_orderkey", 1)).otherwise(v("o_custkey", 5)).alias("callee"))
     none = lambda s: spark.createDataFrame([], s)
     edges, _ = G.on_the_fly(
         pta.Constraints(spark, {"address": address}), sites, c.select(F.col("c_custkey").alias("object"), F.col("c_custkey").alias("code")), c.select(F.col("c_custkey").alias("body"), F.lit(0).alias("pos"), v("c_custkey", 5).alias("value")),
@@ -482,7 +485,7 @@ QUERIES = {f.__name__: f for f in (
     artifact_classes, directive_comments, process_memory, catalog_statistics, catalog_violations, component_completion, ablation_metrics,
 )}
 
-_ORDERS = """o AS (SELECT o_orderkey AS site, o_custkey AS caller, o_orderkey % 2 = 0 AS even, o_orderkey * 7 % top + 1 AS callee, o_orderkey * 13 % top + 1 AS actual FROM orders, (SELECT max(c_custkey) AS top FROM customer))"""
+_ORDERS = """o AS (SELECT o_orderkey AS site, o_custkey AS caller, o_orderkey % 25 <> 1 AS direct, o_orderkey * 7 % top + 1 AS callee, o_orderkey * 13 % top + 1 AS actual FROM orders, (SELECT max(c_custkey) AS top FROM customer))"""
 _CONSTRUCTION = """hit AS (SELECT l_orderkey AS class, l_linenumber AS pos, CASE WHEN l_linenumber = 3 AND l_orderkey % 4 = 0 THEN 'metaclass' END AS keyword, o_orderkey AS base FROM lineitem
   JOIN (SELECT DISTINCT l_suppkey AS v, l_suppkey * 3 + l_linenumber % 2 AS object FROM lineitem) ON v = l_suppkey JOIN orders ON o_orderkey = object)"""
 _DECOR = """dec AS (SELECT l_suppkey AS class, 'p' || (l_partkey % 3) AS name, CASE l_returnflag WHEN 'A' THEN 'getter' WHEN 'N' THEN 'setter' ELSE 'deleter' END AS kind, l_partkey AS f,
@@ -507,10 +510,10 @@ ORACLES = {
     "pta_keyed_loads": "SELECT s * 10 + 3 AS value, count(*) AS n, sum(p + 1000000)::BIGINT AS total FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) WHERE s % 13 <> 0 AND (s % 9 >= 6 OR p % 7 = s % 9) GROUP BY s",
     # a code reached (object 0), or what its formal points to
     "cg_on_the_fly": f"""WITH RECURSIVE {_ORDERS}, r AS (SELECT c_custkey AS code, 0::BIGINT AS object FROM customer WHERE c_custkey IN (1, 4, 7)
-  UNION SELECT u.code, u.object FROM r JOIN o ON o.caller = r.code AND ((o.even AND r.object = 0) OR (NOT o.even AND r.object > 0)), LATERAL (SELECT CASE WHEN o.even THEN o.callee ELSE r.object END AS code, unnest([0, o.actual]) AS object) u)
-SELECT site, caller, callee AS target FROM o JOIN (SELECT DISTINCT code FROM r) ON code = caller WHERE even
-UNION SELECT site, caller, r.object FROM o JOIN r ON r.code = caller AND r.object > 0 WHERE NOT even
-UNION SELECT site, caller, 0 FROM o JOIN (SELECT code FROM r GROUP BY code HAVING max(object) = 0) ON code = caller WHERE NOT even""",
+  UNION SELECT u.code, u.object FROM r JOIN o ON o.caller = r.code AND ((o.direct AND r.object = 0) OR (NOT o.direct AND r.object > 0)), LATERAL (SELECT CASE WHEN o.direct THEN o.callee ELSE r.object END AS code, unnest([0, o.actual]) AS object) u)
+SELECT site, caller, callee AS target FROM o JOIN (SELECT DISTINCT code FROM r) ON code = caller WHERE direct
+UNION SELECT site, caller, r.object FROM o JOIN r ON r.code = caller AND r.object > 0 WHERE NOT direct
+UNION SELECT site, caller, 0 FROM o JOIN (SELECT code FROM r GROUP BY code HAVING max(object) = 0) ON code = caller WHERE NOT direct""",
     "cg_contexts": "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS site, l_suppkey, l_partkey, (l_orderkey * 10 + l_linenumber) || '>' || l_suppkey AS context FROM lineitem",
     "cg_path_variants": """WITH g AS (SELECT c_custkey AS code_id, c_custkey % 6 AS k, CASE WHEN c_custkey % 6 <= 4 THEN (1 << (c_custkey % 6)::INT) ELSE 1 END AS n FROM customer),
 v AS (SELECT *, unnest(range(0, n))::INT AS variant FROM g), b AS (SELECT *, unnest(range(1, k + 1)) AS i FROM v WHERE k > 0), x AS (SELECT *, (code_id * i) % 3 AS guard, CASE WHEN k > 4 THEN NULL ELSE (variant >> (i - 1)::INT) % 2 = 1 END AS yes FROM b)
