@@ -120,10 +120,10 @@ def qualified_names(spark, d):
 
 
 def inherited_deep(spark, d):
-    """A chain of 36 classes with members here and there."""
-    c = table(spark, d, "customer").where("c_custkey <= 36")  # the chain's length is the point of the query
-    cls = c.where("c_custkey > 1").select(F.col("c_custkey").alias("class"), (F.col("c_custkey") - 1).alias("base"), F.lit(0).alias("place"))
-    own = table(spark, d, "orders").where("o_custkey <= 36").select(F.col("o_custkey").alias("class"), F.concat(F.lit("m"), (F.col("o_orderkey") % 11).cast("string")).alias("name")).where("class % 5 = 1").distinct()
+    """Customers as classes in chains of 36; their orders name members."""
+    k = F.col("c_custkey")
+    cls = table(spark, d, "customer").where(k % 36 != 0).select(k.alias("class"), (k - 1).alias("base"), F.lit(0).alias("place"))  # the first of a chain has no base
+    own = table(spark, d, "orders").select(F.col("o_custkey").alias("class"), F.concat(F.lit("m"), (F.col("o_orderkey") % 101).cast("string")).alias("name")).distinct()
     return G.inherited(cls, own)
 
 
@@ -530,8 +530,8 @@ SELECT DISTINCT module, name FROM x WHERE opcode = 'LoadLocal' AND NOT EXISTS (S
     "qualified_names": """WITH RECURSIVE c AS (SELECT c_custkey AS k, CASE WHEN c_custkey = 1 THEN 0 WHEN c_custkey <= 48 THEN c_custkey - 1 ELSE c_custkey // 3 END AS up FROM customer WHERE c_custkey > 0),
 n AS (SELECT *, CASE WHEN k % 5 = 0 THEN '<lambda' || row_number() OVER (PARTITION BY up, k % 5 = 0 ORDER BY k) || '>' WHEN k % 7 = 0 THEN NULL ELSE 'f' || k END AS name FROM c),
 r AS (SELECT k, coalesce(name, '') AS q FROM n WHERE up = 0 UNION ALL SELECT n.k, CASE WHEN name IS NULL THEN r.q WHEN r.q = '' THEN name ELSE r.q || '.' || name END FROM n JOIN r ON r.k = n.up) SELECT k AS code_id, q AS qualified FROM r""",
-    "inherited_deep": """WITH own AS (SELECT DISTINCT o_custkey AS class, 'm' || (o_orderkey % 11) AS name FROM orders WHERE o_custkey <= 36 AND o_custkey % 5 = 1),
-up AS (SELECT class FROM own UNION SELECT c_custkey FROM customer WHERE c_custkey <= 36) SELECT u.class, o.name, max(o.class) AS owner FROM up u JOIN own o ON o.class <= u.class GROUP BY u.class, o.name""",
+    "inherited_deep": """WITH own AS (SELECT DISTINCT o_custkey AS class, 'm' || (o_orderkey % 101) AS name FROM orders), up AS (SELECT class FROM own UNION SELECT c_custkey FROM customer)
+SELECT u.class, o.name, max(o.class) AS owner FROM up u JOIN own o ON o.class // 36 = u.class // 36 AND o.class <= u.class GROUP BY u.class, o.name""",
     "class_bases": f"WITH {_CONSTRUCTION} SELECT class, base, min(pos) AS place FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit m WHERE m.class = h.class AND m.base = h.base AND m.keyword = 'metaclass') GROUP BY class, base",
     "class_metaclasses": f"WITH {_CONSTRUCTION} SELECT class, min(base) AS meta FROM hit WHERE keyword = 'metaclass' GROUP BY class",
     "super_members": """WITH m AS (SELECT DISTINCT l_partkey AS class, 'm' || (l_suppkey % 6) AS name FROM lineitem), b AS (SELECT p_partkey AS class, p_partkey // 2 AS base, 0 AS place FROM part UNION ALL SELECT p_partkey, p_partkey // 3, 1 FROM part)
