@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     before = None
     for _ in range(most):
         state = tuple(now.agg(F.count("*"), F.sum("lo"), F.sum("hi"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
         both = now.selectExpr("lo AS u", "hi AS v").unionByName(now.selectExpr("hi AS u", "lo AS v"))
@@ -42,3 +42,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         raise RuntimeError(f"components did not settle in {most} rounds")
     # every node is linked to its root now; roots stand for themselves
     return now.selectExpr("hi AS node", "lo AS component").unionByName(now.selectExpr("lo AS node", "lo AS component").distinct())
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of comp, as components() gives it, after further links (a, b).
+
+    Only the links between components are followed, so rounds go over them and not over all earlier links again. Joins keep the
+    table of many rows to a key on their left, where a hot key can be split.
+    """
+    side = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    pairs = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    roots = saved(components(pairs.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))), "roots")
+    moved = comp.join(roots.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return moved.unionByName(roots.join(comp.select(F.col("component").alias("node")).distinct(), "node", "left_anti"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, forget, fresh, mix, saved, shingles, slices, stored_bytes, table, tidy, Words
-from .graph import components
+from .graph import components, merged
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: A class of at most so many ids is broadcast; beyond it the join is shuffled.
@@ -155,21 +155,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(tidy(run), "a long, b long")
 
 
-class _Sets:
-    """Disjoint sets of small numbers."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return int(i)
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def _linked(root: np.ndarray, i: int, j: int) -> bool:
+    """Give the component of row j the number of row i's; false if they have one number already."""
+    if root[i] == root[j]:
+        return False
+    root[root == root[j]] = root[i]
+    return True
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.Table:
@@ -196,17 +187,17 @@ def _alike(entries: DataFrame, classes: DataFrame, m: int, percent: int, least:
         own, found = np.flatnonzero(~asks), []
         if len(own) and asks.any():
             regs = _matrix(t["regs"], m)
-            _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
-            sets = _Sets(int(comp.max()) + 1)
+            # number of each row's component; those already linked here share one, and are not compared again
+            _, root = np.unique(t["comp"].to_numpy(), return_inverse=True)
             for i in np.flatnonzero(asks):
-                ok = own[(comp[own] != comp[i]) & (100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i]))]
+                ok = own[(root[own] != root[i]) & (100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i]))]
                 same = (regs[ok] == regs[i]).sum(1)
                 near = same >= (least - 0.02) * m
                 ok, same = ok[near], same[near]
                 if len(ok):
                     x, y = regs[ok], regs[i]
                     est = likely(same, (x > y).sum(1), (x < y).sum(1), n[ok].astype(float), np.full(len(ok), float(n[i])))
-                    found += [(rep[i], rep[j]) for j in ok[est >= least] if sets.join(comp[i], comp[j])]
+                    found += [(rep[i], rep[j]) for j in ok[est >= least] if _linked(root, i, j)]
         return _pairs(found)
 
     # dealt anew: else all blocks of a bucket would stay together
@@ -240,18 +231,20 @@ def _within(members: DataFrame, words: int, percent: int) -> DataFrame:
             n = np.concatenate([np.diff(b) for _, b in parts])
             at = np.append(0, np.cumsum(n))
             _, ids = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-            _, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
+            _, root = np.unique(t["comp"].to_numpy(), return_inverse=True)
             own = np.flatnonzero(~asks & (n > 0))
             held = np.concatenate([ids[at[j] : at[j + 1]] for j in own]) if len(own) else np.zeros(0, np.int64)
             bounds = np.append(0, np.cumsum(n[own]))[:-1]
-            sets, flag = _Sets(int(comp.max()) + 1), np.zeros(len(ids) + 1, np.int32)
+            flag = np.zeros(len(ids) + 1, np.int32)
             for i in np.flatnonzero(asks & (n > 0)) if len(own) else ():
+                if (root[own] == root[i]).all():
+                    continue
                 mine = ids[at[i] : at[i + 1]]
                 flag[mine] = 1
                 both = np.add.reduceat(flag[held], bounds)
                 flag[mine] = 0
-                good = (comp[own] != comp[i]) & (100 * both >= percent * (n[i] + n[own] - both))
-                found += [(rep[i], rep[j]) for j in own[good] if sets.join(comp[i], comp[j])]
+                good = (root[own] != root[i]) & (100 * both >= percent * (n[i] + n[own] - both))
+                found += [(rep[i], rep[j]) for j in own[good] if _linked(root, i, j)]
         return _pairs(found)
 
     # dealt anew: else all blocks of a family would stay together
@@ -306,19 +299,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, m: int = 2
     pairs = entries.where("comp != lead.comp").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
     links.append(saved(confirmed(best(_estimated(pairs, classes, m, least)), texts, words, percent), "found"))
     forget(entries)
-    known = links[0].unionByName(links[1])
-    comp = saved(components(known), "components")
+    before, comp = comp, saved(merged(comp, links[1]), "components")
+    forget(before)
     # what is left: families by likelihood, and all links within them by full sets
     entries = apart()
     alike = saved(_alike(entries.drop("lead"), classes, m, percent, least), "alike")
-    family = saved(components(known.unionByName(alike)).withColumnRenamed("component", "family"), "families")
+    family = saved(merged(comp, alike).withColumnRenamed("component", "family"), "families")
     open_ones = alike.select(F.col("a").alias("node")).join(family, "node").select("family").distinct()
     members = family.join(open_ones, "family", "left_semi").join(comp, "node", "left").select("family", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
     members = members.join(classes.select("rep", "n"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     links.append(saved(_within(members, words, percent), "found"))
     forget(entries, alike, family)
-    comp = saved(components(known.unionByName(links[2])), "components")
-    forget(shared, multi, reps, texts, *links)
+    before, comp = comp, saved(merged(comp, links[2]), "components")
+    forget(before, shared, multi, reps, texts, *links)
     node = base.join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     own = node.select("doc_id", *["version"] * versions, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
