@@ -29,6 +29,8 @@ BROADCAST_IDS = 2_000_000
 BROADCAST_BYTES = 16 << 20
 #: Rows of a bucket, and shingles of a family, that one task compares at a time.
 BLOCK, ELEMENTS = 512, 200_000
+#: Pairs of sketches whose likelihood is estimated at once.
+CANDIDATES = 20_000
 
 
 def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +165,35 @@ def _linked(root: np.ndarray, i: int, j: int) -> bool:
     return True
 
 
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of equal keys begin in sorted rows."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        x = t[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(batches, keys: list[str]):
+    """Tables of whole groups of the sorted rows in Arrow batches; what is held beyond a batch is one group."""
+    kept = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        if kept and all(kept[0][k][0] == t[k][t.num_rows - 1] for k in keys):
+            kept.append(t)
+            continue
+        t = pa.concat_tables([*kept, t])
+        last = int(_starts(t, keys)[-1])
+        if last:
+            yield t.slice(0, last).combine_chunks()
+        kept = [t.slice(last)]
+    if kept:
+        yield pa.concat_tables(kept).combine_chunks()
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
@@ -181,27 +212,45 @@ def _alike(entries: DataFrame, classes: DataFrame, m: int, percent: int, least:
     stored = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), *data, F.lit(False).alias("asks"))
     asking = rows.where(F.col("comp") != F.col("top.comp")).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *data, F.lit(True).alias("asks"))
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+    def links(t: pa.Table) -> list[tuple[int, int]]:
         rep, n, asks = (t[c].to_numpy() for c in ("rep", "n", "asks"))
-        own, found = np.flatnonzero(~asks), []
-        if len(own) and asks.any():
-            regs = _matrix(t["regs"], m)
-            # number of each row's component; those already linked here share one, and are not compared again
-            _, root = np.unique(t["comp"].to_numpy(), return_inverse=True)
-            for i in np.flatnonzero(asks):
+        regs, starts = _matrix(t["regs"], m), _starts(t, ["key", "block"])
+        # number of each row's component in its bucket; those already linked here share one, and are not compared again
+        names, root = np.unique(t["comp"].to_numpy(), return_inverse=True)
+        root = root + len(names) * np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rep))))
+        found, waiting, held = [], [], 0
+
+        def decide():
+            i, j, same, more, less = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            good = np.flatnonzero(likely(same, more, less, n[j].astype(float), n[i].astype(float)) >= least)
+            found.extend((rep[x], rep[y]) for x, y in zip(i[good], j[good], strict=True) if _linked(root, x, y))
+            waiting.clear()
+
+        for lo, hi in zip(starts, np.append(starts[1:], len(rep)), strict=True):
+            own = lo + np.flatnonzero(~asks[lo:hi])
+            for i in lo + np.flatnonzero(asks[lo:hi]):
                 ok = own[(root[own] != root[i]) & (100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i]))]
                 same = (regs[ok] == regs[i]).sum(1)
                 near = same >= (least - 0.02) * m
                 ok, same = ok[near], same[near]
                 if len(ok):
-                    x, y = regs[ok], regs[i]
-                    est = likely(same, (x > y).sum(1), (x < y).sum(1), n[ok].astype(float), np.full(len(ok), float(n[i])))
-                    found += [(rep[i], rep[j]) for j in ok[est >= least] if _linked(root, i, j)]
-        return _pairs(found)
+                    more = (regs[ok] > regs[i]).sum(1)
+                    waiting.append((np.full(len(ok), i), ok, same, more, m - same - more))
+                    held += len(ok)
+                if held >= CANDIDATES:
+                    decide()
+                    held = 0
+        if waiting:
+            decide()
+        return found
+
+    def run(batches):
+        for t in _whole(batches, ["key", "block"]):
+            yield from _pairs(links(t)).to_batches()
 
-    # dealt anew: else all blocks of a bucket would stay together
-    return stored.unionByName(asking).repartition("key", "block").groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+    # dealt anew: else all blocks of a bucket would stay together; many small buckets go through Python at once
+    dealt = stored.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _within(members: DataFrame, words: int, percent: int) -> DataFrame:

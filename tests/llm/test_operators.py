@@ -97,6 +97,26 @@ def test_estimates_are_near_the_similarity():
     assert abs(est - 800 / 1200) < 0.05
 
 
+def test_components_after_further_links_are_those_of_all_links(spark):
+    rng = random.Random(11)
+    first, more = ([(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (90, 60))
+    of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    got = sorted(map(tuple, graph.merged(graph.components(of(first)), of(more)).collect()))
+    assert got == sorted(map(tuple, graph.components(of(first + more)).collect()))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_sorted_rows_are_cut_into_whole_groups(size):
+    rng = random.Random(size)
+    rows = sorted((rng.choice([1, 2, 5]), rng.randrange(4), i) for i in range(40)) + [(9, 0, i) for i in range(40, 60)]
+    batches = [pa.RecordBatch.from_pydict({"key": [r[0] for r in x], "block": [r[1] for r in x], "at": [r[2] for r in x]}) for x in (rows[i : i + size] for i in range(0, len(rows), size))]
+    parts = list(minhash._whole(iter(batches), ["key", "block"]))
+    assert [tuple(r.values()) for t in parts for r in t.to_pylist()] == rows
+    seen = [{(r["key"], r["block"]) for r in t.to_pylist()} for t in parts]
+    assert sum(map(len, seen)) == len(set().union(*seen))
+    assert sum(len(minhash._starts(t, ["key", "block"])) for t in parts) == len({r[:2] for r in rows})
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 60), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in graph.components(e).collect()}
