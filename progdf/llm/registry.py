@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, html, language, licences, minhash, mixing, neighbours, quality, substring
+from . import audio, bpe, html, language, licences, minhash, mixing, neighbours, quality, substring, tokencount
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op13_token_counts": tokencount.op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
