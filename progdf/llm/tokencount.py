@@ -168,7 +168,7 @@ def summaries(df: DataFrame, keep: int = COUNTERS) -> DataFrame:
 def frequent(df: DataFrame, keep: int = COUNTERS) -> list[str]:
     """Frequent pre-tokens of all texts, at most `keep` of them, in the order of their names. Summaries are merged FAN at a time on the executors."""
 
-    def merge(key, rows: pa.Table) -> pa.Table:
+    def merge(key, rows):
         counts: Counter = Counter()
         for tokens, n in zip(rows["tokens"].to_pylist(), rows["counts"].to_pylist(), strict=True):
             counts.update(dict(zip(tokens, n, strict=True)))
