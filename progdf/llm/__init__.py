@@ -1 +1 @@
-"""Training-data operators: dedup, quality, language, search, media, HTML, BPE, mixing, licences."""
+"""Training-data operators: dedup, quality, language, search, clusters, media, HTML, periodic runs, BPE, token counts, mixing, licences."""

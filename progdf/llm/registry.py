@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, html, language, licences, minhash, mixing, neighbours, periodic, quality, substring, tokencount
+from . import audio, bpe, centroids, html, language, licences, minhash, mixing, neighbours, periodic, quality, substring, tokencount
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op11_centroids": centroids.op11_centroids,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_token_counts": tokencount.op13_token_counts,
 }
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substring.OP6_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_licence_scan": licences.OP10_SQL,
+    "op11_centroids": centroids.OP11_SQL,
 }
