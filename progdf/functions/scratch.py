@@ -35,25 +35,36 @@ def forget(*dfs: DataFrame | None) -> None:
     for df in dfs:
         path = getattr(df, "_progdf_path", None)
         if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Grown:
-    """A table that only ever gets more rows: what is added is appended, what was there is not written again."""
+    """A table that only ever gets more rows: what is added is written once, what was there is not written again."""
 
     def __init__(self, df: DataFrame, name: str = "grown"):
-        self.spark, self.schema = df.sparkSession, df.schema
-        self.path = f"{folder(self.spark)}/progdf/{name}-{uuid.uuid4().hex}"
+        self.spark, self.schema, self.name, self.paths = df.sparkSession, df.schema, name, []
         self.add(df)
 
     def add(self, df: DataFrame) -> None:
-        df.select(*self.schema.names).write.mode("append").parquet(self.path)
+        """Rows of df; a table made by saved() becomes a part as it is and must not be forgotten."""
+        path = getattr(df, "_progdf_path", None)
+        if path is None or df.schema.names != self.schema.names:
+            path = saved(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]), self.name)._progdf_path
+        self.paths.append(path)
 
     def read(self) -> DataFrame:
-        out = self.spark.read.schema(self.schema).parquet(self.path)
-        out._progdf_path = self.path
-        return out
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+    def drop(self) -> None:
+        """Delete all parts."""
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
 
 
 def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:

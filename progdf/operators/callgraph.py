@@ -66,43 +66,68 @@ def reachable(edges: DataFrame, entries: DataFrame, most: int = 200) -> DataFram
     new = saved(entries.select("code").distinct(), "reached")
     all_ = Grown(new, "reached")
     for _ in range(most):
-        last, new = new, saved(new.join(step, "code").select(F.col("next").alias("code")).distinct().join(all_.read(), "code", "left_anti"), "reached")
-        forget(last)
+        new = saved(new.join(step, "code").select(F.col("next").alias("code")).distinct().join(all_.read(), "code", "left_anti"), "reached")
         if new.isEmpty():
             return all_.read()
         all_.add(new)
     raise RuntimeError("calls did not settle")
 
 
-def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, formals: DataFrame, returns: DataFrame, actuals: DataFrame, results: DataFrame, entries: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, formals: DataFrame, returns: DataFrame, actuals: DataFrame, results: DataFrame, entries: DataFrame, most: int = 200, bind=None) -> tuple[DataFrame, DataFrame]:
     """(edges, facts): sites of reached bodies are resolved, their targets activated once and stitched, until nothing new comes.
 
     sites (site, caller, callee), callables (object, code), formals (body, pos, value), returns (body, value), actuals (site, pos, value), results (site, value), entries (code).
+    bind: (calls (site, caller, object, body)) to further copies (src, dst) that they bring, beside actuals to formals by position and returns to results.
+
+    A round looks at the sites of bodies reached in it, and at other sites of reached bodies only where their callee's set has grown.
+    What is found is stitched as copies between classes of values; formals and results are classes of their own. The edges are those of the last facts.
     """
-    active = saved(entries.select("code").distinct(), "active")
-    seen, known = None, Grown(pta._seed(c), "facts")
-    copies = extra = saved(c.get("copy"), "stitches")
+    spark = c.spark
+    later = formals.select("value").unionByName(results.select("value"))
+    own, members = pta.shared(c, later)
+    of = lambda df, col: df.join(members.select(F.col("value").alias(col), "cls"), col, "left").withColumn(col, F.coalesce("cls", col)).drop("cls")
+    where = saved(of(sites, "callee"), "sites")
+    copies = Grown(own.get("copy"), "copies")
+    known = Grown(pta._seed(own), "facts")
+    changed = None
+    pta.settle(own, known, known.read(), most, pta.WIDEN)
+    fresh = saved(entries.select("code").distinct(), "active")
+    active = Grown(fresh, "active")
+    found = Grown(spark.createDataFrame([], "site long, caller long, object long, body long"), "found")
     for _ in range(most):
-        # each round derives only what the calls found in the one before bring
-        facts = saved(pta.solve(c.extended(copy=extra), known=known, copies=copies) if seen is not None else pta.widened(_first(c, known)), "facts")
-        live = sites.join(active.withColumnRenamed("code", "caller"), "caller", "left_semi")
-        edges = saved(resolve(live, pta.points_to(facts), callables), "calls")
-        made = edges.where("target IS NOT NULL").select("site", F.col("target").alias("body")).distinct()
-        fresh = made if seen is None else made.join(seen, ["site", "body"], "left_anti")
-        if fresh.isEmpty():
-            return edges, facts
-        seen = saved(made if seen is None else seen.unionByName(fresh), "seen")
-        active = saved(active.unionByName(seen.select(F.col("body").alias("code"))).distinct(), "active")
-        copies = saved(pta.stitched(actuals.join(fresh, "site"), formals, returns, results.join(fresh, "site")), "stitches")
-        extra = saved(extra.unionByName(copies), "stitches")
-        forget(facts, edges)
-    raise RuntimeError("call graph did not settle")
-
-
-def _first(c: pta.Constraints, known: Grown) -> DataFrame:
-    """Facts of the constraints alone, gathered in known, which has their seed."""
-    pta._settle(c, known, saved(known.read(), "new"), 200)
-    return known.read()
+        at = lambda codes: where.join(codes.withColumnRenamed("code", "caller"), "caller", "left_semi")
+        meets = lambda s, facts: s.join(pta.points_to(facts).withColumnRenamed("value", "callee"), "callee").join(callables.select("object", F.col("code").alias("body")), "object")
+        hits = meets(at(fresh), known.read())
+        if changed is not None:
+            hits = hits.unionByName(meets(at(active.read()), changed))
+        key = ["site", "caller", "object", "body"]
+        calls = saved(hits.select(*[F.col(k).cast("long").alias(k) for k in key]).distinct().join(found.read(), key, "left_anti"), "hits")
+        if calls.isEmpty():
+            break
+        found.add(calls)
+        fresh = saved(calls.select(F.col("body").alias("code")).distinct().join(active.read(), "code", "left_anti"), "active")
+        active.add(fresh)
+        pairs = calls.select("site", "body").distinct()
+        brought = pta.stitched(actuals.join(pairs, "site"), formals, returns, results.join(pairs, "site"))
+        if bind is not None:
+            brought = brought.unionByName(bind(calls))
+        brought = of(of(brought, "src"), "dst").where("src <> dst").select("src", "dst").distinct()
+        brought = saved(brought.join(copies.read(), ["src", "dst"], "left_anti"), "stitches")
+        copies.add(brought)
+        own = pta.Constraints(spark, {**own.tables, "copy": copies.read()}, once=True)
+        changed = pta.more(own, known, brought, most)
+    else:
+        raise RuntimeError("call graph did not settle")
+    solution = pta.Solution(saved(pta.widened(known.read()), "facts"), members)
+    live = where.join(active.read().withColumnRenamed("code", "caller"), "caller", "left_semi")
+    edges = saved(resolve(live, pta.points_to(solution.facts), callables), "calls")
+    return edges, _with_late(solution, later).expanded()
+
+
+def _with_late(solution: pta.Solution, later: DataFrame) -> pta.Solution:
+    """Formals and results that no constraint names are classes of themselves."""
+    more = later.distinct().join(solution.members, "value", "left_anti").select("value", F.col("value").alias("cls"))
+    return pta.Solution(solution.facts, solution.members.unionByName(more))
 
 
 def coverage(unknown: Column, edges_without_target: Column) -> Column:
@@ -140,8 +165,7 @@ def inherited(classes: DataFrame, own: DataFrame) -> DataFrame:
     while True:
         # what is new one level up is all that can be new here
         up = classes.join(new.select(F.col("class").alias("base"), "name", "owner"), "base").join(have.read().select("class", "name"), ["class", "name"], "left_anti")
-        last, new = new, saved(up.groupBy("class", "name").agg(F.min_by("owner", "place").alias("owner")), "members")
-        forget(last)
+        new = saved(up.groupBy("class", "name").agg(F.min_by("owner", "place").alias("owner")), "members")
         if new.isEmpty():
             return have.read()
         have.add(new)

@@ -215,7 +215,7 @@ def process_trees(processes: DataFrame) -> DataFrame:
         far = saved(pairs.read().join(jump.select(F.col("pid").alias("root"), "up"), "root").select(F.col("up").alias("root"), "pid"), "trees")
         pairs.add(far)
         last, jump = jump, saved(jump.join(jump.select(F.col("pid").alias("up"), F.col("up").alias("next")), "up").select("pid", F.col("next").alias("up")), "parents")
-        forget(last, far)
+        forget(last)
     raise ValueError("a process is its own ancestor")
 
 

@@ -13,6 +13,10 @@ from . import encodings as X
 from .encodings import table
 
 
+#: Members of a set: their number and sum.
+COUNTED = F.count("*").alias("n"), F.sum("object").alias("total")
+
+
 def _keys(spark, d) -> pta.Constraints:
     """orders point to their customers' objects; values are copied to customers, nations and regions."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
@@ -25,12 +29,12 @@ def _keys(spark, d) -> pta.Constraints:
 
 
 def pta_copies(spark, d):
-    """Members of nations' and regions' sets, before widening."""
-    return pta.points_to(pta.solve(_keys(spark, d), widen=False)).where("value % 10 >= 3").groupBy("value").agg(F.count("*").alias("n"), F.sum("object").alias("total"))
+    """Number and sum of the members of every set, before widening."""
+    return pta.solution(_keys(spark, d), widen=False).per_value(*COUNTED)
 
 
 def pta_widened(spark, d):
-    return pta.points_to(pta.solve(_keys(spark, d))).where("value % 10 >= 2").groupBy("value").agg(F.count("*").alias("n"), F.sum("object").alias("total"))
+    return pta.solution(_keys(spark, d)).per_value(*COUNTED)
 
 
 def pta_statistics(spark, d):
@@ -62,8 +66,8 @@ def pta_content_facts(spark, d):
 
 
 def pta_loads(spark, d):
-    p = pta.points_to(pta.solve(_fields(spark, d), widen=False)).where("value % 10 >= 3")
-    return p.groupBy("value").agg(F.count("*").alias("n"), F.sum("object").alias("total"))
+    """Number and sum of what every load reads, aggregated once for each class of loads."""
+    return pta.solution(_fields(spark, d), widen=False).per_value(*COUNTED).where("value % 10 >= 3")
 
 
 def _calls(spark, d):
@@ -216,9 +220,9 @@ bound AS (SELECT DISTINCT a.site, a.pos, f.formal_pos FROM hit a JOIN form f USI
   ELSE CASE WHEN byk > 0 THEN f.kind IN ('positional', 'keyword_only') AND f.name = a.keyword WHEN h.kw THEN f.kind = 'kwargs' ELSE true END END)"""
 
 ORACLES = {
-    "pta_copies": f"WITH {_KEYS} SELECT v AS value, count(*) AS n, sum(o)::BIGINT AS total FROM pts WHERE v % 10 >= 3 GROUP BY v",
+    "pta_copies": f"WITH {_KEYS} SELECT v AS value, count(*) AS n, sum(o)::BIGINT AS total FROM pts GROUP BY v",
     "pta_widened": f"""WITH {_KEYS}, r AS (SELECT v, o, max((o = -1)::INT) OVER (PARTITION BY v) AS u, row_number() OVER (PARTITION BY v ORDER BY o <> -1, o) AS k FROM pts)
-SELECT v AS value, count(*) AS n, sum(o)::BIGINT AS total FROM r WHERE v % 10 >= 2 AND (u = 0 OR k <= 17) GROUP BY v""",
+SELECT v AS value, count(*) AS n, sum(o)::BIGINT AS total FROM r WHERE u = 0 OR k <= 17 GROUP BY v""",
     "pta_statistics": f"""WITH {_KEYS} SELECT count(*) AS points_to, 0 AS contents, 0 AS fields, count(*) FILTER (WHERE o = -1) AS unknown, count(DISTINCT v) AS values, count(DISTINCT o) AS objects,
   (SELECT count(*) FROM (SELECT v, o FROM addr)) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS constraints FROM pts""",
     "pta_field_facts": f"WITH {_FIELDS} SELECT base, field, count(*) AS n, sum(o)::BIGINT AS total FROM fld GROUP BY base, field",

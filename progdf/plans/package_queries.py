@@ -27,14 +27,14 @@ def _held(spark, d) -> dict:
     return {"address": x.select((F.col("s") * 10 + 1).alias("value"), (F.col("s") + 1).alias("object")).distinct(), "field_address": x.select((F.col("s") + 1).alias("base"), (F.col("p") % 7 + 1).alias("field"), (F.col("p") + 1000000).alias("object"))}
 
 
-def _loaded(facts):
-    return pta.points_to(facts).where("value % 10 = 3").groupBy("value").agg(F.count("*").alias("n"), F.sum("object").alias("total"))
+def _loaded(solution):
+    return solution.per_value(F.count("*").alias("n"), F.sum("object").alias("total")).where("value % 10 = 3")
 
 
 def pta_field_addresses(spark, d):
     """Parts whose addresses stand in fields, read by one field, or by any for every fourth supplier."""
     load = _parts(spark, d).select((F.col("s") * 10 + 1).alias("base"), F.when(F.col("s") % 4 == 0, 0).otherwise(F.col("s") % 7 + 1).alias("field"), (F.col("s") * 10 + 3).alias("dst")).distinct()
-    return _loaded(pta.solve(pta.Constraints(spark, {**_held(spark, d), "field_load": load}), widen=False))
+    return _loaded(pta.solution(pta.Constraints(spark, {**_held(spark, d), "field_load": load}), widen=False))
 
 
 def pta_keyed_loads(spark, d):
@@ -43,7 +43,7 @@ def pta_keyed_loads(spark, d):
     key = s.where("s % 13 <> 0").select((F.col("s") * 10 + 2).alias("value"), (F.col("s") % 9 + 9000000).alias("object"))
     load = s.select((F.col("s") * 10 + 1).alias("base"), (F.col("s") * 10 + 2).alias("key"), (F.col("s") * 10 + 3).alias("dst"))
     fields = spark.range(6).select((F.col("id") + 9000000).alias("object"), (F.col("id") + 1).alias("field"))
-    return _loaded(pta.solve(pta.Constraints(spark, {**held, "address": held["address"].unionByName(key), "keyed_load": load, "key_field": fields}), widen=False))
+    return _loaded(pta.solution(pta.Constraints(spark, {**held, "address": held["address"].unionByName(key), "keyed_load": load, "key_field": fields}), widen=False))
 
 
 # --- calls

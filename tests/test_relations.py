@@ -96,3 +96,52 @@ def test_qualified_names(spark):
 def test_dot_quoting(spark):
     df = spark.createDataFrame([('a"b\\c\nd\te',)], "t string")
     assert df.select(dot.quoted(F.col("t"))).first()[0] == '"a\\"b\\\\c\\nd\\te"'
+
+
+def test_values_with_the_same_set_are_one_class(spark):
+    """Cycles of copies, copies of one value, and loads of the same base become classes; results are those without sharing."""
+    tables = {
+        "address": [(1, 10), (2, 10), (3, 20), (30, 50)], "copy": [(1, 4), (4, 5), (5, 6), (6, 4), (3, 5), (6, 7), (7, 8), (30, 31), (31, 30)],
+        "load": [(1, 11), (2, 12), (4, 13)], "store": [(3, 1), (8, 3)], "field_load": [(1, 5, 14), (2, 5, 15), (11, 5, 16)], "field_store": [(30, 1, 5)],
+    }
+    dfs = {k: spark.createDataFrame(v, ", ".join(f"{c} long" for c in pta.SCHEMAS[k])) for k, v in tables.items()}
+    c = pta.Constraints(spark, dfs)
+    cls = {r.value: r.cls for r in pta.shared(c)[1].collect()}
+    for same in ((1, 2), (4, 5, 6, 7, 8), (11, 12), (14, 15), (30, 31)):
+        assert len({cls[v] for v in same}) == 1, same
+    assert len({cls[v] for v in (1, 3, 4, 11, 13, 14, 16, 30)}) == 8
+    kept = {r.value: r.cls for r in pta.shared(c, spark.createDataFrame([(5,), (12,)], "value long"))[1].collect()}
+    assert kept[11] != kept[12] and kept[4] == kept[5]
+
+    sets, inside, named = {}, {}, {}
+    for _ in range(20):
+        put = lambda d, k, o: d.setdefault(k, set()).update(o)
+        for v, o in tables["address"]:
+            put(sets, v, {o})
+        for a, b in tables["copy"]:
+            put(sets, b, sets.get(a, ()))
+        for a, b in tables["store"]:
+            for o in list(sets.get(b, ())):
+                put(inside, o, sets.get(a, ()))
+        for a, b in tables["load"]:
+            for o in list(sets.get(a, ())):
+                put(sets, b, inside.get(o, ()))
+        for a, b, f in tables["field_store"]:
+            for o in list(sets.get(b, ())):
+                put(named, (o, f), sets.get(a, ()))
+        for a, f, b in tables["field_load"]:
+            for o in list(sets.get(a, ())):
+                put(sets, b, named.get((o, f), ()))
+    want = {(v, o) for v, os in sets.items() for o in os}
+    solution = pta.solution(c, widen=False)
+    assert {(r.value, r.object) for r in solution.points_to().collect()} == want
+    assert {r.value: r.n for r in solution.per_value(F.count("*").alias("n")).collect()} == {v: len(os) for v, os in sets.items() if os}
+    assert solution.facts.where("kind = 'p'").count() < len(want)
+
+
+def test_a_set_with_the_unknown_is_bounded_in_every_round(spark):
+    rows = [(1, o) for o in range(10, 60)] + [(1, -1)]
+    c = pta.Constraints(spark, {"address": spark.createDataFrame(rows, "value long, object long"), "copy": spark.createDataFrame([(1, 2), (2, 3), (4, 3)], "src long, dst long")})
+    solution = pta.solution(c.extended(address=spark.createDataFrame([(4, 5)], "value long, object long")))
+    got = {(r.value, r.object) for r in solution.points_to().collect()}
+    assert {o for v, o in got if v == 3} == {-1, 5, *range(10, 25)}
