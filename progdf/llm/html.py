@@ -4,9 +4,10 @@ A node's composite density is its characters per tag, adjusted by the share of l
 children's densities have the greatest sum is the core of the article; the least density on its path to the body is the
 threshold by which its neighbours on that path join it.
 
-What marks itself as a menu, header, footer, sidebar, notice, advert, form or comment section, and what stands outside
-article and main where these have half of the text, counts as link text through and through, so its density is 0 and no
-threshold lets it in. A mark means nothing on what holds the longest article, or nearly all of the text.
+Marks enter the counts. What marks itself as a menu, header, footer, sidebar, notice, advert, form or comment section, and what
+stands outside article and main where these have half of the text, counts as link text: all of it, or the first HINT characters where the
+mark is only part of a longer name (a comment-guide is a guide). What is mostly such text joins only with a density above the threshold,
+so the density of a long text overcomes a hint. A mark means nothing on what holds the longest article, or nearly all of the text.
 Pages are cut into tags and nested in time linear in their length.
 """
 
@@ -49,6 +50,11 @@ NAMED = frozenset("""ad ads adbox adslot advert adverts advertisement advertisin
 #: Words in a class that tell of something else: a page that has a sidebar is none.
 OTHERS = frozenset("has with no without is not js".split())
 
+#: Words for any part of a page: they say no more about it than the mark beside them.
+NEUTRAL = frozenset("area bar block body box button buttons col column container content form group header holder inner item items link links list main module outer panel row section slot text thread title top unit wrap wrapper zone".split())
+#: Characters of a hint that count as link text.
+HINT = 200
+
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/\"']|$)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -58,30 +64,32 @@ RAW_END = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)[^>]*>?", re.I) for x in RAW}
 
 
 class Node:
-    __slots__ = ("name", "parts", "parent", "never", "mark", "foreign", "role", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parts", "parent", "never", "mark", "foreign", "role", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total", "counted")
 
-    def __init__(self, name: str, parent: Node | None, mark: bool = False):
+    def __init__(self, name: str, parent: Node | None, mark: int = 0):
         self.name, self.parent, self.parts, self.mark = name, parent, [], mark
         # role: article within one, around where one is held, else None
         self.never, self.foreign, self.role = name in NEVER, False, None
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Does an element's name or class tell that it is no part of an article?"""
+def _marked(name: str, attributes: str) -> int:
+    """Does an element's name or class tell that it is no part of an article? 2: it does, 1: a part of a longer name hints at it."""
     if name in ASIDE or name in DOUBTFUL:
-        return True
+        return 2
     if not attributes or name not in BLOCK or name in ("article", "main", "body", "html"):
-        return False
+        return 0
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
+            return 2
         if key in ("class", "id", "role"):
             for token in value.split():
                 words = [w for w in re.split(r"[^a-z0-9]+", CAMEL.sub("-", token).lower()) if w]
                 if words and (words[0] in NAMED or words[-1] in NAMED) and OTHERS.isdisjoint(words):
-                    return True
-    return False
+                    last = words[-1].rstrip("0123456789")
+                    found = max(found, 2 if not last or last in NAMED or last in NEUTRAL else 1)
+    return found
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -228,10 +236,10 @@ def set_foreign(nodes: list[Node]) -> None:
             todo += [(c, beside or c.name in ASIDE) for c in reversed(list(_children(n)))]
     for *_, top, _ in articles:  # a header within an article is a part of it
         for n in _nodes(top):
-            n.mark = n.mark and n.name != "header"
+            n.mark = n.mark if n.name != "header" else 0
     up = max((x for x in articles if not x[3]), default=(0, 0, nodes[0], False), key=lambda x: x[:2])[2]
     while up is not None:
-        up.mark, up = up.mark and up.name in ASIDE, up.parent
+        up.mark, up = up.mark if up.name in ASIDE else 0, up.parent
     for n in reversed(nodes):
         n.plain = n.chars - sum(c.chars if c.mark else c.chars - c.plain for c in _children(n))
     outside = nodes[0].plain
@@ -251,7 +259,7 @@ def set_foreign(nodes: list[Node]) -> None:
     count = len(heap)
     while heap and outside * 20 < -heap[0][0]:
         n = heapq.heappop(heap)[2]
-        n.mark = False
+        n.mark = 0
         outside += n.plain
         for c in marked(n):
             count += 1
@@ -273,7 +281,7 @@ def set_foreign(nodes: list[Node]) -> None:
         up = n.parent
         if up is not None and up.role == "article":
             n.role = "article"
-        n.foreign = n.mark or (up is not None and up.foreign) or (apart and n.role is None)
+        n.foreign = n.mark == 2 or (up is not None and up.foreign) or (apart and n.role is None and not n.mark)
 
 
 def measure(root: Node) -> list[Node]:
@@ -286,8 +294,12 @@ def measure(root: Node) -> list[Node]:
             n.tags += c.tags + 1
             n.link_chars += c.link_chars
             n.link_tags += c.link_tags + (c.name == "a" or c.foreign)
+        n.counted = sum(c.counted for c in _children(n))
         if n.foreign:
-            n.link_chars, n.link_tags = n.chars, n.tags
+            n.link_chars, n.link_tags, n.counted = n.chars, n.tags, n.chars
+        elif n.mark:
+            n.counted = max(n.counted, min(n.chars, HINT))
+            n.link_chars = max(n.link_chars, n.counted)
         elif n.name == "a":
             n.link_chars = n.chars
         elif n.role == "around":
@@ -322,11 +334,18 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
 
 
 def _linked(n: Node) -> bool:
-    return n.foreign or (n.chars > 0 and 2 * n.link_chars > n.chars)
+    return n.chars > 0 and 2 * n.link_chars > n.chars
+
+
+def _below(n: Node, low: float) -> bool:
+    """Is a part of an article left out? By its density: mostly link text by marks, or a list of nothing but links."""
+    if n.name in BLOCK and 2 * n.counted > n.chars:
+        return n.density <= low
+    return n.name in ("ul", "ol", "div") and n.link_tags > 1 and n.link_chars == n.chars and n.density < low
 
 
-def _blocks(roots: list, low: float) -> list[str]:
-    """The text of the roots' blocks, without what is foreign and without lists of links below the threshold."""
+def _blocks(roots: list, best: Node, low: float) -> list[str]:
+    """The text of the roots' blocks, without what lies below the threshold."""
     blocks, now = [], []
 
     def end() -> None:
@@ -345,7 +364,7 @@ def _blocks(roots: list, low: float) -> list[str]:
             now.append(x)
         elif isinstance(x, list):
             todo += reversed(x)
-        elif x.never or x.foreign or (x.name in ("ul", "ol", "div") and x.link_tags > 1 and x.link_chars == x.chars and x.density < low):
+        elif x.never or (x is not best and _below(x, low)):
             continue
         elif x.name == "br":
             now.append(" ")
@@ -382,7 +401,7 @@ def main_text(page: str | None) -> str:
                 here.append(p)
         # a block of its own stays one
         kept, up = [None, *here, None] if parent.name in BLOCK else here, parent
-    return "\n".join(_blocks(kept, low))
+    return "\n".join(_blocks(kept, best, low))
 
 
 def main_texts(df: DataFrame, column: str = "html") -> DataFrame:

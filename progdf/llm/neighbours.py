@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, saved, table
 
-#: Distinct vectors that the index is fitted on, those of least hash, the last fifth only to measure; vectors of a part, as far
-#: as there are not more than so many parts, for which the sample is too small; vectors of a block.
-SAMPLE, PART, PARTS, BLOCK = 7500, 1600, 128, 8192
+#: Distinct vectors that the index is fitted on, those of least hash, the last fifth only to measure; parts at most, as each has to have some
+#: dozens of sample vectors; vectors of a block.
+SAMPLE, PARTS, BLOCK = 7500, 160, 8192
 #: Recall of the nearest neighbours that the number of parts for a query is chosen for.
 RECALL, NEAREST = 0.95, 5
 DEGREE, HIDDEN, EPOCHS = 10, 128, 40
@@ -148,16 +148,21 @@ def fit(x: np.ndarray, parts: int, recall: float = RECALL) -> tuple[Router, int]
     return router, next(p for p in range(1, parts + 1) if (at < p).mean() >= recall or p == parts)
 
 
+def parts_for(n: int) -> int:
+    """Parts of an index of n vectors: the root of half of them, so that a router and a part cost about the same; PARTS at most."""
+    return max(1, min(PARTS, round((n / 2) ** 0.5)))
+
+
 def train(vectors: DataFrame, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> tuple[int, Router | None, int]:
     """(dimensions, router, probes) of the commonest length's vectors, learned from the `sample` distinct ones of least hash.
 
-    parts: by the number of vectors, one for each PART of them, unless it is given.
+    parts: by the number of vectors unless it is given.
     """
     top = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if top is None:
         return 0, None, 0
     rows = vectors.where(F.size("v") == top["d"]).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()
-    return top["d"], *fit(matrix(rows["v"]), parts or max(1, min(PARTS, top["count"] // PART)), recall)
+    return top["d"], *fit(matrix(rows["v"]), parts or parts_for(top["count"]), recall)
 
 
 def _routed(vectors: DataFrame, router: Router, probes: int, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
