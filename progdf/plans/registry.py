@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import call_queries, dependence_queries, evaluation_queries, flow_queries, package_queries, source_queries
+from . import call_queries, dependence_queries, evaluation_queries, flow_queries, package_queries, reach_queries, source_queries
 
-_PARTS = (flow_queries, evaluation_queries, call_queries, dependence_queries, source_queries, package_queries)
+_PARTS = (flow_queries, evaluation_queries, call_queries, dependence_queries, source_queries, package_queries, reach_queries)
 QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in _PARTS for k, q in p.ORACLES.items()}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from progdf.functions import dot
-from progdf.operators import binding, callgraph, evaluate, pta
+from progdf.operators import binding, callgraph, evaluate, pta, reach
 
 
 def facts(spark, **tables):
@@ -145,3 +145,14 @@ def test_a_set_with_the_unknown_is_bounded_in_every_round(spark):
     solution = pta.solution(c.extended(address=spark.createDataFrame([(4, 5)], "value long, object long")))
     got = {(r.value, r.object) for r in solution.points_to().collect()}
     assert {o for v, o in got if v == 3} == {-1, 5, *range(10, 25)}
+
+
+def test_labels_reach_labels_by_the_fewest_edges(spark):
+    df = spark.createDataFrame
+    edges = df([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 3, 4), (1, 1, 2), (2, 1, 4), (1, 9, None)], "graph long, src long, dst long")
+    sources = df([(1, "a", 1), (1, "b", 2), (1, "b", 3), (1, "lone", 7), (2, "a", 1)], "graph long, label string, node long")
+    targets = df([(1, "end", 4), (1, "self", 1), (2, "end", 4), (2, "none", 3)], "graph long, label string, node long")
+    got = {tuple(r) for r in reach.reached(edges, sources, targets).collect()}
+    assert got == {(1, "a", "end", 3), (1, "a", "self", 3), (1, "b", "end", 1), (1, "b", "self", 1), (2, "a", "end", 1)}
+    paths = df([(1, "p", 0, 1), (1, "p", 1, 3), (1, "p", 2, 1), (1, "q", 0, 4), (1, "q", 1, 1), (1, "one", 0, 8)], "graph long, path string, place int, node long")
+    assert {(r.path, r.holds, r.missing) for r in reach.paths_hold(edges, paths).collect()} == {("p", True, None), ("q", False, 1), ("one", True, None)}
