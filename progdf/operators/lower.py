@@ -57,7 +57,8 @@ class Lowered:
         at = lifted.select("code_id", (F.col("idx") * 4).cast("long").alias("node"), "opcode", "name", "symbol", "secondary_symbol", "operand", "const_kind", "const_text", "stack_out", "keyword_names")
         v = lambda c: value(F.col("code_id"), F.col(c))
         into_ = e.join(at.withColumnRenamed("node", "dst"), ["code_id", "dst"])
-        pairs = e.where("kind IN ('DefUse', 'Result')").select(v("src").alias("src"), v("dst").alias("dst"))
+        apart = at.where("opcode = 'UnpackCollection'").select("code_id", F.col("node").alias("src"), F.lit("Result").alias("kind"))
+        pairs = e.where("kind IN ('DefUse', 'Result')").join(apart, ["code_id", "src", "kind"], "left_anti").select(v("src").alias("src"), v("dst").alias("dst"))
         stores = e.where("kind = 'Operand'").join(at.withColumn("dst", F.explode(F.array("node", F.col("node") + 1))), ["code_id", "dst"])
         stores = stores.where("opcode IN ('StoreLocal', 'StoreGlobal', 'StoreLocalPair', 'StoreLoadLocal', 'StackCopy', 'StoreCollectionElement', 'Yield', 'EnterContext')").select(v("src").alias("src"), v("dst").alias("dst"))
         # objects: one for each constant of a code object, one for each allocating instruction, one for each module name
@@ -72,10 +73,28 @@ class Lowered:
         loads = into_.where("opcode = 'LoadAttribute' AND name <> 'LOAD_SUPER_ATTR' AND kind = 'Address'").select(v("src").alias("base"), field(F.col("symbol")).alias("field"), v("dst").alias("dst"))
         imports = into_.where("opcode = 'ImportAttribute' AND kind = 'Operand'").select(v("src").alias("base"), field(F.col("symbol")).alias("field"), v("dst").alias("dst"))
         bases = records.where("record = 'base'").select("code_id", F.col("a").alias("dst"), F.col("b").alias("base_node"))
-        items = bases.join(at.withColumnRenamed("node", "dst").where("opcode = 'LoadElement'"), ["code_id", "dst"]).select(v("base_node").alias("base"), F.lit(pta.SUMMARY).cast("long").alias("field"), v("dst").alias("dst"))
-        written = into_.where("opcode IN ('StoreAttribute', 'StoreElement') AND kind = 'Operand'").join(bases, ["code_id", "dst"])
-        written = written.select(v("src").alias("src"), v("base_node").alias("base"), F.when(F.col("opcode") == "StoreAttribute", field(F.col("symbol"))).otherwise(F.lit(pta.SUMMARY).cast("long")).alias("field"))
-        elements = records.where("record = 'element'").select(v("b").alias("src"), v("a").alias("base"), element(F.col("kind")).alias("field"))
+        # elements: a key that is one constant names its own field, any other the summary
+        name_of = F.when((F.col("const_kind") == "int") & ~F.col("const_text").startswith("-"), F.col("const_text")).when(F.col("const_kind") == "str", F.concat(F.lit("'"), F.col("const_text")))
+        consts = at.where("opcode = 'LoadConst'").select("code_id", F.col("node").alias("b"), name_of.alias("key"), "const_kind", "const_text")
+        one = lambda df, *by: df.join(consts, ["code_id", "b"], "left").groupBy("code_id", *by).agg(F.when(F.count("*") == F.count("key"), F.when(F.countDistinct("b") == 1, F.max("key"))).alias("key"))
+        keys = one(records.where("record = 'key'").select("code_id", F.col("a").alias("dst"), "b"), "dst")
+        summary = F.lit(pta.SUMMARY).cast("long")
+        named_place = F.when(F.col("key").isNotNull(), element(F.col("key"))).otherwise(summary)
+        items = bases.join(at.withColumnRenamed("node", "dst").where("opcode = 'LoadElement'"), ["code_id", "dst"]).join(keys, ["code_id", "dst"], "left").select(v("base_node").alias("base"), named_place.alias("field"), v("dst").alias("dst"))
+        written = into_.where("opcode IN ('StoreAttribute', 'StoreElement') AND kind = 'Operand'").join(bases, ["code_id", "dst"]).join(keys, ["code_id", "dst"], "left")
+        written = written.select(v("src").alias("src"), v("base_node").alias("base"), F.when(F.col("opcode") == "StoreAttribute", field(F.col("symbol"))).otherwise(named_place).alias("field"))
+        # displays: by place, dicts by their constant keys; what keys are has a field of its own
+        shown = records.where("record = 'element'").select("code_id", "a", "b", F.col("kind").cast("int").alias("at")).join(at.select("code_id", F.col("node").alias("a"), F.col("name").alias("how"), "operand"), ["code_id", "a"])
+        map_keys = one(shown.where("how = 'BUILD_MAP' AND at % 2 = 0").select("code_id", "a", (F.col("at") + 1).alias("at"), "b"), "a", "at")
+        listed = shown.where("how = 'BUILD_CONST_KEY_MAP' AND at = operand").join(consts.where("const_kind = 'strings'"), ["code_id", "b"]).select("code_id", "a", F.posexplode(F.split("const_text", "\x1f")).alias("at", "key")).withColumn("key", F.concat(F.lit("'"), "key"))
+        shown = shown.join(map_keys.unionByName(listed), ["code_id", "a", "at"], "left")
+        is_key = ((F.col("how") == "BUILD_MAP") & (F.col("at") % 2 == 0)) | ((F.col("how") == "BUILD_CONST_KEY_MAP") & (F.col("at") == F.col("operand")))
+        where = F.when(is_key, element(F.lit("keys"))).when(F.col("how").isin("BUILD_MAP", "BUILD_CONST_KEY_MAP"), named_place).otherwise(element(F.col("at")))
+        elements = shown.select(v("b").alias("src"), v("a").alias("base"), where.alias("field"))
+        # unpacking takes elements by place, the last of them from the lowest output; with a star it takes any
+        unpacked = into_.where("opcode = 'UnpackCollection' AND kind = 'Operand'").withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.col("stack_out"), F.lit(1)) - 1)))
+        unpacked = unpacked.select(v("src").alias("base"), F.when(F.col("name") == "UNPACK_SEQUENCE", element(F.col("stack_out") - 1 - F.col("k"))).otherwise(summary).alias("field"), value(F.col("code_id"), F.col("dst") + F.least("k", F.lit(2))).alias("dst"))
+        items = items.unionByName(unpacked)
         # functions: what creates them, and what sets their attributes
         child = codes.select(F.col("parent_id").alias("code_id"), F.col("const_index").alias("operand"), F.col("code_id").alias("code"))
         made_of = e.where("kind = 'Operand'").join(at.where("opcode = 'CreateFunction'").withColumnRenamed("node", "dst").select("code_id", "dst"), ["code_id", "dst"])

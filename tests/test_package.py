@@ -114,7 +114,24 @@ def defaulted2(x):
 def unused():
     return handler()
 
+def elements():
+    table = {"a": handler, "b": other}
+    table["b"]()
+    made = {}
+    made["k"] = handler
+    made["j"] = keyed
+    made["j"]()
+    first, second = handler, spread
+    pair = (handler, starred)
+    x, y = pair
+    y()
+    return second(other)
+
+def keyed():
+    return [handler, defaulted2][1](0)
+
 run()
+elements()
 '''),
     "pkg/stars.py": ("pkg.stars", '''
 def starred():
@@ -136,7 +153,7 @@ def test_rules_of_classes_and_calls_feed_each_other(spark):
     rows = out["call_graph"].collect()
     calls = {(name[r.caller], name[r.target]) for r in rows if r.target is not None}
     want = {
-        "<module>": ["run"], "run": ["Square.__init__", "Base.area", "other", "Base.twice", "Square.__call__", "Base.make", "Base.built", "spread", "defaulted", "outer", "outer.<locals>.inner", "starred"],
+        "<module>": ["run", "elements"], "elements": ["other", "keyed", "starred", "spread"], "keyed": ["defaulted2"], "run": ["Square.__init__", "Base.area", "other", "Base.twice", "Square.__call__", "Base.make", "Base.built", "spread", "defaulted", "outer", "outer.<locals>.inner", "starred"],
         "Base.area": ["Square.unit"], "Square.__init__": ["Base.__init__"], "Base.twice": ["double"], "Square.__call__": ["defaulted2"], "Base.make": ["one"], "Base.built": ["Base.__init__"],
         "spread": ["other"], "defaulted": ["handler"], "outer.<locals>.inner": ["other"], "starred": ["_hidden"],
     }
