@@ -13,8 +13,9 @@ from . import encodings as X
 from .encodings import table
 
 
-#: Members of a set: their number and sum.
-COUNTED = F.count("*").alias("n"), F.sum("object").alias("total")
+def _counted():
+    """Members of a set: their number and sum."""
+    return F.count("*").alias("n"), F.sum("object").alias("total")
 
 
 def _keys(spark, d) -> pta.Constraints:
@@ -30,11 +31,11 @@ def _keys(spark, d) -> pta.Constraints:
 
 def pta_copies(spark, d):
     """Number and sum of the members of every set, before widening."""
-    return pta.solution(_keys(spark, d), widen=False).per_value(*COUNTED)
+    return pta.solution(_keys(spark, d), widen=False).per_value(*_counted())
 
 
 def pta_widened(spark, d):
-    return pta.solution(_keys(spark, d)).per_value(*COUNTED)
+    return pta.solution(_keys(spark, d)).per_value(*_counted())
 
 
 def pta_statistics(spark, d):
@@ -67,7 +68,7 @@ def pta_content_facts(spark, d):
 
 def pta_loads(spark, d):
     """Number and sum of what every load reads, aggregated once for each class of loads."""
-    return pta.solution(_fields(spark, d), widen=False).per_value(*COUNTED).where("value % 10 >= 3")
+    return pta.solution(_fields(spark, d), widen=False).per_value(*_counted()).where("value % 10 >= 3")
 
 
 def _calls(spark, d):
