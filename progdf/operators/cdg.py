@@ -9,88 +9,96 @@ from pyspark.sql import functions as F
 
 from progdf.functions.opcodes import outcome
 
-from .cfg import reach_matrix
+from .graphs import adjacency, dominators
 
 
-def _postdominators(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """p[b, c]: block c post-dominates b, over blocks 0 to n - 1 and a synthetic exit n.
+def _tree(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dominators of the reversed graph of blocks 0 to n - 1 from a synthetic exit n.
 
-    The exit follows every block without successor and every block that reaches none. c post-dominates b if the exit cannot be
-    reached from b without c; sets shrink from all blocks to the greatest solution.
+    The exit follows every block without successor and every block that reaches none.
     """
     ends = np.ones(n, bool)
     ends[src] = False
-    closure = reach_matrix(n, src, dst)
-    exits = ends | ~(ends | closure[:, ends].any(1))
-    p = np.ones((n + 1, n + 1), bool)
-    p[n] = False
-    p[n, n] = True
-    follow = [np.append(np.unique(dst[src == b]), [n] if exits[b] else []).astype(int) for b in range(n)]
-    changed = True
-    while changed:
-        changed = False
-        for b in range(n - 1, -1, -1):
-            new = p[follow[b]].all(0)
-            new[b] = True
-            if (new != p[b]).any():
-                p[b], changed = new, True
-    return p
+    first, before = adjacency(n, dst, src)
+    safe, todo = ends.copy(), np.flatnonzero(ends).tolist()
+    while todo:
+        v = todo.pop()
+        for w in before[first[v] : first[v + 1]]:
+            if not safe[w]:
+                safe[w] = True
+                todo.append(w)
+    exits = np.flatnonzero(ends | ~safe)
+    return dominators(n + 1, n, np.concatenate([dst, np.full(len(exits), n)]), np.concatenate([src, exits]))
 
 
 def post_dominance(blocks: DataFrame, cfg: DataFrame) -> DataFrame:
-    """(code_id, block_id, pdom): pdom post-dominates block_id, itself included; 0 is the synthetic exit. One small graph for each code."""
+    """(code_id, block_id, ipdom, enter, leave): the post-dominator tree, whose root is the synthetic exit 0 and has no row.
+
+    c post-dominates b if c's interval [enter, leave) holds b's enter. One code object takes memory by its blocks and edges.
+    """
     edge = cfg.select("code_id", F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.lit(1).alias("edge"))
     node = blocks.select("code_id", F.col("block_id").cast("long").alias("a"), F.col("block_id").cast("long").alias("b"), F.lit(0).alias("edge"))
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t):
         a, b, edge = (t[c].to_numpy() for c in ("a", "b", "edge"))
         n = int(max(a.max(), b.max()))
-        p = _postdominators(n, a[edge == 1] - 1, b[edge == 1] - 1)
-        x, y = np.nonzero(p[:n])
-        return pa.table({"code_id": pa.array(np.full(len(x), t["code_id"][0].as_py())), "block_id": x + 1, "pdom": np.where(y == n, 0, y + 1)})
+        idom, enter, leave = (x[:n] for x in _tree(n, a[edge == 1] - 1, b[edge == 1] - 1))
+        return pa.table({"code_id": pa.array(np.full(n, t["code_id"][0].as_py(), np.int64)), "block_id": np.arange(1, n + 1), "ipdom": np.where(idom == n, 0, idom + 1), "enter": enter, "leave": leave})
 
-    return edge.unionByName(node).groupBy("code_id").applyInArrow(run, "code_id long, block_id long, pdom long")
+    return edge.unionByName(node).groupBy("code_id").applyInArrow(run, "code_id long, block_id long, ipdom long, enter long, leave long")
 
 
-def immediate(pdom: DataFrame) -> DataFrame:
-    """(code_id, block_id, ipdom): the nearest strict post-dominator; 0 is the exit.
-
-    The post-dominators of a block form a chain, so the nearest one is that which has most of them itself.
-    """
-    size = pdom.where("block_id <> 0").groupBy("code_id", F.col("block_id").alias("pdom")).agg(F.count("*").alias("height"))
-    strict = pdom.where("pdom <> block_id").join(size, ["code_id", "pdom"], "left")
-    return strict.groupBy("code_id", "block_id").agg(F.max_by("pdom", F.coalesce("height", F.lit(0))).alias("ipdom"))
+def immediate(tree: DataFrame) -> DataFrame:
+    """(code_id, block_id, ipdom): the nearest strict post-dominator; 0 is the exit."""
+    return tree.select("code_id", "block_id", "ipdom")
 
 
-def postdominates(pdom: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (code_id, pdom, block_id) rows with holds: does pdom post-dominate block_id?"""
-    return wanted.join(pdom.withColumn("holds", F.lit(True)), ["code_id", "block_id", "pdom"], "left").withColumn("holds", F.coalesce("holds", F.lit(False)))
+def postdominates(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (code_id, pdom, block_id) rows with holds: does pdom post-dominate block_id? The exit does for every block."""
+    low = tree.select("code_id", "block_id", F.col("enter").alias("_at"))
+    high = tree.select("code_id", F.col("block_id").alias("pdom"), F.col("enter").alias("_from"), F.col("leave").alias("_to"))
+    holds = (F.col("_at").isNotNull() & (F.col("pdom") == 0)) | ((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to")))
+    return wanted.join(low, ["code_id", "block_id"], "left").join(high, ["code_id", "pdom"], "left").withColumn("holds", F.coalesce(holds, F.lit(False))).drop("_at", "_from", "_to")
 
 
-def postdominator_sets(pdom: DataFrame) -> DataFrame:
+def postdominator_sets(tree: DataFrame) -> DataFrame:
     """(code_id, block_id, postdominators): sorted, itself included, without the exit."""
-    return pdom.where("pdom <> 0").groupBy("code_id", "block_id").agg(F.array_sort(F.collect_list("pdom")).alias("postdominators"))
+    high = tree.select(F.col("code_id").alias("code"), F.col("block_id").alias("pdom"), F.col("enter").alias("from"), F.col("leave").alias("to"))
+    pairs = tree.join(high, F.expr("code_id = code AND enter >= from AND enter < to")).select("code_id", "block_id", "pdom")
+    return pairs.groupBy("code_id", "block_id").agg(F.array_sort(F.collect_list("pdom")).alias("postdominators"))
 
 
-def tree_violations(ipdom: DataFrame, pdom: DataFrame) -> DataFrame:
-    """Blocks whose immediate post-dominator is missing, themselves or below them."""
-    looped = ipdom.alias("i").join(pdom.alias("p"), (F.col("i.code_id") == F.col("p.code_id")) & (F.col("i.ipdom") == F.col("p.block_id")) & (F.col("i.block_id") == F.col("p.pdom")))
-    return ipdom.where("block_id = ipdom OR ipdom IS NULL").select("code_id", "block_id").unionByName(looped.select("i.code_id", "i.block_id"))
+def tree_violations(tree: DataFrame) -> DataFrame:
+    """Blocks whose immediate post-dominator is missing, themselves or not above them in the tree."""
+    high = tree.select("code_id", F.col("block_id").alias("ipdom"), F.col("enter").alias("_from"), F.col("leave").alias("_to"))
+    x = tree.join(high, ["code_id", "ipdom"], "left")
+    below = (F.col("_from") < F.col("enter")) & (F.col("leave") <= F.col("_to"))
+    return x.where((F.coalesce("ipdom", F.lit(-1)) != 0) & ~F.coalesce(below, F.lit(False))).select("code_id", "block_id")
 
 
-def control_dependence(cfg: DataFrame, pdom: DataFrame) -> DataFrame:
+def control_dependence(cfg: DataFrame, tree: DataFrame) -> DataFrame:
     """(code_id, controller, dependent, outcome), each once.
 
-    For an edge b -> t of a block with several successors whose target does not post-dominate it, the dependents are the
-    post-dominators of t that are b itself or do not post-dominate b.
+    For an edge b -> t of a block with several successors whose target does not post-dominate it, the dependents are t and what
+    is above it in the post-dominator tree, up to b's immediate post-dominator.
     """
     forks = cfg.groupBy("code_id", "src").agg(F.countDistinct("dst").alias("n")).where("n > 1").drop("n")
-    edge = cfg.join(forks, ["code_id", "src"]).select("code_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), outcome(F.col("kind")).alias("outcome")).distinct()
-    over = pdom.where("pdom <> 0")
-    edge = edge.join(over.select("code_id", F.col("block_id").alias("src"), F.col("pdom").alias("dst")), ["code_id", "src", "dst"], "left_anti")
-    reached = edge.join(over.select("code_id", F.col("block_id").alias("dst"), F.col("pdom").alias("dependent")), ["code_id", "dst"])
-    above = over.where("pdom <> block_id").select("code_id", F.col("block_id").alias("src"), F.col("pdom").alias("dependent"))
-    return reached.join(above, ["code_id", "src", "dependent"], "left_anti").select("code_id", F.col("src").alias("controller"), "dependent", "outcome").distinct()
+    edge = cfg.join(forks, ["code_id", "src"]).select("code_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), outcome(F.col("kind")).alias("outcome")).where("src <> dst").distinct()
+
+    def run(edges, tree):
+        above = dict(zip(tree["block_id"].to_pylist(), tree["ipdom"].to_pylist(), strict=True))
+        rows, seen = [], {}
+        for src, dst, how in zip(*(edges[c].to_pylist() for c in ("src", "dst", "outcome")), strict=True):
+            done = seen.setdefault((src, how), set())
+            while dst not in (0, above[src]) and dst not in done:
+                done.add(dst)
+                rows.append((src, dst, how))
+                dst = above[dst]
+        a, b, o = zip(*rows, strict=True) if rows else ((), (), ())
+        code = edges["code_id"][0].as_py() if rows else 0
+        return pa.table({"code_id": pa.array([code] * len(rows), pa.int64()), "controller": pa.array(a, pa.int64()), "dependent": pa.array(b, pa.int64()), "outcome": pa.array(o, pa.string())})
+
+    return edge.groupBy("code_id").cogroup(tree.select("code_id", "block_id", "ipdom").groupBy("code_id")).applyInArrow(run, "code_id long, controller long, dependent long, outcome string")
 
 
 def dependents(cdg: DataFrame) -> DataFrame:

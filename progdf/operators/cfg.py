@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from progdf.functions.opcodes import is_suspension, is_terminator, may_raise
 
+from .graphs import BLOCK, Condensed
+
 REGION_SCHEMA = "code_id long, start_off int, end_off int, handler_off int, stack_depth int, exc_items int, push_lasti boolean"
 EDGE_COLUMNS = ("code_id", "src", "dst", "kind", "stack_depth", "exc_items", "push_lasti")
 
@@ -142,32 +144,78 @@ def outgoing(cfg: DataFrame, wanted: DataFrame) -> DataFrame:
     return cfg.join(wanted.select("code_id", F.col("block_id").alias("src")), ["code_id", "src"], "left_semi")
 
 
-def reach_matrix(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Boolean closure of a graph of nodes 0 to n - 1: is there a path of one edge or more?"""
-    r = np.zeros((n, n), bool)
-    r[src, dst] = True
-    while True:
-        new = r | ((r.astype(np.float32) @ r.astype(np.float32)) > 0)
-        if (new == r).all():
-            return r
-        r = new
+def _ends(cfg: DataFrame) -> DataFrame:
+    return cfg.select("code_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 
-def reachability(placed: DataFrame, cfg: DataFrame) -> DataFrame:
-    """(code_id, src, dst): block dst can be reached from src by at least one edge. One small graph for each code."""
+def _condensed(t: pa.Table) -> Condensed:
+    src, dst = t["src"].to_numpy() - 1, t["dst"].to_numpy() - 1
+    return Condensed(int(max(src.max(), dst.max())) + 1, src, dst)
+
+
+def _codes(t: pa.Table, n: int) -> pa.Array:
+    return pa.array(np.full(n, t["code_id"][0].as_py(), np.int64))
 
-    def run(t: pa.Table) -> pa.Table:
-        src, dst = t["src"].to_numpy() - 1, t["dst"].to_numpy() - 1
-        a, b = np.nonzero(reach_matrix(int(max(src.max(), dst.max())) + 1, src, dst))
-        return pa.table({"code_id": pa.array(np.full(len(a), t["code_id"][0].as_py())), "src": a + 1, "dst": b + 1})
+
+def reachability(placed: DataFrame, cfg: DataFrame) -> DataFrame:
+    """(code_id, src, dst): block dst can be reached from src by at least one edge. All pairs; reaches(), reach_counts() and cyclic_blocks() do without them."""
+
+    def run(t):
+        g, a, b = _condensed(t), [], []
+        for low, bits in g.reached():
+            wide = [np.flatnonzero(np.unpackbits(np.frombuffer(x.to_bytes(BLOCK // 8, "little"), np.uint8), bitorder="little")) + low for x in bits]
+            for v, c in enumerate(g.comp.tolist()):
+                a.append(np.full(len(wide[c]), v))
+                b.append(wide[c])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"code_id": _codes(t, len(a)), "src": a + 1, "dst": b + 1})
 
     del placed
-    return cfg.select("code_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy("code_id").applyInArrow(run, "code_id long, src long, dst long")
+    return _ends(cfg).groupBy("code_id").applyInArrow(run, "code_id long, src long, dst long")
+
+
+def reach_counts(cfg: DataFrame) -> DataFrame:
+    """(code_id, src, n_reached) of the blocks with successors, without making the pairs."""
 
+    def run(t):
+        g = _condensed(t)
+        n = np.zeros(g.count, np.int64)
+        for _, bits in g.reached():
+            n += np.array([x.bit_count() for x in bits])
+        src = np.unique(t["src"].to_numpy())
+        return pa.table({"code_id": _codes(t, len(src)), "src": src, "n_reached": n[g.comp[src - 1]]})
 
-def cyclic_blocks(reach: DataFrame) -> DataFrame:
+    return _ends(cfg).groupBy("code_id").applyInArrow(run, "code_id long, src long, n_reached long")
+
+
+def reaches(cfg: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (code_id, src, dst) rows, once each, with holds: is there a way from src to dst of one edge or more?"""
+
+    def run(edges, asked):
+        src, dst = asked["from"].to_numpy(), asked["to"].to_numpy()
+        holds = np.zeros(len(src), bool)
+        if edges.num_rows:
+            g = _condensed(edges)
+            known = np.flatnonzero((np.minimum(src, dst) >= 1) & (np.maximum(src, dst) <= g.n))
+            for low, bits in g.reached():
+                for i in known[(dst[known] > low) & (dst[known] <= low + BLOCK)].tolist():
+                    holds[i] = bits[g.comp[src[i] - 1]] >> int(dst[i] - 1 - low) & 1
+        return asked.append_column("holds", pa.array(holds)).rename_columns(["code_id", "src", "dst", "holds"])
+
+    asked = _ends(wanted).where("code_id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").distinct()
+    asked = asked.select(F.col("code_id").alias("code"), F.col("src").alias("from"), F.col("dst").alias("to"))
+    return _ends(cfg).groupBy("code_id").cogroup(asked.groupBy("code")).applyInArrow(run, "code_id long, src long, dst long, holds boolean")
+
+
+def cyclic_blocks(cfg: DataFrame) -> DataFrame:
     """(code_id, block_id) of blocks on a cycle."""
-    return reach.where("src = dst").select("code_id", F.col("src").alias("block_id"))
+
+    def run(t):
+        g = _condensed(t)
+        on = np.flatnonzero(g.cyclic[g.comp])
+        return pa.table({"code_id": _codes(t, len(on)), "block_id": on + 1})
+
+    return _ends(cfg).groupBy("code_id").applyInArrow(run, "code_id long, block_id long")
 
 
 def unassigned_edges(placed: DataFrame, cfg: DataFrame, parameters: DataFrame | None = None) -> DataFrame:

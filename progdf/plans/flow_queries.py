@@ -84,13 +84,18 @@ def cfg_refined(spark, d):
 
 
 def cfg_reach_counts(spark, d):
-    placed, edges, _ = _placed(spark, d)
-    return cfg.reachability(placed, edges).groupBy("code_id", "src").agg(F.count("*").alias("n_reached"))
+    return cfg.reach_counts(_placed(spark, d)[1])
 
 
 def cfg_cyclic_blocks(spark, d):
+    return cfg.cyclic_blocks(_placed(spark, d)[1])
+
+
+def cfg_reaches(spark, d):
+    """For every block: does it reach the block after it, and does that reach it?"""
     placed, edges, _ = _placed(spark, d)
-    return cfg.cyclic_blocks(cfg.reachability(placed, edges))
+    b = cfg.blocks(placed).select("code_id", F.col("block_id").cast("long").alias("src"), (F.col("block_id") + 1).cast("long").alias("dst"))
+    return cfg.reaches(edges, b.unionByName(b.select("code_id", F.col("dst").alias("src"), F.col("src").alias("dst"))))
 
 
 def _pdom(spark, d, with_regions=False, endless=False):
@@ -120,8 +125,7 @@ def cdg_postdominates(spark, d):
 
 
 def cdg_tree_violations(spark, d):
-    _, pdom = _pdom(spark, d, endless=True)
-    return cdg.tree_violations(cdg.immediate(pdom), pdom)
+    return cdg.tree_violations(_pdom(spark, d, endless=True)[1])
 
 
 def cdg_edges(spark, d):
@@ -151,7 +155,7 @@ def cdg_has_edge(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     cfg_branch_fanout, program_violations, cfg_leaders, cfg_blocks, cfg_edges, cfg_edges_exceptions, cfg_graph_violations, cfg_neighbours, cfg_block_lookup, cfg_instruction_lookup,
-    cfg_outgoing, cfg_refined, cfg_reach_counts, cfg_cyclic_blocks, cdg_ipdom, cdg_ipdom_endless, cdg_postdominators, cdg_postdominates, cdg_tree_violations, cdg_edges,
+    cfg_outgoing, cfg_refined, cfg_reach_counts, cfg_cyclic_blocks, cfg_reaches, cdg_ipdom, cdg_ipdom_endless, cdg_postdominators, cdg_postdominates, cdg_tree_violations, cdg_edges,
     cdg_edges_exceptions, cdg_edges_endless, cdg_neighbours, cdg_has_edge,
 )}
 
@@ -184,6 +188,8 @@ SELECT e.code_id, e.src, e.dst, e.kind FROM edges e JOIN placed l ON l.code_id =
     AND NOT EXISTS (SELECT 1 FROM placed p WHERE p.code_id = e.code_id AND p.block_id = e.src AND p.opcode = 'StoreLocal' AND p.symbol = l.symbol))""",
     "cfg_reach_counts": f"{_R}{PLAIN}{X.REACH_SQL} SELECT code_id, src, count(*) AS n_reached FROM reach GROUP BY code_id, src",
     "cfg_cyclic_blocks": f"{_R}{PLAIN}{X.REACH_SQL} SELECT code_id, src AS block_id FROM reach WHERE src = dst",
+    "cfg_reaches": f"""{_R}{PLAIN}{X.REACH_SQL}, w AS (SELECT code_id, block_id AS src, block_id + 1 AS dst FROM blocks UNION SELECT code_id, block_id + 1, block_id FROM blocks)
+SELECT w.code_id, w.src, w.dst, r.src IS NOT NULL AS holds FROM w LEFT JOIN reach r ON r.code_id = w.code_id AND r.src = w.src AND r.dst = w.dst""",
     "cdg_ipdom": f"{_R}{PLAIN}{X.PDOM_SQL} SELECT * FROM ipdom",
     "cdg_ipdom_endless": f"{_R}{ENDLESS}{X.PDOM_SQL} SELECT * FROM ipdom",
     "cdg_postdominators": f"{_R}{PLAIN}{X.PDOM_SQL} SELECT code_id, block_id, string_agg(pdom, ',' ORDER BY pdom) AS postdominators FROM pdom WHERE pdom <> 0 GROUP BY code_id, block_id",
