@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 EXTENDED_ARG, CACHE = own.opmap["EXTENDED_ARG"], own.opmap["CACHE"]
 
 #: Python 3.13: name -> (semantic operation, operand kind, stack in, stack out). Negative stack numbers are rules of effect().
-N, COUNT, MAP, CONST_MAP, UNPACK, UNPACK_EX, FORMAT, EX_CALL, CALL = 0, -1, -2, -3, -4, -5, -6, -7, -8
+N, COUNT, MAP, CONST_MAP, UNPACK, UNPACK_EX, FORMAT, EX_CALL, CALL, CALL_310, EX_CALL_310, MAKE_310 = 0, -1, -2, -3, -4, -5, -6, -7, -8, -9, -10, -11
+DIMENSION_SCHEMA = "version string, opcode int, name string, op string, operand string, stack_in_rule int, stack_out_rule int, extra int"
 OPCODES_313 = {
     **{n: ("Nop", "none", 0, 0) for n in ("NOP", "RESUME", "COPY_FREE_VARS", "SETUP_ANNOTATIONS", "MAKE_CELL")},
     "LOAD_CONST": ("LoadConst", "const", 0, 1), "LOAD_ASSERTION_ERROR": ("LoadLiteral", "none", 0, 1), "RETURN_GENERATOR": ("LoadLiteral", "none", 0, 1),
@@ -42,7 +43,7 @@ CACHED_JUMPS = ("JUMP_BACKWARD", "POP_JUMP_IF_TRUE", "POP_JUMP_IF_FALSE", "POP_J
 def dimension(spark: SparkSession, version: str = "3.13") -> DataFrame:
     """(version, opcode, name, op, operand, stack_in_rule, stack_out_rule, extra): a row for each opcode."""
     rows = [(version, own.opmap[n], n, *spec, 2 if n in CACHED_JUMPS else 0) for n, spec in OPCODES_313.items() if n in own.opmap]
-    return spark.createDataFrame(rows, "version string, opcode int, name string, op string, operand string, stack_in_rule int, stack_out_rule int, extra int")
+    return spark.createDataFrame(rows, DIMENSION_SCHEMA)
 
 
 def byte(code: Column, i: Column) -> Column:
@@ -57,7 +58,7 @@ def violations(codes: DataFrame) -> DataFrame:
     return odd.unionByName(codes.where((n % 2 == 0) & (n > 0)).where(byte(F.col("code"), n - 2) == EXTENDED_ARG).select("code_id", F.lit("prefix without instruction").alias("problem")))
 
 
-def wordcode(codes: DataFrame, omit_caches: bool = True) -> DataFrame:
+def wordcode(codes: DataFrame, omit_caches: bool = True, extended_arg: int = EXTENDED_ARG) -> DataFrame:
     """(code_id, off, opcode, arg, prefix_size) of (code_id, code) rows.
 
     Units run in islands of prefixes and the instruction that they extend; off is the island's first byte.
@@ -65,7 +66,7 @@ def wordcode(codes: DataFrame, omit_caches: bool = True) -> DataFrame:
     unit = codes.where("length(code) > 1").select("code_id", "code", F.explode(F.sequence(F.lit(0), (F.length("code") / 2).cast("int") - 1)).alias("u"))
     unit = unit.select("code_id", "u", byte(F.col("code"), F.col("u") * 2).alias("opcode"), byte(F.col("code"), F.col("u") * 2 + 1).cast("long").alias("value"))
     w = Window.partitionBy("code_id").orderBy("u")
-    ends = (F.col("opcode") != EXTENDED_ARG).cast("int")
+    ends = (F.col("opcode") != extended_arg).cast("int")
     unit = unit.withColumn("island", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = F.max("u").over(Window.partitionBy("code_id", "island"))
     unit = unit.withColumn("place", top - F.col("u"))
@@ -79,6 +80,7 @@ def effect(rule: Column, arg: Column) -> Column:
     return (
         F.when(rule >= 0, rule).when(rule == COUNT, arg).when(rule == MAP, 2 * arg).when(rule == CONST_MAP, arg + 1).when(rule == UNPACK, arg)
         .when(rule == UNPACK_EX, F.expr("(arg & 255) + (arg >> 8) + 1")).when(rule == FORMAT, 1 + F.shiftright(arg, 2).bitwiseAND(F.lit(1))).when(rule == EX_CALL, 3 + arg % 2).when(rule == CALL, arg + 2)
+        .when(rule == CALL_310, arg + 1).when(rule == EX_CALL_310, 2 + arg % 2).when(rule == MAKE_310, 2 + F.bit_count(arg.bitwiseAND(F.lit(15))))
     ).cast("int")
 
 
@@ -88,29 +90,30 @@ def lift(raw: DataFrame, codes: DataFrame, dim: DataFrame) -> DataFrame:
     codes: code_id, names, locals, derefs, const_kinds, const_texts.
     """
     x = raw.withColumnRenamed("opcode", "number").join(F.broadcast(dim.withColumnRenamed("opcode", "number")), "number", "left")
-    x = x.join(codes.select("code_id", "names", "locals", "derefs", "const_kinds", "const_texts"), "code_id")
+    cells = F.concat("cells", "frees") if {"cells", "frees"} <= set(codes.columns) else F.slice("derefs", F.size("locals") + 1, F.size("derefs"))
+    x = x.join(codes.select("code_id", "names", "locals", "derefs", "const_kinds", "const_texts", cells.alias("cells")), "code_id")
     w = Window.partitionBy("code_id").orderBy("off")
     i = F.col("arg").cast("int")
     at = lambda c, k: F.get(F.col(c), k)
     kind = F.col("operand")
     symbol = (
         F.when(kind == "name", at("names", i)).when(kind == "name1", at("names", F.shiftright(i, 1))).when(kind == "name2", at("names", F.shiftright(i, 2))).when(kind == "local", at("derefs", i))
-        .when(kind == "pair", at("derefs", F.shiftright(i, 4)))
+        .when(kind == "pair", at("derefs", F.shiftright(i, 4))).when(kind == "cell", at("cells", i))
     )
     after = F.col("off") + F.col("prefix_size") * 2 + 2 + F.col("extra")
-    jump = F.when(kind == "jump", after + 2 * i).when(kind == "back", after - 2 * i)
-    marker = F.when((F.col("name") == "LOAD_GLOBAL") | (F.col("name") == "LOAD_ATTR"), i % 2).when(F.col("name") == "LOAD_SUPER_ATTR", i % 2).otherwise(0)
-    x = x.withColumns({"idx": F.row_number().over(w) - 1, "opcode": F.coalesce("op", F.lit("Unsupported")), "symbol": symbol, "secondary_symbol": F.when(kind == "pair", at("derefs", i % 16)), "jump_target": jump})
+    jump = F.when(kind == "jump", after + 2 * i).when(kind == "back", after - 2 * i).when(kind == "abs", 2 * i)
+    marker = F.when(kind.isin("name1", "name2"), i % 2).otherwise(0)
+    x = x.withColumns({"idx": F.row_number().over(w) - 1, "opcode": F.coalesce("op", F.lit("Unsupported")), "symbol": symbol, "secondary_symbol": F.when(kind == "pair", at("derefs", i % 16)), "jump_target": jump, "handler": F.when(kind == "setup", after + 2 * i)})
     x = x.withColumns({
-        "jump_on_true": F.when(F.col("opcode") == "ConditionalBranch", F.col("name").isin("POP_JUMP_IF_TRUE", "POP_JUMP_IF_NONE")), "clears": F.coalesce(F.col("name") == "LOAD_FAST_AND_CLEAR", F.lit(False)),
+        "jump_on_true": F.when(F.col("opcode") == "ConditionalBranch", F.col("name").isin("POP_JUMP_IF_TRUE", "POP_JUMP_IF_NONE", "JUMP_IF_TRUE_OR_POP")), "clears": F.coalesce(F.col("name") == "LOAD_FAST_AND_CLEAR", F.lit(False)),
         "stack_in": effect(F.col("stack_in_rule"), F.col("arg")) + F.when(F.col("name") == "CALL_KW", 1).otherwise(0), "stack_out": effect(F.col("stack_out_rule"), F.col("arg")) + marker,
         "const_kind": F.when(kind == "const", at("const_kinds", i)), "const_text": F.when(kind == "const", at("const_texts", i)),
     })
     x = x.withColumns({
-        "keyword_names": F.when(F.col("name") == "CALL_KW", F.split(F.lag("const_text").over(w), "\x1f")), "import_level": F.when(F.col("opcode") == "ImportModule", F.lag("const_text", 2).over(w).cast("int")),
+        "keyword_names": F.when(F.col("name").isin("CALL_KW", "CALL_FUNCTION_KW"), F.split(F.lag("const_text").over(w), "\x1f")), "import_level": F.when(F.col("opcode") == "ImportModule", F.lag("const_text", 2).over(w).cast("int")),
         "has_fromlist": F.when(F.col("opcode") == "ImportModule", F.lag("const_kind", 1).over(w) == "strings"),
     })
-    return x.select("code_id", "idx", "off", "name", "opcode", i.alias("operand"), "symbol", "secondary_symbol", "jump_target", "jump_on_true", "clears", "stack_in", "stack_out", "const_kind", "const_text", "keyword_names", "import_level", "has_fromlist")
+    return x.select("code_id", "idx", "off", "name", "opcode", i.alias("operand"), "symbol", "secondary_symbol", "jump_target", "jump_on_true", "clears", "stack_in", "stack_out", "const_kind", "const_text", "keyword_names", "import_level", "has_fromlist", "handler")
 
 
 def exception_regions(codes: DataFrame) -> DataFrame:

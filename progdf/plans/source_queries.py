@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progdf.operators import decode
+from progdf.operators import decode, legacy
 from progdf.sources import ingest
 
 from . import encodings as X
@@ -55,12 +55,51 @@ def wordcode_violations(spark, d):
     return decode.violations(c).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (module_names, relative_imports, source_lines, escaping_paths, wordcode_instructions, wordcode_violations)}
+def _legacy_codes(spark, d):
+    """Each user's events as wordcode of 3.10, in stretches of eight: the second unit of a stretch is a SETUP whose handler is in the stretch, and jumps leave no stretch but for its end."""
+    i = X.instructions(spark, d).withColumn("p", F.col("idx") % 8)
+    k, more = F.col("k"), F.col("idx") + 2 < F.col("n")
+    plain = F.when(k % 3 == 0, 4).when(k % 3 == 1, 2).otherwise(100)
+    op = (
+        F.when(F.col("idx") == F.col("n") - 1, 83).when(F.col("p") == 0, 100).when(F.col("p") == 1, F.when(k % 3 == 0, 122).when(k % 3 == 1, 143).otherwise(154)).when(F.col("p") == 2, 124)
+        .when((F.col("p") == 4) & (k % 7 == 0) & more, 93).when((F.col("p") == 6) & (k % 5 == 0) & more & (F.col("idx") < 250), 113).when(F.col("p") == 6, 100).when(F.col("p") == 7, 125).otherwise(plain)
+    )
+    arg = F.when(op == 93, 1).when(op == 113, F.col("idx") + 2).when(F.col("p") == 1, k % 4 + 1).otherwise(0)
+    pair = F.concat(F.lpad(F.hex(op), 2, "0"), F.lpad(F.hex(arg), 2, "0"))
+    out = i.groupBy("code_id").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", pair.alias("h")))), lambda s: s["h"]), "")).alias("code"))
+    none = F.array().cast("array<string>")
+    return out.withColumns({c: none for c in ("names", "locals", "derefs", "const_kinds", "const_texts")})
+
+
+def legacy_regions(spark, d):
+    """Exception regions of programs of 3.10, with the depth of the stack below them."""
+    codes = _legacy_codes(spark, d)
+    return legacy.exception_regions(legacy.lifted(decode.wordcode(codes, False, legacy.EXTENDED_ARG), codes)).select("code_id", "start_off", "end_off", "handler_off", "stack_depth", "exc_items")
+
+
+QUERIES = {f.__name__: f for f in (legacy_regions, module_names, relative_imports, source_lines, escaping_paths, wordcode_instructions, wordcode_violations)}
 
 _PATHS = r"""paths AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^?#]*)', 1), '[^A-Za-z0-9/]+', '_', 'g'), '/+$', '') AS stem FROM pages),
 mods AS (SELECT page_id, array_to_string(list_filter(string_split(stem, '/'), lambda x: x NOT IN ('', '.', '__init__', '__pycache__')), '.') AS module FROM paths)"""
 _BYTES = f"""b AS (SELECT code_id, idx, n, CASE WHEN idx = n - 1 THEN 1 WHEN k % 11 = 0 THEN {decode.EXTENDED_ARG} WHEN k % 13 = 0 THEN {decode.CACHE} ELSE k % 40 + 2 END AS op, (k * 7) % 256 AS v FROM instr)"""
 ORACLES = {
+    # waves of a breadth-first walk, each in the order of the wave before and of handler, jump, next; later visits never come first
+    "legacy_regions": f"""WITH RECURSIVE {X.instructions_sql()}, prog AS (SELECT code_id, idx, n, k, CASE WHEN idx = n - 1 THEN 83 WHEN idx % 8 = 0 THEN 100 WHEN idx % 8 = 1 THEN CASE k % 3 WHEN 0 THEN 122 WHEN 1 THEN 143 ELSE 154 END WHEN idx % 8 = 2 THEN 124
+  WHEN idx % 8 = 4 AND k % 7 = 0 AND idx + 2 < n THEN 93 WHEN idx % 8 = 6 AND k % 5 = 0 AND idx + 2 < n AND idx < 250 THEN 113 WHEN idx % 8 = 6 THEN 100 WHEN idx % 8 = 7 THEN 125 ELSE CASE k % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 100 END END AS op FROM instr
+), setups AS (SELECT code_id, idx, op, n, idx + 2 + k % 4 AS handler FROM prog WHERE op IN (122, 143, 154)
+), ways AS (
+  SELECT m.code_id, m.idx AS src, s.handler AS dst, 0 AS place, 6 AS delta FROM prog m JOIN setups s ON s.code_id = m.code_id AND m.idx > s.idx AND m.idx < s.handler AND s.handler < s.n
+  UNION ALL SELECT code_id, idx, idx + 2, 1, CASE op WHEN 93 THEN -1 ELSE 0 END FROM prog WHERE op IN (93, 113)
+  UNION ALL SELECT code_id, idx, idx + 1, 2, CASE WHEN op IN (4, 93, 100, 124, 143) THEN 1 WHEN op = 125 THEN -1 ELSE 0 END FROM prog WHERE op NOT IN (83, 113)
+), steps AS (SELECT w.*, p.op FROM ways w JOIN prog p ON p.code_id = w.code_id AND p.idx = w.src
+), walk AS (
+  SELECT code_id, 0 AS wave, 0 AS node, 0 AS depth, 0 AS below, CAST(1 AS BIGINT) AS place FROM prog WHERE idx = 0
+  UNION ALL SELECT code_id, wave + 1, dst, CASE step WHEN 0 THEN below ELSE depth END + delta, below, row_number() OVER (PARTITION BY code_id ORDER BY place, step)
+  FROM (SELECT w.code_id, w.wave, s.dst, w.depth, s.delta, w.place, s.place AS step, CASE WHEN s.op IN (122, 143) THEN w.depth WHEN s.op = 154 THEN greatest(w.depth - 1, 0) ELSE w.below END AS below
+    FROM walk w JOIN steps s ON s.code_id = w.code_id AND s.src = w.node QUALIFY row_number() OVER (PARTITION BY w.code_id, s.dst ORDER BY w.place, s.place) = 1)
+), visited AS (SELECT code_id, node, arg_min(depth, wave) AS depth FROM walk GROUP BY code_id, node)
+SELECT s.code_id, CAST(2 * (s.idx + 1) AS INT) AS start_off, CAST(2 * s.handler AS INT) AS end_off, CAST(2 * s.handler AS INT) AS handler_off, CAST(coalesce(CASE s.op WHEN 154 THEN greatest(v.depth - 1, 0) ELSE v.depth END, 0) AS INT) AS stack_depth, 6 AS exc_items
+FROM setups s LEFT JOIN visited v ON v.code_id = s.code_id AND v.node = s.idx""",
     "module_names": f"WITH {_PATHS} SELECT * FROM mods",
     "relative_imports": f"""WITH {_PATHS}, l AS (SELECT page_id, string_split(module, '.') AS p, unnest([0, 1, 2, 3]) AS level FROM mods)
 SELECT page_id, level, CASE WHEN level = 0 THEN 'helper' ELSE array_to_string(list_append(p[1:greatest(len(p) - (level - 1), 0)], 'helper'), '.') END AS module FROM l""",
