@@ -17,6 +17,7 @@ def main(args: list[str]) -> int:
     p.add_argument("relation", choices=[*PARTS, "all"])
     p.add_argument("path")
     p.add_argument("--no-profile", action="store_true")
+    p.add_argument("--include", help="regular expression that the relative paths of sources have to contain")
     p.add_argument("--dot", help="folder for DOT documents of the control-flow graphs")
     a = p.parse_args(args)
     from pyspark.sql import SparkSession
@@ -33,7 +34,7 @@ def main(args: list[str]) -> int:
     try:
         with prof.region("load"):
             compiled = a.path.endswith(".pyc")
-            files = ingest.files(spark, a.path, "*.pyc" if compiled else "*.py")
+            files = ingest.files(spark, a.path, "*.pyc" if compiled else "*.py", (lambda rel: rel.rlike(a.include)) if a.include else None)
             root = "" if compiled else ingest.source_root(files)
             rel = F.expr("substring(rel, 5)") if root else F.col("rel")
             files = (files.where("rel LIKE 'src/%'") if root else files).withColumn("module", ingest.module_name(rel))

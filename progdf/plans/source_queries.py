@@ -55,6 +55,29 @@ def wordcode_violations(spark, d):
     return decode.violations(c).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def _compiled(spark, d):
+    """A compiled file for each order: cached with a tag of either kind or with none, or beside its source; its header has the date and the price."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.floor("o_totalprice").cast("long").alias("price"))
+    k = F.col("o_orderkey")
+    folder, stem = F.concat(F.lit("lib/source/p"), (k % 50).cast("string")), F.when(k % 6 == 5, "__init__").otherwise(F.concat(F.lit("m"), k.cast("string")))
+    folder = F.when(k % 6 == 5, F.concat(folder, F.lit("/q"), k.cast("string"))).otherwise(folder)
+    name = F.when(k % 4 == 0, F.concat(F.lit("/__pycache__/"), stem, F.lit(".cpython-313.pyc"))).when(k % 4 == 1, F.concat(F.lit("/__pycache__/"), stem, F.lit(".pypy39.pyc"))).when(k % 4 == 2, F.concat(F.lit("/"), stem, F.lit(".pyc"))).otherwise(F.concat(F.lit("/__pycache__/"), stem, F.lit(".pyc")))
+    four = lambda v: F.concat(*[F.substring(F.lpad(F.hex(v), 8, "0"), i, 2) for i in (7, 5, 3, 1)])
+    head = F.concat(F.lit("A7F30D0A"), four(F.when(k % 9 == 0, 3).otherwise(0).cast("long")), four(F.unix_date("day").cast("long")), four(F.col("price")))
+    o = o.withColumns({"path": F.concat(folder, name), "content": F.unhex(F.when(k % 17 == 0, F.substring(head, 1, 24)).otherwise(F.concat(head, F.lit("E300"))))})
+    sources = o.where(k % 5 != 0).select(F.concat(folder, F.lit("/"), stem, F.lit(".py")).alias("path"), (F.unix_date("day") + (k % 11 == 0).cast("int")).alias("modified"), (F.col("price") + (k % 13 == 0).cast("int")).alias("size"))
+    return o.select("o_orderkey", "path", "content"), sources
+
+
+def source_evidence(spark, d):
+    """What headers of compiled files tell of the sources beside them."""
+    return ingest.source_evidence(*_compiled(spark, d))
+
+
+def module_identities(spark, d):
+    return _compiled(spark, d)[0].select("o_orderkey", ingest.module_identity(F.col("path")).alias("module"))
+
+
 def _legacy_codes(spark, d):
     """Each user's events as wordcode of 3.10, in stretches of eight: the second unit of a stretch is a SETUP whose handler is in the stretch, and jumps leave no stretch but for its end."""
     i = X.instructions(spark, d).withColumn("p", F.col("idx") % 8)
@@ -77,12 +100,19 @@ def legacy_regions(spark, d):
     return legacy.exception_regions(legacy.lifted(decode.wordcode(codes, False, legacy.EXTENDED_ARG), codes)).select("code_id", "start_off", "end_off", "handler_off", "stack_depth", "exc_items")
 
 
-QUERIES = {f.__name__: f for f in (legacy_regions, module_names, relative_imports, source_lines, escaping_paths, wordcode_instructions, wordcode_violations)}
+QUERIES = {f.__name__: f for f in (source_evidence, module_identities, legacy_regions, module_names, relative_imports, source_lines, escaping_paths, wordcode_instructions, wordcode_violations)}
 
 _PATHS = r"""paths AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^?#]*)', 1), '[^A-Za-z0-9/]+', '_', 'g'), '/+$', '') AS stem FROM pages),
 mods AS (SELECT page_id, array_to_string(list_filter(string_split(stem, '/'), lambda x: x NOT IN ('', '.', '__init__', '__pycache__')), '.') AS module FROM paths)"""
 _BYTES = f"""b AS (SELECT code_id, idx, n, CASE WHEN idx = n - 1 THEN 1 WHEN k % 11 = 0 THEN {decode.EXTENDED_ARG} WHEN k % 13 = 0 THEN {decode.CACHE} ELSE k % 40 + 2 END AS op, (k * 7) % 256 AS v FROM instr)"""
+_COMPILED = """f AS (SELECT o_orderkey AS k, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, CAST(floor(o_totalprice) AS BIGINT) AS price, 'p' || (o_orderkey % 50) || CASE WHEN o_orderkey % 6 = 5 THEN '/q' || o_orderkey ELSE '' END AS folder,
+  CASE WHEN o_orderkey % 6 = 5 THEN '__init__' ELSE 'm' || o_orderkey END AS stem FROM orders)"""
 ORACLES = {
+    "source_evidence": f"""WITH {_COMPILED}, g AS (SELECT *, 'lib/source/' || folder || CASE k % 4 WHEN 0 THEN '/__pycache__/' || stem || '.cpython-313.pyc' WHEN 1 THEN '/__pycache__/' || stem || '.pypy39.pyc' WHEN 2 THEN '/' || stem || '.pyc' ELSE '/__pycache__/' || stem || '.pyc' END AS path,
+  k % 4 <> 3 AND k % 5 <> 0 AND k % 17 <> 0 AS headed FROM f), h AS (SELECT *, headed AND k % 9 <> 0 AS timed FROM g)
+SELECT path, CASE WHEN k % 4 <> 3 THEN 'lib/source/' || folder || '/' || stem || '.py' END AS candidate, CASE WHEN k % 4 = 3 THEN 'unverified' WHEN k % 5 = 0 THEN 'absent' WHEN NOT timed THEN 'unverified' WHEN k % 11 <> 0 AND k % 13 <> 0 THEN 'matched' ELSE 'mismatch' END AS status,
+  CAST(CASE WHEN headed THEN CASE WHEN k % 9 = 0 THEN 3 ELSE 0 END END AS BIGINT) AS flags, CASE WHEN timed THEN k % 11 <> 0 END AS timestamp_matches, CASE WHEN timed THEN k % 13 <> 0 END AS size_matches FROM h""",
+    "module_identities": f"""WITH {_COMPILED} SELECT k AS o_orderkey, CASE WHEN k % 4 <> 3 THEN replace(folder, '/', '.') || CASE WHEN stem <> '__init__' THEN '.' || stem ELSE '' END END AS module FROM f""",
     # waves of a breadth-first walk, each in the order of the wave before and of handler, jump, next; later visits never come first
     "legacy_regions": f"""WITH RECURSIVE {X.instructions_sql()}, prog AS (SELECT code_id, idx, n, k, CASE WHEN idx = n - 1 THEN 83 WHEN idx % 8 = 0 THEN 100 WHEN idx % 8 = 1 THEN CASE k % 3 WHEN 0 THEN 122 WHEN 1 THEN 143 ELSE 154 END WHEN idx % 8 = 2 THEN 124
   WHEN idx % 8 = 4 AND k % 7 = 0 AND idx + 2 < n THEN 93 WHEN idx % 8 = 6 AND k % 5 = 0 AND idx + 2 < n AND idx < 250 THEN 113 WHEN idx % 8 = 6 THEN 100 WHEN idx % 8 = 7 THEN 125 ELSE CASE k % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 100 END END AS op FROM instr

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,8 +49,11 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(data, pa.binary()), pa.array([len(x) for x in data], pa.int64())], ["path", "content", "length"])
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """(path, rel, content, size) of files under root, or root itself; rel is below root. Only paths are listed on the driver."""
+def files(spark: SparkSession, root: str, pattern: str = "*.py", include: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, rel, content, size) of files under root, or root itself; rel is below root. Only paths are listed on the driver.
+
+    include: a condition on rel; what it denies, or leaves null, is no source.
+    """
     paths = _paths(spark, root, pattern.lstrip("*"))
     hidden = [p for p in paths if p.rsplit("/", 1)[-1].startswith("_")]
     seen = [p for p in paths if p not in set(hidden)]
@@ -59,7 +63,8 @@ def files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
     base = F.lit(root.rstrip("/").removeprefix("file:").removeprefix("//"))
     path = F.regexp_replace("path", "^file:/*", "/")
     rel = F.when(path.startswith(F.concat(base, F.lit("/"))), F.substr(path, F.length(base) + 2)).otherwise(F.element_at(F.split(path, "/"), -1))
-    return df.select(path.alias("path"), rel.alias("rel"), "content", F.col("length").alias("size"))
+    out = df.select(path.alias("path"), rel.alias("rel"), "content", F.col("length").alias("size"))
+    return out.where(include(F.col("rel"))) if include else out
 
 
 def source_root(df: DataFrame, explicit: bool = False) -> str:
@@ -196,6 +201,53 @@ def classified(inv: DataFrame, magics: DataFrame) -> DataFrame:
     return out.withColumn("classification", F.when(F.col("size") < 16, "invalid").when(F.col("version").isNotNull(), "supported").when(tag == "pypy", "pypy").when(tag == "cpython", "cpython-other").otherwise("unknown"))
 
 
+def _stem(name: Column) -> Column:
+    """What stands before the interpreter's tag in the name of a cached file, null without tag."""
+    return F.coalesce(*[F.when(F.contains(name, F.lit(tag)), F.substring_index(name, tag, 1)) for tag in (".cpython-", ".pypy")])
+
+
+def source_candidate(path: Column) -> Column:
+    """Where the source of a compiled file would be: above its __pycache__, or beside it; null if its name does not tell."""
+    at = F.split(path, "/")
+    name, folder = F.element_at(at, -1), F.slice(at, 1, F.size(at) - 1)
+    cached = F.size(folder) > 0
+    above = F.array_join(F.concat(F.slice(folder, 1, F.greatest(F.size(folder) - 1, F.lit(0))), F.array(F.concat(_stem(name), F.lit(".py")))), "/")
+    return F.when(~path.endswith(".pyc"), None).when(cached & (F.get(folder, F.size(folder) - 1) == "__pycache__"), F.when(_stem(name).isNotNull(), above)).otherwise(F.regexp_replace(path, "c$", ""))
+
+
+def module_identity(rel: Column) -> Column:
+    """Dotted name of a source or cached file by its path below the first folder called source; null without one."""
+    parts = F.split(rel, "/")
+    place = F.array_position(parts, "source").cast("int")
+    rest = F.slice(parts, place + 1, F.size(parts))
+    last, n = F.get(rest, F.size(rest) - 1), F.size(rest)
+    cached = (n >= 2) & (F.get(rest, n - 2) == "__pycache__")
+    name = F.when(cached, _stem(last)).otherwise(F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""))
+    folders = F.slice(rest, 1, F.greatest(n - F.when(cached, 2).otherwise(1), F.lit(0)))
+    return F.when((place > 0) & (n > 0) & name.isNotNull(), F.array_join(F.when(name == "__init__", folders).otherwise(F.concat(folders, F.array(name))), "."))
+
+
+def source_evidence(compiled: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, candidate, status, flags, timestamp_matches, size_matches) of compiled (path, content) files against sources (path, modified in seconds, size).
+
+    status: absent without a source at the candidate; matched or mismatch by the header's time and size, both of 32 bits;
+    unverified without candidate, with a header of fewer than 16 bytes, or if the header holds no time (its flags are not 0).
+    """
+    h = F.substring("content", 1, 16)
+    number = lambda at: F.conv(F.concat(*[F.hex(F.substring("header", at + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("long")
+    c = compiled.select("path", h.alias("header")).withColumn("candidate", source_candidate(F.col("path")))
+    known = sources.select(F.col("path").alias("candidate"), F.col("modified").cast("long").alias("modified"), F.col("size").cast("long").alias("size"))
+    x = c.join(known, "candidate", "left")
+    there = F.col("size").isNotNull()
+    x = x.withColumn("flags", F.when(there & (F.length("header") == 16), number(4)))
+    low = F.lit(0xFFFFFFFF)
+    timed = F.col("flags") == 0
+    x = x.withColumns({"timestamp_matches": F.when(timed, F.col("modified").bitwiseAND(low) == number(8)), "size_matches": F.when(timed, F.col("size").bitwiseAND(low) == number(12))})
+    both = F.col("timestamp_matches") & F.col("size_matches")
+    status = F.when(F.col("candidate").isNotNull() & ~there, "absent").when(both, "matched").when(~both, "mismatch").otherwise("unverified")
+    return x.select("path", "candidate", status.alias("status"), "flags", "timestamp_matches", "size_matches")
+
+
 def source_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_lines: lines that are neither blank nor comments."""
     return df.withColumn("n_lines", F.size(F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))))

@@ -6,6 +6,8 @@ import types
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from progdf.functions.scratch import saved
 from progdf.operators import cdg, cfg, decode
 from progdf.sources import ingest
@@ -115,3 +117,22 @@ def test_paths_and_imports(spark):
     assert [r[0] for r in df.select(ingest.escapes(ingest.F.col("rel"))).collect()] == [True, False]
     df = spark.createDataFrame([("a.b", 1, "c"), ("a.b", 2, "c"), ("a.b", 0, "c"), ("a.b", 1, None)], "p string, l int, n string")
     assert [r[0] for r in df.select(ingest.relative_import(*map(ingest.F.col, "pln"))).collect()] == ["a.b.c", "a.c", "c", "a.b"]
+
+
+def test_only_sources_that_the_predicate_accepts(spark, tmp_path):
+    for name in ("a.py", "skip/b.py", "skip/__init__.py", "c/d.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    found = ingest.files(spark, str(tmp_path), include=lambda rel: ~rel.startswith("skip/"))
+    assert sorted(r.rel for r in found.collect()) == ["a.py", "c/d.py"]
+    assert ingest.files(spark, str(tmp_path), include=lambda rel: F.lit(None).cast("boolean")).isEmpty()
+
+
+def test_places_and_names_of_compiled_files(spark):
+    paths = {
+        "source/a/__pycache__/b.cpython-310.opt-1.pyc": ("source/a/b.py", "a.b"), "x/source/__pycache__/__init__.pypy39.pyc": ("x/source/__init__.py", ""), "source/a/b.pyc": ("source/a/b.py", "a.b"), "__pycache__/b.cpython-310.pyc": ("b.py", None),
+        "b.pyc": ("b.py", None), "source/__pycache__/b.pyc": (None, None), "source/a.py": (None, "a"), "source": (None, None), "source/source/.x": (None, "source..x"), "": (None, None),
+    }
+    df = spark.createDataFrame([(p,) for p in [*paths, None]], "path string")
+    got = {r.path: (r.c, r.m) for r in df.select("path", ingest.source_candidate(F.col("path")).alias("c"), ingest.module_identity(F.col("path")).alias("m")).collect()}
+    assert got == paths | {None: (None, None)}
