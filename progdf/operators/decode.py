@@ -81,7 +81,7 @@ def effect(rule: Column, arg: Column) -> Column:
         F.when(rule >= 0, rule).when(rule == COUNT, arg).when(rule == MAP, 2 * arg).when(rule == CONST_MAP, arg + 1).when(rule == UNPACK, arg)
         .when(rule == UNPACK_EX, F.expr("(arg & 255) + (arg >> 8) + 1")).when(rule == FORMAT, 1 + F.shiftright(arg, 2).bitwiseAND(F.lit(1))).when(rule == EX_CALL, 3 + arg % 2).when(rule == CALL, arg + 2)
         .when(rule == CALL_310, arg + 1).when(rule == EX_CALL_310, 2 + arg % 2).when(rule == MAKE_310, 2 + F.bit_count(arg.bitwiseAND(F.lit(15))))
-    ).cast("int")
+    ).cast("long")
 
 
 def lift(raw: DataFrame, codes: DataFrame, dim: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def lift(raw: DataFrame, codes: DataFrame, dim: DataFrame) -> DataFrame:
     cells = F.concat("cells", "frees") if {"cells", "frees"} <= set(codes.columns) else F.slice("derefs", F.size("locals") + 1, F.size("derefs"))
     x = x.join(codes.select("code_id", "names", "locals", "derefs", "const_kinds", "const_texts", cells.alias("cells")), "code_id")
     w = Window.partitionBy("code_id").orderBy("off")
-    i = F.col("arg").cast("int")
-    at = lambda c, k: F.get(F.col(c), k)
+    i = F.col("arg")  # four prefixes and more go beyond an int
+    at = lambda c, k: F.get(F.col(c), F.when(k < F.size(c), k).cast("int"))
     kind = F.col("operand")
     symbol = (
         F.when(kind == "name", at("names", i)).when(kind == "name1", at("names", F.shiftright(i, 1))).when(kind == "name2", at("names", F.shiftright(i, 2))).when(kind == "local", at("derefs", i))
