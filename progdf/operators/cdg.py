@@ -41,6 +41,8 @@ def post_dominance(blocks: DataFrame, cfg: DataFrame) -> DataFrame:
 
     def run(t):
         a, b, edge = (t[c].to_numpy() for c in ("a", "b", "edge"))
+        order = np.lexsort((b, a))  # intervals of two evaluations are compared, so they must not depend on the order of rows
+        a, b, edge = a[order], b[order], edge[order]
         n = int(max(a.max(), b.max()))
         idom, enter, leave = (x[:n] for x in _tree(n, a[edge == 1] - 1, b[edge == 1] - 1))
         return pa.table({"code_id": pa.array(np.full(n, t["code_id"][0].as_py(), np.int64)), "block_id": np.arange(1, n + 1), "ipdom": np.where(idom == n, 0, idom + 1), "enter": enter, "leave": leave})
