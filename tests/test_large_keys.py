@@ -30,3 +30,7 @@ def same(spark, data, name):
 
 def test_parts_and_suppliers_are_different_objects(spark, data):
     same(spark, data, "constructor_calls")
+
+
+def test_handlers_of_more_than_three_bytes(spark, data):
+    same(spark, data, "exception_tables")
