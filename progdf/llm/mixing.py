@@ -67,12 +67,14 @@ def newton_step(state: DataFrame, counts: DataFrame, most: float) -> DataFrame:
     """
     rate = F.least(F.exp(F.col("x") * F.col("size")), F.lit(float(most)))
     tokens = (F.col("n") * F.col("size")).cast("double") * rate
-    sums = state.where("NOT done").join(counts, "key").groupBy("key", "target", "x", "lo", "hi")
-    sums = sums.agg(F.sum(tokens).alias("got"), F.sum(F.when(rate < most, tokens * F.col("size")).otherwise(0.0)).alias("slope"))
+    # the state is named once, so that the plan of several steps grows with their number
+    sums = state.join(counts, "key").groupBy("key", "target", "x", "lo", "hi", "done")
+    sums = sums.agg(F.sum(F.when(~F.col("done"), tokens)).alias("got"), F.sum(F.when(F.col("done"), None).when(rate < most, tokens * F.col("size")).otherwise(0.0)).alias("slope"))
     g = F.col("got") - F.col("target")
-    sums = sums.withColumns({"near": F.abs(g) <= NEAR * F.col("target"), "lo": F.when(g > 0, F.col("lo")).otherwise(F.col("x")), "hi": F.when(g > 0, F.col("x")).otherwise(F.col("hi")), "to": F.when(F.col("slope") > 0, F.col("x") - g / F.col("slope"))})
-    x = F.when(F.col("near"), F.col("x")).when((F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi")), F.col("to")).otherwise((F.col("lo") + F.col("hi")) / 2)
-    return state.where("done").unionByName(sums.select("key", "target", x.alias("x"), "lo", "hi", F.col("near").alias("done")))
+    open_ = ~F.col("done")
+    sums = sums.withColumns({"near": F.abs(g) <= NEAR * F.col("target"), "lo": F.when(open_ & (g <= 0), F.col("x")).otherwise(F.col("lo")), "hi": F.when(open_ & (g > 0), F.col("x")).otherwise(F.col("hi")), "to": F.when(F.col("slope") > 0, F.col("x") - g / F.col("slope"))})
+    x = F.when(F.col("done") | F.col("near"), F.col("x")).when((F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi")), F.col("to")).otherwise((F.col("lo") + F.col("hi")) / 2)
+    return sums.select("key", "target", x.alias("x"), "lo", "hi", (F.col("done") | F.col("near")).alias("done"))
 
 
 def tilts(docs: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame:
