@@ -121,8 +121,16 @@ def _same(w: Words, whole: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, n
     return at[start], np.diff(np.append(start, len(at)))
 
 
+def _equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): places ordered by the keys, equal ones by place, and where in that order each new key begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
 def _marks(size: int):
-    """Rows (doc_id, version, mark): the least hash of each run of windows of size words."""
+    """Rows (doc_id, version, mark, n): the least hashes of the runs of windows of size words, each once for a text with the number of its runs."""
 
     def run(batches):
         for batch in batches:
@@ -130,16 +138,22 @@ def _marks(size: int):
                 w, whole, least, g = _windows(text, size)
                 if whole.any():
                     at, _ = _same(w, whole, least)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[w.row[at]], versions[w.row[at]], g[least[at]].view(np.int64))], ["doc_id", "version", "mark"])
+                    row, mark = w.row[at], g[least[at]].view(np.int64)
+                    order, new = _equal(row, mark)
+                    row, mark, n = row[order][new], mark[order][new], np.diff(np.append(new, len(order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], versions[row], mark, n)], ["doc_id", "version", "mark", "n"])
 
     return run
 
 
-RUN = "doc_id long, version long, pos long, len long, mark long, context long, windows array<long>"
+RUN = "doc_id long, version long, pos long, places array<long>, len long, mark long, context long, windows array<long>"
 
 
 def _found(size: int):
-    """Rows RUN of the runs of windows whose mark is among the row's repeated ones; context is a hash of all their words."""
+    """Rows RUN of the runs of windows whose mark is among the row's repeated ones; context is a hash of all their words.
+
+    Runs of a text with the same words, which a repeated pair of words has by hundreds, are one row with all their places, of which pos is the first.
+    """
     names = [x.split()[0] for x in RUN.split(", ")]
 
     def run(batches):
@@ -157,10 +171,13 @@ def _found(size: int):
                 power, inverse = _powers(len(w.hash) + 1)
                 p = np.append(np.uint64(0), np.cumsum(w.hash * power[: len(w.hash)]))
                 context = mix((p[at + n + size - 1] - p[at]) * inverse[at] + n.astype(np.uint64))
+                order, new = _equal(w.row[at], g[least[at]], n, context)
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array((at - w.first[w.row[at]])[order]))
+                at, n, context = (x[order[new]] for x in (at, n, context))
                 bounds = np.append(0, np.cumsum(n))
                 each = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - at, n)
                 windows = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_runs(w, size)[each].view(np.int64)))
-                cols = (ids[w.row[at]], versions[w.row[at]], at - w.first[w.row[at]], n, g[least[at]].view(np.int64), context.view(np.int64))
+                cols = (ids[w.row[at]], versions[w.row[at]], at - w.first[w.row[at]], places, n, g[least[at]].view(np.int64), context.view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), windows], names)
 
     return run
@@ -171,11 +188,12 @@ def repeated_passages(texts: DataFrame, size: int) -> DataFrame:
 
     Runs of windows with the same words are one class, which its earliest member stands for; the windows of classes alone are
     compared one by one, and only where several classes share a mark. So a passage that a great many documents have costs
-    each of them a row for some ten windows, and its windows are compared once.
+    each of them a row for some ten windows, and its windows are compared once; words that repeat within a text cost it no
+    more rows than they have different runs.
     """
     kind = ["mark", "len", "context"]
-    marks = saved(texts.mapInArrow(tidy(_marks(size)), "doc_id long, version long, mark long"), "marks")
-    again = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "again")
+    marks = saved(texts.mapInArrow(tidy(_marks(size)), "doc_id long, version long, mark long, n long"), "marks")
+    again = saved(marks.groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1").select("mark"), "again")
     hot = saved(marks.join(again, "mark").groupBy(*KEY).agg(F.collect_set("mark").alias("marks")), "hot")
     forget(marks, again)
     runs = saved(texts.join(hot, KEY).select(*KEY, "text", "marks").mapInArrow(tidy(_found(size)), RUN), "runs")
@@ -191,29 +209,30 @@ def repeated_passages(texts: DataFrame, size: int) -> DataFrame:
     known = classes.select(*kind, F.struct("first.doc_id", "first.version", "first.pos").alias("first")).join(earlier, kind, "left")
     # a table of its own lets the join split a class of a great many members
     known = saved(known, "known")
-    later = runs.drop("windows").join(known, kind).withColumn("leads", place() == F.col("first")).where("NOT leads OR earlier IS NOT NULL")
+    later = runs.drop("windows").join(known, kind).withColumn("leads", place() == F.col("first")).where("NOT leads OR earlier IS NOT NULL OR size(places) > 1")
     own = lambda x: (x["doc_id"] == F.col("doc_id")) & (x["version"] == F.col("version"))
     nearer = F.transform("earlier", lambda x: F.struct(x["o"].alias("o"), x["at"]["doc_id"].alias("keeper"), own(x["at"]).alias("own"), x["at"]["pos"].alias("at")))
-    run = F.struct("pos", "len", "leads", F.col("first.doc_id").alias("keeper"), own(F.col("first")).alias("own"), F.col("first.pos").alias("at"), nearer.alias("earlier"))
+    run = F.struct("places", "len", "leads", F.col("first.doc_id").alias("keeper"), own(F.col("first")).alias("own"), F.col("first.pos").alias("at"), nearer.alias("earlier"))
     out = saved(later.groupBy(*KEY).agg(F.collect_set(run).alias("passages")), "passages")
     forget(runs, classes, earlier, known)
     return out
 
 
 def _spans(runs, size: int) -> list[tuple[int, int, int]]:
-    """Words [from, to) to remove and the keeper, for each window of the runs that stands earlier, in order.
+    """Words [from, to) to remove and the keeper, for each window of the runs that stands earlier, in order; only the first place of a run leads.
 
     Where a window overlaps its own first occurrence, only what lies after that goes.
     """
     out = []
     for r in runs:
         nearer = {x["o"]: (x["keeper"], x["own"], x["at"]) for x in r["earlier"] or ()}
-        for o in range(r["len"]):
-            found = nearer.get(o) or (None if r["leads"] else (r["keeper"], r["own"], r["at"] + o))
-            if found:
-                keeper, own, at = found
-                p = r["pos"] + o
-                out.append((max(p, at + size) if own else p, p + size, keeper))
+        for k, pos in enumerate(r["places"]):
+            for o in range(r["len"]):
+                found = nearer.get(o) or (None if r["leads"] and k == 0 else (r["keeper"], r["own"], r["at"] + o))
+                if found:
+                    keeper, own, at = found
+                    p = pos + o
+                    out.append((max(p, at + size) if own else p, p + size, keeper))
     return sorted(set(out))
 
 
@@ -274,7 +293,7 @@ def remove_repeats(df: DataFrame, unit: str = "line", min_words: int = 1, passag
         drop = saved(lines.join(passages, KEY, "full_outer"), "cuts")
         forget(lines, passages)
     else:
-        kind = "array<struct<pos: bigint, len: bigint, leads: boolean, keeper: bigint, own: boolean, at: bigint, earlier: array<struct<o: bigint, keeper: bigint, own: boolean, at: bigint>>>>"
+        kind = "array<struct<places: array<bigint>, len: bigint, leads: boolean, keeper: bigint, own: boolean, at: bigint, earlier: array<struct<o: bigint, keeper: bigint, own: boolean, at: bigint>>>>"
         drop = saved(lines.withColumn("passages", F.lit(None).cast(kind)), "cuts")
         forget(lines)
     drop = drop.toDF(*[f"{own}{c}" for c in drop.columns])
