@@ -77,6 +77,37 @@ class Condensed:
             yield low, bits
 
 
+def labels_reached(after: dict, start: list[tuple], end: dict, most: int) -> tuple[list, list, list[int]]:
+    """(sources, targets, steps) side by side: from the nodes of which source labels those of which target labels are reached by an edge or more, and by how few.
+
+    after: the successors of a node; start: (label, node) pairs; end: the target labels of a node. All labels go together, a bit each.
+    """
+    labels = list({label: None for label, _ in start})
+    bit, now = {label: 1 << i for i, label in enumerate(labels)}, {}
+    for label, node in start:
+        now[node] = now.get(node, 0) | bit[label]
+    seen, hit, rows = {}, {}, ([], [], [])
+    for steps in range(1, most + 1):
+        new = {}
+        for v, bits in now.items():
+            for w in after.get(v, ()):
+                new[w] = new.get(w, 0) | bits
+        now = {w: b for w, bits in new.items() if (b := bits & ~seen.get(w, 0))}
+        if not now:
+            return rows
+        for w, bits in now.items():
+            seen[w] = seen.get(w, 0) | bits
+            for target in end.get(w, ()):
+                b = bits & ~hit.get(target, 0)
+                hit[target] = hit.get(target, 0) | b
+                while b:
+                    low = b & -b
+                    b ^= low
+                    for column, x in zip(rows, (labels[low.bit_length() - 1], target, steps), strict=True):
+                        column.append(x)
+    raise RuntimeError(f"paths of more than {most} edges")
+
+
 def dominators(n: int, root: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(idom, enter, leave): each node's immediate dominator, -1 for the root and what it does not reach, and its interval in the tree.
 

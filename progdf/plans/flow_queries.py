@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from progdf.functions.scratch import saved
 from progdf.operators import cdg, cfg
 
 from . import encodings as X
@@ -98,8 +99,16 @@ def cfg_reaches(spark, d):
     return cfg.reaches(edges, b.unionByName(b.select("code_id", F.col("dst").alias("src"), F.col("src").alias("dst"))))
 
 
+def kept(spark, d, with_regions=False, endless=False):
+    """(placed, edges), each written once, for what reads them several times."""
+    instr = X.instructions(spark, d, endless)
+    regions = X.regions(instr) if with_regions else None
+    placed = saved(cfg.with_blocks(instr, regions), "placed")
+    return placed, saved(cfg.edges(placed, regions), "edges")
+
+
 def _pdom(spark, d, with_regions=False, endless=False):
-    placed, edges, _ = _placed(spark, d, with_regions, endless)
+    placed, edges = kept(spark, d, with_regions, endless)
     return edges, cdg.post_dominance(cfg.blocks(placed), edges)
 
 

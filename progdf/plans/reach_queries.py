@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from progdf.functions.scratch import saved
 from progdf.operators import cfg, reach
 
 from . import flow_queries, package_queries
@@ -12,6 +13,7 @@ from . import flow_queries, package_queries
 def cdg_reached(spark, d):
     """Which groups of blocks, by number modulo 3, control which, by number modulo 4, directly or not."""
     e = flow_queries.cdg_edges(spark, d).select(F.col("code_id").alias("graph"), F.col("controller").alias("src"), F.col("dependent").alias("dst"))
+    e = saved(e, "dependence")  # edges and both kinds of labels are made of it
     nodes = e.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
     group = lambda k: nodes.select("graph", (F.col("node") % k).alias("label"), "node")
     return reach.reached(e, group(3), group(4)).select(F.col("graph").alias("code_id"), "source", "target")
@@ -27,7 +29,7 @@ def ddg_reached(spark, d):
 
 def cfg_paths_hold(spark, d):
     """Ways through blocks: the first, the middle and the last one, and the last, the first and the second one."""
-    placed, edges, _ = flow_queries._placed(spark, d)
+    placed, edges = flow_queries.kept(spark, d)
     n = cfg.blocks(placed).groupBy("code_id").agg(F.max("block_id").cast("long").alias("n"))
     one = F.lit(1).cast("long")
     ways = n.select("code_id", F.explode(F.array(F.struct(F.lit("down").alias("path"), F.array(one, F.expr("n div 2 + 1"), "n").alias("nodes")), F.struct(F.lit("back").alias("path"), F.array(F.col("n"), one, F.least(F.lit(2).cast("long"), "n")).alias("nodes")))).alias("w"))
