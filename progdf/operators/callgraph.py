@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,9 +159,51 @@ def path_variants(branches: DataFrame, most: int = 16) -> DataFrame:
 def inherited(classes: DataFrame, own: DataFrame) -> DataFrame:
     """(class, name, owner): each class's members: its own, then those of its bases in order, nearest first.
 
-    classes: (class, base, place). own: (class, name). Fixed point by distance: a nearer definition hides a farther one, of equal distance that of the earlier base. A
-    round for each level of bases; a class that inherits from itself ends like any other, as no member comes twice.
+    classes: (class, base, place). own: (class, name). A nearer definition hides a farther one, of equal distance that of the earlier base.
+    Classes are looked at in the order of their levels, each once, when its bases are whole; where classes inherit from each other in a
+    circle there is no such order, and members come by rounds.
     """
+    edges = saved(classes.select("class", "base", "place").where("class IS NOT NULL AND base IS NOT NULL AND class <> base"), "bases")
+    levels = _levels(edges)
+    if levels is None:
+        return _inherited_by_rounds(classes, own)
+    at = saved(edges.join(levels, "class").join(levels.select(F.col("class").alias("base"), F.col("level").alias("from")), "base", "left").withColumn("from", F.coalesce("from", F.lit(0))), "ways")
+    needed: dict[int, set[int]] = {}
+    for r in at.select("level", "from").distinct().collect():  # pairs of levels
+        needed.setdefault(r["level"], set()).add(r["from"])
+    first = own.select("class", "name").distinct().join(levels, "class", "left")
+    first = saved(first.select("class", "name", F.col("class").alias("owner"), F.lit(0).alias("steps"), F.coalesce("level", F.lit(0)).alias("level")), "own")
+    parts = [saved(first.where("level = 0").drop("level"), "members")]
+    have = Grown(parts[0], "members")
+    for level in range(1, max(needed, default=0) + 1):
+        above = [parts[k].select(F.col("class").alias("base"), "name", "owner", "steps") for k in sorted(needed[level])]
+        up = at.where(F.col("level") == level).select("class", "base", "place").join(functools.reduce(DataFrame.unionByName, above), "base")
+        up = up.select("class", "name", F.struct((F.col("steps") + 1).alias("steps"), "place", "owner").alias("best"))
+        mine = first.where(F.col("level") == level).select("class", "name", F.struct("steps", F.lit(None).cast(edges.schema["place"].dataType).alias("place"), "owner").alias("best"))
+        best = up.unionByName(mine).groupBy("class", "name").agg(F.min("best").alias("best"))
+        parts.append(saved(best.select("class", "name", "best.owner", "best.steps"), "members"))
+        have.add(parts[-1])
+    return have.read().select("class", "name", "owner")
+
+
+def _levels(edges: DataFrame) -> DataFrame | None:
+    """(class, level) of the classes of edges (class, base) that have bases: one more than the highest of them, where those without bases have 0; None if there is a circle."""
+    left = edges.select("class", "base").distinct()
+    found = Grown(edges.sparkSession.createDataFrame([], "class long, level int").select(F.col("class").cast(edges.schema["class"].dataType), "level"), "levels")
+    waiting = saved(left.select("class").distinct(), "waiting")
+    while True:
+        # an edge is left while its base waits itself
+        next_ = saved(left.join(waiting.withColumnRenamed("class", "base"), "base", "left_semi"), "left")
+        rest = saved(next_.select("class").distinct(), "waiting")
+        ready = saved(waiting.join(rest, "class", "left_anti").select("class", F.lit(len(found.paths)).alias("level")), "levels")
+        if ready.isEmpty():
+            return found.read() if waiting.isEmpty() else None
+        found.add(ready)
+        left, waiting = next_, rest
+
+
+def _inherited_by_rounds(classes: DataFrame, own: DataFrame) -> DataFrame:
+    """inherited() as a fixed point by distance: a round for each level of bases; a class that inherits from itself ends like any other, as no member comes twice."""
     new = saved(own.select("class", "name", F.col("class").alias("owner")).distinct(), "members")
     have = Grown(new, "members")
     while True:
