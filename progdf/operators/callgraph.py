@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from progdf.functions import parts
 from progdf.functions.scratch import Grown, forget, numbered, saved
 
 from . import pta
@@ -83,7 +84,13 @@ def on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, forma
 
     A round looks at the sites of bodies reached in it, and at other sites of reached bodies only where their callee's set has grown.
     What is found is stitched as copies between classes of values; formals and results are classes of their own. The edges are those of the last facts.
+    Rounds shuffle all tables but small ones, so that what goes through the driver does not grow with the program.
     """
+    with parts.little_sent(c.spark):
+        return _on_the_fly(c, sites, callables, formals, returns, actuals, results, entries, most, bind)
+
+
+def _on_the_fly(c: pta.Constraints, sites: DataFrame, callables: DataFrame, formals: DataFrame, returns: DataFrame, actuals: DataFrame, results: DataFrame, entries: DataFrame, most: int, bind) -> tuple[DataFrame, DataFrame]:
     spark = c.spark
     later = formals.select("value").unionByName(results.select("value"))
     own, members = pta.shared(c, later)
