@@ -126,8 +126,9 @@ def cg_dot(spark, d):
 
 def _args(spark, d):
     """Call sites of orders: argument per line, names by return flag; bodies by order status."""
-    o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
-    a = line.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("body")), "l_orderkey")
+    # both are dealt by site into tasks of a bounded size, and all that follows stays in these
+    o, line = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("body")), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    a = line.join(o.hint("merge"), "l_orderkey")
     a = a.select(F.col("l_orderkey").alias("site"), "body", (F.col("l_linenumber") - 1).alias("pos"), F.when(F.col("l_returnflag") == "A", F.concat(F.lit("p"), (F.col("l_linenumber") % 5).cast("string"))).alias("keyword"), (F.col("l_orderkey") % 11 == 0).alias("expanded"))
     rows = [("F", 0, "p0", "positional_only"), ("F", 1, "p1", "positional"), ("F", 2, "p2", "positional"), ("F", 3, "args", "varargs"), ("F", 4, "p3", "keyword_only"), ("F", 5, "kw", "kwargs"), ("O", 0, "p0", "positional"), ("O", 1, "p1", "positional"), ("O", 2, "p4", "keyword_only"), ("P", 0, "p0", "positional"), ("P", 1, "rest", "varargs")]
     return a, spark.createDataFrame(rows, "body string, formal_pos int, name string, kind string")
