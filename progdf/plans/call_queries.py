@@ -142,8 +142,7 @@ def binding_pairs(spark, d):
 
 def binding_missing(spark, d):
     a, f = _args(spark, d)
-    a = a.groupBy("site", "body", "pos", "expanded").agg(F.min("keyword").alias("keyword"))
-    return B.missing_defaults(B.bind(a, f), a.select("site", "body").distinct(), f)
+    return B.missing(a.groupBy("site", "body", "pos", "expanded").agg(F.min("keyword").alias("keyword")), f)
 
 
 def protocol_dispatch(spark, d):

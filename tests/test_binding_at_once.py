@@ -44,11 +44,13 @@ def test_rules_on_odd_rows(spark, monkeypatch):
         monkeypatch.setattr(binding, "BODIES", bodies)
         got = [tuple(x) for x in binding.bind(actuals, formals).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        lost = [tuple(x) for x in binding.missing(actuals, formals).collect()]
+        assert len(lost) == len(set(lost)) and set(lost) == gone
         assert {tuple(x) for x in binding.missing_defaults(binding.bind(actuals, formals), actuals.select("site", "body").distinct(), formals).select("site", "body", "formal_pos").collect()} == gone
 
 
 def test_arguments_are_shuffled_by_site_alone(spark):
-    for name in ("binding_pairs",):
+    for name in ("binding_pairs", "binding_missing"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
         assert sorted(dealt) == ["body", "l_orderkey", "l_orderkey"], dealt  # formals by body
