@@ -59,7 +59,8 @@ def violations(instr: DataFrame, regions: DataFrame | None = None) -> DataFrame:
 
 def leaders(instr: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """(code_id, idx): the first instruction of every block."""
-    places = instr.select("code_id", F.col("off").alias("place"), F.col("idx").alias("at"))
+    # tables of jumps and places look a hundred times smaller by their files' size than their rows are, so they are merged, never broadcast
+    places = instr.select("code_id", F.col("off").alias("place"), F.col("idx").alias("at")).hint("merge")
 
     def at(df: DataFrame, column: str) -> DataFrame:
         x = df.select("code_id", F.col(column).alias("place"))
@@ -100,7 +101,8 @@ def edges(placed: DataFrame, regions: DataFrame | None = None) -> DataFrame:
         .when(op.isin("Branch", "Return", "Raise"), F.lit(None)).otherwise("Fallthrough")
     )
     after = last.where(has_next).select("code_id", F.col("block_id").alias("src"), (F.col("block_id") + 1).alias("dst"), kind.alias("kind")).where("kind IS NOT NULL")
-    starts = placed.select("code_id", F.col("off").alias("jump_target"), F.col("block_id").alias("dst"))
+    # merged, as in leaders()
+    starts = placed.select("code_id", F.col("off").alias("jump_target"), F.col("block_id").alias("dst")).hint("merge")
     jumps = last.where("jump_target IS NOT NULL").withColumn("kind", F.when(op == "Branch", "Jump").when(on_true, "BranchTrue").otherwise("BranchFalse"))
     jumps = jumps.join(starts, ["code_id", "jump_target"]).select("code_id", F.col("block_id").alias("src"), "dst", "kind")
     plain = after.unionByName(jumps).withColumns({"stack_depth": F.lit(0), "exc_items": F.lit(0), "push_lasti": F.lit(False)})
