@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from progdf.plans import package_queries
 
 
-@pytest.mark.parametrize("name", ["ddg_arguments", "ddg_edges", "ddg_node_kinds"])
+@pytest.mark.parametrize("name", ["ddg_arguments", "ddg_edges", "ddg_node_kinds", "ddg_reached"])
 def test_programs_are_not_sent_through_the_driver(spark, monkeypatch, name):
     plans, real = {}, package_queries.saved
 
